@@ -145,7 +145,7 @@ class NearestCentroidModel:
 
     def distances(self, features: Features) -> DataFrame:
         """``doc_id, predicted, dist`` for every document, with or without features."""
-        check_same_space(features, self.space)
+        check_same_space(features.space, self.space)
         documents = self.class_stats.agg(F.sum("n")).first()[0]
         stats = self.class_stats.selectExpr("label_id", "n AS n_0", "norm2 AS norm2_0")
         means = self.centroids.selectExpr(

@@ -50,8 +50,8 @@ class Features:
         )
 
 
-def check_same_space(features: Features, space: str) -> None:
-    if features.space != space:
+def check_same_space(features_space: str, model_space: str) -> None:
+    if features_space != model_space:
         raise InvalidInput("sample features must come from the feature space of the training data")
 
 
