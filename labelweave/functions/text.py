@@ -22,6 +22,16 @@ def document_tokens(pages: Column) -> Column:
     return F.flatten(F.transform(F.coalesce(pages, F.array().cast("array<string>")), page_tokens))
 
 
+def _settled(value: Column, name: str) -> Column:
+    """A column that is worked out once per row, whatever is later asked of it.
+
+    The optimizer pushes filters down through projections by repeating their expressions, here
+    inside functions of array elements, which would sort a document's words once per word.  It
+    does not look through a generator; this one always makes one row of one.
+    """
+    return F.explode(F.array(value)).alias(name)
+
+
 def with_term_counts(documents: DataFrame, pages: str = "pages") -> DataFrame:
     """Replace ``pages`` by ``terms`` (array of term and cnt, sorted by term), ``total`` and ``mx``.
 
@@ -29,26 +39,24 @@ def with_term_counts(documents: DataFrame, pages: str = "pages") -> DataFrame:
     the whole corpus needs no shuffle and ``total`` and ``mx`` come for free.
     """
     rest = [name for name in documents.columns if name != pages]
-    words = documents.select(*rest, F.sort_array(document_tokens(F.col(pages))).alias("_words"))
+    words = documents.select(
+        *rest, _settled(F.sort_array(document_tokens(F.col(pages))), "_words")
+    )
     # Positions, counted from one, at which a run of equal words ends.
-    ends = words.select(
-        *rest,
-        "_words",
-        F.filter(
-            F.expr(f"if(size(_words) = 0, {_NO_INTS}, sequence(1, size(_words)))"),
-            lambda i: F.get("_words", i).isNull() | (F.get("_words", i) != F.get("_words", i - 1)),
-        ).alias("_ends"),
+    ends = F.filter(
+        F.expr(f"if(size(_words) = 0, {_NO_INTS}, sequence(1, size(_words)))"),
+        lambda i: F.get("_words", i).isNull() | (F.get("_words", i) != F.get("_words", i - 1)),
     )
-    counted = ends.select(
-        *rest,
-        F.size("_words").cast("bigint").alias("total"),
-        F.transform(
-            "_ends",
-            lambda end, i: F.struct(
-                F.get("_words", end - 1).alias("term"),
-                (end - F.coalesce(F.get("_ends", i - 1), F.lit(0))).cast("bigint").alias("cnt"),
-            ),
-        ).alias("terms"),
+    runs = words.select(*rest, "_words", _settled(ends, "_ends"))
+    counts = F.transform(
+        "_ends",
+        lambda end, i: F.struct(
+            F.get("_words", end - 1).alias("term"),
+            (end - F.coalesce(F.get("_ends", i - 1), F.lit(0))).cast("bigint").alias("cnt"),
+        ),
+    )
+    counted = runs.select(
+        *rest, F.size("_words").cast("bigint").alias("total"), _settled(counts, "terms")
     )
     return counted.select(
         *rest,
