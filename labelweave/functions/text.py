@@ -71,6 +71,17 @@ def unicode_trim(text: Column) -> Column:
     return F.regexp_replace(text, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")
 
 
+def is_one_json_value(json: Column) -> Column:
+    """Whether a text is a single JSON value with nothing after it.
+
+    JSON functions stop at the end of the first value.  Put into an array and into an object, any
+    further text spoils at least one of them.
+    """
+    items = F.json_array_length(F.concat(F.lit("["), json, F.lit("]")))
+    keys = F.size(F.json_object_keys(F.concat(F.lit('{"v":'), json, F.lit("}"))))
+    return F.coalesce((items == 1) & (keys == 1), F.lit(False))
+
+
 # Accessors of the map form of a document's counts.
 
 
