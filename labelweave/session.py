@@ -130,4 +130,7 @@ def session_conf(corpus_bytes: int, cores: int) -> dict[str, str]:
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.files.maxPartitionBytes": str(SPLIT_BYTES),
         "spark.sql.session.timeZone": "UTC",
+        # A training run compiles about 160 classes; the default cache of 100 would forget the
+        # first ones before the next run could use them again.
+        "spark.sql.codegen.cache.maxEntries": "1000",
     }
