@@ -30,13 +30,13 @@ class Features:
     space: str
     columns: int
 
-    def vectors(self, indexed_terms: DataFrame) -> DataFrame:
+    def vectors(self, indexed_terms: DataFrame, budget: int = BROADCAST_BYTES) -> DataFrame:
         """``doc_id, indices, weights`` by column order, one row per document.
 
-        ``indexed_terms`` is the ``term, term_index`` table of this feature space.
+        ``indexed_terms`` is the ``term, docs, term_index`` table of this feature space.
         """
-        terms = indexed_terms.select("term", "term_index")
-        placed = self.rows.join(terms, "term")
+        terms = indexed_terms.select("term", "docs", "term_index")
+        placed = join_terms(self.rows, terms, budget, counted=False)
         rows = placed.groupBy("doc_id").agg(
             F.array_sort(F.collect_list(F.struct("term_index", "weight"))).alias("row")
         )
@@ -85,18 +85,21 @@ class TfIdfModel:
         return self.idf.select("term", "df")
 
     def indexed_terms(self, staging: Staging) -> DataFrame:
-        return term_index(self.idf.select("term", "df", "idf"), staging)
+        return term_index(self.idf.select("term", "docs", "df", "idf"), staging)
 
     def transform(self, documents: DataFrame) -> Features:
         """Weights of new documents; terms outside the vocabulary have no column."""
         counted = with_term_counts(documents.select("doc_id", "pages"))
-        return self._weigh(counted, documents, counted_here=False)
+        return self.weigh(counted, documents)
 
-    def _weigh(self, counted: DataFrame, documents: DataFrame, counted_here: bool) -> Features:
+    def weigh(
+        self, counted: DataFrame, documents: DataFrame, fitted_here: bool = False
+    ) -> Features:
+        """Weights of documents whose terms are counted; ``fitted_here`` if this fitted on them."""
         # A weight of exactly zero is left out; its term stays in the vocabulary.
         tokens = exploded(counted.select("doc_id", "terms", "total", "mx"), self.settings)
         table = self.idf.select("term", "docs", "idf")
-        weighed = join_terms(tokens, table, self.budget, counted=counted_here)
+        weighed = join_terms(tokens, table, self.budget, counted=fitted_here)
         rows = weighed.select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
         keep = [c for c in ("doc_id", "name", "label_id") if c in documents.columns]
         return Features(
@@ -114,7 +117,7 @@ class TfIdf:
     def fit(self, documents: DataFrame, staging: Staging | None = None) -> TfIdfModel:
         staging = staging or Staging(documents.sparkSession)
         counted = with_term_counts(documents.select("doc_id", "pages"))
-        return self._fit(counted, documents.count(), staging)
+        return self.fit_counted(counted, documents.count(), staging)
 
     def fit_transform(
         self, documents: DataFrame, staging: Staging | None = None
@@ -124,10 +127,11 @@ class TfIdf:
         counted = staging.write(
             with_term_counts(documents.select("doc_id", "pages")), "term_counts"
         )
-        model = self._fit(counted, counted.count(), staging)
-        return model, model._weigh(counted, documents, counted_here=True)
+        model = self.fit_counted(counted, counted.count(), staging)
+        return model, model.weigh(counted, documents, fitted_here=True)
 
-    def _fit(self, counted: DataFrame, documents: int, staging: Staging) -> TfIdfModel:
+    def fit_counted(self, counted: DataFrame, documents: int, staging: Staging) -> TfIdfModel:
+        """Fit on so many documents whose terms are counted already."""
         terms = counted.select(F.explode("terms.term").alias("term"))
         frequency = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         frequency = staging.write(frequency, "document_frequency")

@@ -23,11 +23,14 @@ def create_trainer(
     config = config.with_seed()
     config.split.check_trainable()
     staging = Staging(documents.sparkSession)
-    classes = staging.write(class_table(documents), "classes")
-    check_classes(classes, config.split)
-    check_label_ids(classes, labels)
-    trainer_id = str(uuid.uuid4())
-    store.append_run(trainer_id, config, _label_ids(classes), "created")
+    try:
+        classes = staging.write(class_table(documents), "classes")
+        check_classes(classes, config.split)
+        check_label_ids(classes, labels)
+        trainer_id = str(uuid.uuid4())
+        store.append_run(trainer_id, config, _label_ids(classes), "created")
+    finally:
+        staging.drop()
     return trainer_id, config
 
 
@@ -51,16 +54,19 @@ def start_training(
     trainer_id: str, documents: DataFrame, config: TrainingConfig, store: ModelStore
 ) -> str:
     """Train a created run.  A run is trained once; after a failure a new one is created."""
-    if store.run(trainer_id)["status"] != "created":
+    created = store.run(trainer_id)
+    if created["status"] != "created":
         raise InvalidInput("trainer has already been started")
-    label_ids = store.run(trainer_id)["label_ids"]
+    label_ids = created["label_ids"]
+    staging = Staging(documents.sparkSession)
     try:
-        outcome = train(documents, config)
+        outcome = train(documents, config, staging=staging)
         model_id = store.save(outcome, trainer_id)
     except Exception as error:
         message = str(error) if isinstance(error, InvalidInput) else "training worker failed"
         store.append_run(trainer_id, config, label_ids, "failed", error=message)
         raise
+    finally:
+        staging.drop()
     store.append_run(trainer_id, config, label_ids, "completed", model_id=model_id)
-    outcome.release()
     return model_id

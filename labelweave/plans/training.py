@@ -417,20 +417,28 @@ def _train_with_factory(
     check_document_ids(documents)
     ids = documents.select("doc_id", "label_id")
     cuts = staging.write(split_cuts(ids, config.split, config.seed), "cuts")
-    sided = assign_sides(documents, cuts, config.split, config.seed)
+    # Counted once for all splits.
+    counted = staging.write(
+        with_term_counts(assign_sides(documents, cuts, config.split, config.seed)), "counted"
+    )
+    estimator = TfIdf(config.tf_idf, budget)
     candidates, measured = [], []
     for i in range(config.split.repetitions):
         # A user's code runs per split; its own work and ours around it stay distributed.
         own = Staging(documents.sparkSession)
         own.path = f"{staging.path}/split_{i}"
-        train_part = sided.filter(f"in_train[{i}]").drop("in_train")
-        test_part = sided.filter(f"NOT in_train[{i}]").drop("in_train")
-        tf_idf, train_features = TfIdf(config.tf_idf, budget).fit_transform(train_part, own)
+        train_part = counted.filter(f"in_train[{i}]")
+        test_part = counted.filter(f"NOT in_train[{i}]")
+        tf_idf = estimator.fit_counted(train_part, train_part.count(), own)
+        train_features = tf_idf.weigh(train_part, train_part, fitted_here=True)
         model = factory(train_features)
-        test_features = tf_idf.transform(test_part)
         judged = []
-        for part, features in (("train", train_features), ("test", test_features)):
-            scores = metrics.calculate(features.documents, model.predict(features))
+        for part, features in (
+            ("train", train_features),
+            ("test", tf_idf.weigh(test_part, test_part)),
+        ):
+            found = own.write(model.predict(features), f"predicted_{part}")
+            scores = metrics.calculate(features.documents, found)
             judged.append(
                 scores.select(
                     F.lit(i).alias("split_index"), F.lit(part).alias("part"), "samples", *METRICS
@@ -449,5 +457,5 @@ def _train_with_factory(
         evaluations,
         best,
         staging,
-        assignment(sided.select("doc_id", "label_id", "in_train")),
+        assignment(counted.select("doc_id", "label_id", "in_train")),
     )

@@ -103,7 +103,6 @@ def rejects(checked: DataFrame) -> DataFrame:
 def store(manifest_rows: DataFrame, path: str, mode: str = "append") -> None:
     """Write manifest rows, with their bytes if they carry any, one folder per collection.
 
-    Rows are dealt out by key within the collection, so a collection that holds most of the data
-    is written by many tasks.
+    Every task writes the rows it has, so no collection, however large, is gathered in one task.
     """
     manifest_rows.write.mode(mode).partitionBy("collection").parquet(path)
