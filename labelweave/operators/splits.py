@@ -53,12 +53,14 @@ def split_cuts(
     clamped: bool = True,
     largest_group: int | None = None,
     rank_rows: int = RANK_ROWS,
+    classes: ClassTableSize | None = None,
 ) -> DataFrame:
     """``label_id, cuts``: per group an array with the last training hash of every split.
 
     Groups larger than ``rank_rows`` are never ranked as a whole.  Their hashes, uniform whatever
     the data looks like, are counted in buckets; the counts tell the bucket the cut falls into,
-    and only that bucket is ranked.
+    and only that bucket is ranked.  ``classes`` tells how many classes there are, which spares
+    weighing the table of those buckets.
     """
     stratified = settings.sampling == "stratified"
     if largest_group is None:
@@ -97,9 +99,14 @@ def split_cuts(
             F.col("a.label_id").eqNullSafe(F.col("b.label_id")),
             F.col("a.bucket") == F.col("b.bucket"),
         ]
+        small = (
+            classes.hint(cut, 4 * settings.repetitions)
+            if classes
+            else broadcast_if_small(cut, "label_id")
+        )
         near = (
             keyed.alias("a")
-            .join(broadcast_if_small(cut, "label_id").alias("b"), same_bucket)
+            .join(small.alias("b"), same_bucket)
             .select("a.split_index", "a.label_id", "a.doc_id", "a.key", "b.wanted")
         )
     last = near.withColumn("rank", F.row_number().over(ranked)).filter("rank = wanted")

@@ -11,7 +11,7 @@ from ..operators.centroid import (
     constant_terms,
     score_tokens,
 )
-from ..operators.term_join import join_terms
+from ..operators.term_join import broadcast_floor, join_terms, term_bands
 from ..operators.tfidf import TfIdfModel, check_same_space, exploded
 from ..session import Staging
 from .training import weigh_constant, with_constant
@@ -39,15 +39,19 @@ def score(
 ) -> DataFrame:
     """``doc_id, predicted, dist`` for every document, also those of no known word.
 
-    Weighting and distance are one pass over the documents: the features are never written out.
+    Weighting and distance are one pass over the documents, unless the model is too large to be
+    broadcast; the features are never written out.
     """
     check_same_space(tf_idf.space, model.space)
     staging = staging or Staging(documents.sparkSession)
+    table = staging.write(model_scoring_table(tf_idf, model), "scoring")
     counted = with_constant(with_term_counts(documents.select("doc_id", "pages")))
+    if broadcast_floor(term_bands(table), len(table.columns), tf_idf.budget) != 0:
+        # The words will be read more than once.
+        counted = staging.write(counted, "scored_counts")
     tokens = weigh_constant(
         exploded(counted.select("doc_id", "terms", "total", "mx"), tf_idf.settings)
     )
-    table = staging.write(model_scoring_table(tf_idf, model), "scoring")
     found = score_tokens(
         tokens,
         ["doc_id"],

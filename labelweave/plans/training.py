@@ -85,7 +85,9 @@ def count_documents(
     tokenises every document and works out its sides.  The text itself is not shuffled.
     """
     ids = documents.select("doc_id", "label_id")
-    cuts = split_cuts(ids, config.split, config.seed, largest_group=largest_group)
+    cuts = split_cuts(
+        ids, config.split, config.seed, largest_group=largest_group, classes=size
+    )
     kept = documents.select("doc_id", "label_id", F.size("pages").alias("page_count"), "pages")
     numbered = kept.join(size.hint(classes.select("label_id", "class_ix"), 1), "label_id")
     sided = assign_sides(numbered, cuts, config.split, config.seed, size)

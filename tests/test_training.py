@@ -1,4 +1,5 @@
 import math
+from dataclasses import replace
 
 import pytest
 
@@ -187,6 +188,21 @@ def test_failing_factories_fail_the_run(animals):
         train(animals, config, lambda features: Silent(NearestCentroid().fit(features)))
 
 
+def test_scoring_is_the_same_whatever_is_broadcast(animals):
+    outcome = train(animals, TrainingConfig(split=SplitSettings(0.6, 1), seed=3))
+    documents = animals.select("doc_id", "pages")
+
+    def scores(budget):
+        tf_idf = replace(outcome.tf_idf, budget=budget)
+        rows = score(documents, tf_idf, outcome.model).collect()
+        return {r["doc_id"]: (r["predicted"], round(r["dist"], 9)) for r in rows}
+
+    usual = scores(1 << 28)
+    assert len(usual) == 10
+    for budget in (0, 400):
+        assert scores(budget) == usual
+
+
 @pytest.fixture
 def labels(spark):
     return spark.createDataFrame(
