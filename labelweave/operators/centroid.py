@@ -55,13 +55,16 @@ def constant_terms(class_stats: DataFrame, splits: list[int], documents: int) ->
         f"'{CONSTANT}' AS term",
         "label_id AS class_id",
         f"{documents}L AS docs",
-        *[f"CASE WHEN n_{i} > 0 THEN coalesce(norm2_{i}, 0D) / -2D ELSE {FAR} END AS dot_{i}" for i in splits],
+        *[
+            f"CASE WHEN n_{i} > 0 THEN coalesce(norm2_{i}, 0D) / -2D ELSE {FAR} END AS dot_{i}"
+            for i in splits
+        ],
         *[f"0D AS own_{i}" for i in splits],
     )
 
 
-def _best_class(split: int) -> str:
-    """The nearest class of a document from its gathered per-class sums ``s``, as a struct.
+def _distances(split: int) -> str:
+    """Squared distances to the classes of a split, from a document's per-class sums ``s``.
 
     Rounding may leave a squared distance of zero slightly negative, hence the bound.
     """
@@ -89,7 +92,7 @@ def nearest_class(sums: DataFrame, keys: list[str], splits: list[int]) -> DataFr
         *[F.expr(f"sum(own_{i}) AS own_{i}") for i in splits],
     )
     found = ", ".join(
-        f"struct({i} AS split_index, own_{i} AS own, {_best_class(i)} AS near)" for i in splits
+        f"struct({i} AS split_index, own_{i} AS own, {_distances(i)} AS near)" for i in splits
     )
     per_split = per_document.selectExpr(*keys, f"inline(array({found}))")
     scaled = per_split.selectExpr(

@@ -81,8 +81,9 @@ def count_documents(
 ) -> DataFrame:
     """``doc_id, class_ix, in_train, page_count, terms, total, mx``: split sides and term counts.
 
-    The terms include the constant one, which is not part of ``total`` and ``mx``.  Only ids and labels are read to find the cuts of the splits; then one pass over the text
-    tokenises every document and works out its sides.  The text itself is not shuffled.
+    The terms include the constant one, which is not part of ``total`` and ``mx``.  Only ids and
+    labels are read to find the cuts of the splits; then one pass over the text tokenises every
+    document and works out its sides.  The text itself is not shuffled.
     """
     ids = documents.select("doc_id", "label_id")
     cuts = split_cuts(
@@ -140,7 +141,10 @@ def term_sums(counted: DataFrame, settings: TfIdfSettings, splits: list[int]) ->
     sums = tokens.groupBy("term", "class_ix").agg(
         F.expr("count(1) AS docs"),
         *[F.expr(f"count_if({_in_train(splits, i)}) AS df_{i}") for i in splits],
-        *[F.expr(f"sum(CASE WHEN {_in_train(splits, i)} THEN tf ELSE 0D END) AS sum_{i}") for i in splits],
+        *[
+            F.expr(f"sum(CASE WHEN {_in_train(splits, i)} THEN tf ELSE 0D END) AS sum_{i}")
+            for i in splits
+        ],
     )
     # At most one row per class in a window.
     return sums.selectExpr(
@@ -325,7 +329,7 @@ class FittedRun:
     def selected(
         self, split: int, config: TrainingConfig, space: str, budget: int
     ) -> tuple[TfIdfModel, NearestCentroidModel]:
-        """The TF-IDF and classifier of one split, as fitted and never refitted on test documents."""
+        """The TF-IDF and classifier of one split as fitted, without its test documents."""
         fit = next(f for f in self.fits if split in f.splits)
         idf = fit.terms.filter(f"head AND df_{split} > 0").selectExpr(
             "term", "docs", f"df_{split} AS df", f"idf_{split} AS idf"

@@ -79,17 +79,17 @@ def read_training_documents(
     """Labelled documents ``name, pages, label_id`` from JSON lines or parquet.
 
     The files must hold exactly these fields.  A JSON reader skips fields it was not told of and
-    turns numbers into text, so the shape of every record is checked; ``object_ids`` also requires label ids of 24
-    hexadecimal characters and brings them to lower case.  Positions in the input have no meaning
-    in a distributed table, so each row gets an id made from its content and a running number
-    among equal rows.
+    turns numbers into text, so the shape of every record is checked; ``object_ids`` also requires
+    label ids of 24 hexadecimal characters and brings them to lower case.  Positions in the input
+    have no meaning in a distributed table, so each row gets an id made from its content and a
+    running number among equal rows.
     """
     wanted = set(TRAINING_DOCUMENT.names)
     if format == "json":
         lines = spark.read.text(path).filter(F.trim("value") != "")
         kind = F.schema_of_variant(F.try_parse_json("value"))
-        sound = F.coalesce(kind.isin(*RECORD_KINDS), F.lit(False)) & is_one_json_value(F.col("value"))
-        if lines.filter(~sound).limit(1).count():
+        sound = F.coalesce(kind.isin(*RECORD_KINDS), F.lit(False))
+        if lines.filter(~(sound & is_one_json_value(F.col("value")))).limit(1).count():
             raise InvalidInput(
                 f"every record must have the fields {', '.join(sorted(wanted))}, no others, "
                 "and hold text in them"
@@ -99,7 +99,9 @@ def read_training_documents(
         rows = spark.read.format(format).load(path)
         if set(rows.columns) != wanted:
             raise InvalidInput(f"the table must have the fields {', '.join(sorted(wanted))}")
-        rows = rows.select(*[F.col(f.name).cast(f.dataType.simpleString()) for f in TRAINING_DOCUMENT])
+        rows = rows.select(
+            *[F.col(f.name).cast(f.dataType.simpleString()) for f in TRAINING_DOCUMENT]
+        )
     missing = F.lit(False)
     for name in TRAINING_DOCUMENT.names:
         missing = missing | F.col(name).isNull()
