@@ -7,12 +7,24 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from . import language
 from .packing import pack
 from .tokens import token_counts
+from .urls import judge
+from .warc import archive, read_bundles
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
+#: Verdict, host and path of the rules for URLs.
+URL_RULES = (
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+)
+
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -40,3 +52,42 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
     return token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query(
+    "op4_seekable_warc",
+    """
+    WITH p AS (
+      SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes,
+             sha256(coalesce(html, '')) AS payload_digest
+      FROM pages
+    ), f AS (
+      SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p
+    )
+    SELECT page_id, payload_bytes, payload_digest,
+           CASE WHEN payload_bytes >= 100 AND page_id > first THEN 'revisit' ELSE 'response' END
+             AS record_type,
+           CASE WHEN payload_bytes >= 100 AND page_id > first THEN first END AS refers_to
+    FROM f
+    """,
+)
+def op4_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to seekable bundles and read back from them."""
+    records = read_bundles(archive(table(spark, sf_dir, "pages")))
+    return records.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op8_language_mixture")
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three of four folds."""
+    documents = table(spark, sf_dir, "documents")
+    model = language.train(documents.filter(language.fold("doc_id", 4) != 2))
+    found = language.predict(documents, model)
+    held_out = (language.fold("doc_id", 4) == 2).alias("held_out")
+    return found.select("doc_id", held_out, "lang_pred", "score")
+
+
+@query("op10_url_ratio")
+def op10_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path, rule and verdict of every page's URL."""
+    return judge(table(spark, sf_dir, "pages"), URL_RULES)
