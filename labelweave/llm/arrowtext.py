@@ -82,7 +82,7 @@ def hash_runs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndar
         place = np.arange(_LONGEST, _LONGEST + len(rest))
         value = _PLACED[place % _LONGEST, rest]
         value *= (2 * (place // _LONGEST) + 1).astype(np.uint64)
-        result[run] += value.sum(dtype=np.uint64)
+        result[run : run + 1] += value.sum(dtype=np.uint64)
     return mix(result + lengths.astype(np.uint64) * _ODD[0])
 
 

@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import language
+from . import language, quality
 from .packing import pack
 from .tokens import token_counts
 from .urls import judge
@@ -48,6 +49,22 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+@query("op6_pu_quality")
+def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A quality score for every document, learned from four of five folds."""
+    model, rows = quality.train(
+        table(spark, sf_dir, "documents"),
+        table(spark, sf_dir, "labels"),
+        in_training=language.fold("doc_id", 5) != 0,
+    )
+    return quality.score_features(rows, model).select(
+        "doc_id",
+        (~F.col("training")).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"),
+    )
+
+
 @query("op7_token_counts")
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Bytes and tokens of every document."""
