@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language, quality
+from .decontaminate import contaminated
+from .jaccard import jaccard_components
 from .packing import pack
 from .tokens import token_counts
 from .urls import judge
@@ -71,6 +73,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+@query("op3_simhash_decontamination")
+def op3_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item, with the item."""
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query(
     "op4_seekable_warc",
     """
@@ -104,6 +112,12 @@ def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score")
 
 
+@query("op9_jaccard_join")
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size and component of every document under 0.75 Jaccard of five-word shingles."""
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 @query("op10_url_ratio")
 def op10_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's URL."""
