@@ -157,15 +157,10 @@ def infer(model: LanguageModel, data, offsets, penalty: float = 3.0, largest_set
     return best, np.clip(score, 0, 1)
 
 
-def predict(
-    documents: DataFrame,
-    model: LanguageModel,
-    id_column: str = "doc_id",
-    text_column: str = "text",
-    keep: list[str] | None = None,
-    penalty: float = 3.0,
+def identify(
+    documents: DataFrame, model: LanguageModel, text_column: str = "text", penalty: float = 3.0
 ) -> DataFrame:
-    """The columns named by ``keep`` (else the id) with ``lang_pred`` and ``score``.
+    """Every row as struct ``kept`` with ``lang_pred`` and ``score``, whatever its columns' names.
 
     A null text and one without a letter are ``und`` with score 0, and so is every text if there
     is no learned language.  Equally large languages go to the first by name.  Repeated rows and
@@ -173,10 +168,9 @@ def predict(
     """
     context = documents.sparkSession.sparkContext
     shared = context.broadcast((model.names, model.probability))
-    kept = [F.col(name) for name in (keep or [id_column])]
     letters = F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False))
     texts = documents.select(
-        F.struct(*kept).alias("kept"),
+        F.struct("*").alias("kept"),
         F.when(letters, F.col(text_column)).otherwise("").alias("text"),
     )
 
@@ -201,8 +195,20 @@ def predict(
             )
 
     kind = texts.schema["kept"].dataType.simpleString()
-    scored = map_arrow(texts, per_batch, f"kept {kind}, lang_pred string, score double")
-    return scored.select("kept.*", "lang_pred", "score")
+    return map_arrow(texts, per_batch, f"kept {kind}, lang_pred string, score double")
+
+
+def predict(
+    documents: DataFrame,
+    model: LanguageModel,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    penalty: float = 3.0,
+) -> DataFrame:
+    """``<id>, lang_pred, score`` of every row; see ``identify``."""
+    rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    found = identify(rows.select("id", "text"), model, "text", penalty)
+    return found.select(F.col("kept.id").alias(id_column), "lang_pred", "score")
 
 
 def fold(id_column: str, folds: int) -> Column:

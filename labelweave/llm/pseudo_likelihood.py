@@ -1,0 +1,287 @@
+"""Masked pseudo-likelihood of texts under a bidirectional window network.
+
+A token is a character, folded to one of 32 symbols.  A network with one hidden layer predicts the
+token in the middle of a window from the two tokens on either side; the sum over a text of the
+logarithms of these conditional probabilities is its score.
+
+The corpus is gathered as counts of windows, of all texts.  There are at most 32**5 of them, and the
+network sees each context once, with the counts of what stood in its middle.  It is trained in
+rounds: every task trains a copy with numpy on the contexts it holds, and the copies are averaged by
+the tokens behind them.
+"""
+
+from __future__ import annotations
+
+import string
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..session import Staging
+from .arrowtext import row_slices, text_buffer
+from .shipping import map_arrow
+
+SYMBOL_BITS = 5
+SYMBOLS = 1 << SYMBOL_BITS
+SIDE = 2
+CONTEXTS = 1 << (2 * SIDE * SYMBOL_BITS)
+HIDDEN = 48
+ROUNDS = 8
+_SLICE = 1 << 20
+_DROPPED = 255
+_SPACE, _DIGIT, _STOP, _SIGN, _LATIN, _OTHER = range(26, 32)
+_SYMBOL = np.full(256, _SIGN, np.uint8)
+for _k, _letter in enumerate(string.ascii_lowercase):
+    _SYMBOL[[ord(_letter), ord(_letter.upper())]] = _k
+_SYMBOL[[9, 10, 11, 12, 13, 32]] = _SPACE
+_SYMBOL[ord("0") : ord("9") + 1] = _DIGIT
+_SYMBOL[[ord(c) for c in ".,;:!?'\"-()"]] = _STOP
+_SYMBOL[0x80:0xC0] = _DROPPED  # the further bytes of a character
+_SYMBOL[0xC0:0xC4] = _LATIN
+_SYMBOL[0xC4:] = _OTHER
+
+
+def windows(data: np.ndarray, offsets: np.ndarray):
+    """Row, context number and middle symbol of every character; texts stand between spaces."""
+    symbols = _SYMBOL[data]
+    keep = symbols != _DROPPED
+    rows = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[keep]
+    symbols = symbols[keep]
+    at = np.arange(len(symbols)) + SIDE * (rows + 1)
+    padded = np.full(len(symbols) + SIDE * len(offsets), _SPACE, np.int32)
+    padded[at] = symbols
+    context = np.zeros(len(symbols), np.int32)
+    for step in (-2, -1, 1, 2):
+        context = (context << SYMBOL_BITS) | padded[at + step]
+    return rows, context, symbols
+
+
+def count_windows(texts: DataFrame) -> DataFrame:
+    """``context, middle, n`` over all rows of ``text``."""
+
+    def as_batch(counts: np.ndarray) -> pa.RecordBatch:
+        some = np.flatnonzero(counts)
+        return pa.RecordBatch.from_arrays(
+            [
+                pa.array((some >> SYMBOL_BITS).astype(np.int32)),
+                pa.array((some & (SYMBOLS - 1)).astype(np.int32)),
+                pa.array(counts[some].astype(np.int64)),
+            ],
+            ["context", "middle", "n"],
+        )
+
+    def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(CONTEXTS * SYMBOLS, np.uint32)
+        held = 0
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(0))
+            for first, last in row_slices(offsets, _SLICE):
+                _, context, middle = windows(
+                    data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+                )
+                np.add.at(counts, (context << SYMBOL_BITS) | middle, np.uint32(1))
+                held += len(middle)
+            if held > 1 << 31:  # before a counter can overflow
+                yield as_batch(counts)
+                counts[:] = 0
+                held = 0
+        yield as_batch(counts)
+
+    counted = map_arrow(texts.select("text"), per_task, "context int, middle int, n long")
+    return counted.groupBy("context", "middle").agg(F.sum("n").alias("n"))
+
+
+@dataclass
+class Network:
+    """One hidden layer: a row per symbol at each of the four places, then output weights."""
+
+    places: np.ndarray
+    hidden_bias: np.ndarray
+    output: np.ndarray
+    output_bias: np.ndarray
+
+    def parameters(self) -> list[np.ndarray]:
+        return [self.places, self.hidden_bias, self.output, self.output_bias]
+
+    def flat(self) -> np.ndarray:
+        return np.concatenate([p.ravel() for p in self.parameters()])
+
+    @staticmethod
+    def from_flat(values: np.ndarray) -> Network:
+        shapes = [(2 * SIDE, SYMBOLS, HIDDEN), (HIDDEN,), (HIDDEN, SYMBOLS), (SYMBOLS,)]
+        parts, at = [], 0
+        for shape in shapes:
+            size = int(np.prod(shape))
+            parts.append(values[at : at + size].reshape(shape))
+            at += size
+        return Network(*parts)
+
+    @staticmethod
+    def start(frequencies: np.ndarray, seed: int = 11) -> Network:
+        random = np.random.default_rng(seed)
+        return Network(
+            random.normal(0, 0.3, (2 * SIDE, SYMBOLS, HIDDEN)),
+            np.zeros(HIDDEN),
+            random.normal(0, 0.1, (HIDDEN, SYMBOLS)),
+            np.log(frequencies),
+        )
+
+    def _layers(self, context: np.ndarray):
+        symbols = [
+            (context >> (SYMBOL_BITS * k)) & (SYMBOLS - 1) for k in reversed(range(2 * SIDE))
+        ]
+        total = self.hidden_bias + sum(self.places[k][s] for k, s in enumerate(symbols))
+        hidden = np.tanh(total)
+        logits = hidden @ self.output + self.output_bias
+        logits -= logits.max(axis=1, keepdims=True)
+        log_p = logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+        return symbols, hidden, log_p
+
+    def log_probabilities(self, context: np.ndarray) -> np.ndarray:
+        return self._layers(context)[2]
+
+    def gradient(self, context: np.ndarray, counts: np.ndarray) -> list[np.ndarray]:
+        """Of the mean negative log-likelihood per token."""
+        symbols, hidden, log_p = self._layers(context)
+        total = counts.sum(axis=1, keepdims=True)
+        error = (np.exp(log_p) * total - counts) / total.sum()
+        back = (error @ self.output.T) * (1 - hidden**2)
+        places = np.zeros_like(self.places)
+        for k, s in enumerate(symbols):
+            one_hot = np.zeros((len(s), SYMBOLS))
+            one_hot[np.arange(len(s)), s] = 1
+            places[k] = one_hot.T @ back
+        return [places, back.sum(axis=0), hidden.T @ error, error.sum(axis=0)]
+
+
+def train_locally(
+    network: Network, context: np.ndarray, counts: np.ndarray, rate: float, seed: int, size=2048
+) -> Network:
+    """One pass of Adam over contexts in a shuffled order."""
+    values = [p.copy() for p in network.parameters()]
+    first = [np.zeros_like(p) for p in values]
+    second = [np.zeros_like(p) for p in values]
+    order = np.random.default_rng(seed).permutation(len(context))
+    for step, at in enumerate(range(0, len(order), size), 1):
+        batch = order[at : at + size]
+        gradient = Network(*values).gradient(context[batch], counts[batch])
+        for value, g, m, v in zip(values, gradient, first, second, strict=True):
+            m += 0.1 * (g - m)
+            v += 0.01 * (g * g - v)
+            value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    return Network(*values)
+
+
+def _by_context(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+    """Contexts of a task, in order, and the counts of the symbols in their middle."""
+    tables = [pa.Table.from_batches([b]) for b in batches if b.num_rows]
+    if not tables:
+        return np.zeros(0, np.int64), np.zeros((0, SYMBOLS))
+    rows = pa.concat_tables(tables)
+    context, at = np.unique(rows["context"].to_numpy(), return_inverse=True)
+    counts = np.zeros((len(context), SYMBOLS))
+    np.add.at(counts, (at, rows["middle"].to_numpy()), rows["n"].to_numpy())
+    return context, counts
+
+
+def train(
+    documents: DataFrame,
+    text_column: str = "text",
+    rounds: int = ROUNDS,
+    staging: Staging | None = None,
+) -> Network:
+    """A network trained on the windows of all texts; of no text, one that finds all symbols alike.
+
+    Contexts are dealt out by hash, at most ``CONTEXTS`` of them in all.  A round brings the driver
+    one sum per parameter.
+    """
+    staging = staging or Staging(documents.sparkSession)
+    counted = count_windows(documents.select(F.col(text_column).alias("text")))
+    table = staging.write(counted.repartition("context"), "windows")
+    singles = table.groupBy("middle").agg(F.sum("n").alias("n")).collect()
+    frequencies = np.ones(SYMBOLS)
+    for row in singles:
+        frequencies[row["middle"]] += row["n"]
+    network = Network.start(frequencies / frequencies.sum())
+    if not singles:
+        return network
+    for number in range(rounds):
+        flat = network.flat()
+        rate = 0.02 * 0.6**number
+
+        def per_task(
+            batches: Iterator[pa.RecordBatch], flat=flat, rate=rate, number=number
+        ) -> Iterator[pa.RecordBatch]:
+            context, counts = _by_context(batches)
+            if not len(context):
+                return
+            own = train_locally(Network.from_flat(flat), context, counts, rate, number)
+            weight = counts.sum()
+            sums = np.append(own.flat() * weight, weight)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.arange(len(sums))), pa.array(sums)], ["place", "value"]
+            )
+
+        sums = map_arrow(table, per_task, "place long, value double")
+        found = sums.groupBy("place").agg(F.sum("value").alias("value")).toArrow()
+        total = np.zeros(len(flat) + 1)
+        total[found["place"].to_numpy()] = found["value"].to_numpy()
+        network = Network.from_flat(total[:-1] / total[-1])
+    return network
+
+
+_answers: dict[bytes, np.ndarray] = {}
+
+
+def _all_answers(flat: np.ndarray) -> np.ndarray:
+    """Log-probability of every symbol in every context, worked out once per worker."""
+    key = flat.tobytes()
+    if key not in _answers:
+        _answers.clear()
+        network, answers = Network.from_flat(flat), np.empty((CONTEXTS, SYMBOLS), np.float32)
+        for first in range(0, CONTEXTS, 1 << 14):
+            context = np.arange(first, first + (1 << 14))
+            answers[first : first + (1 << 14)] = network.log_probabilities(context)
+        _answers[key] = answers.ravel()
+    return _answers[key]
+
+
+def score(
+    documents: DataFrame, network: Network, id_column: str = "doc_id", text_column: str = "text"
+) -> DataFrame:
+    """``<id>, n_tokens, pseudo_log_likelihood, per_token`` of every whole text.
+
+    A null or empty text has 0 tokens, a sum of 0 and no value per token.  Repeated rows get equal
+    scores, a null id stays null, an empty table gives no rows; other columns are not read.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(network.flat())
+    rows = documents.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+
+    def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers = _all_answers(shared.value)
+        for batch in batches:
+            data, offsets = text_buffer(batch.column(1))
+            tokens, total = np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)
+            for first, last in row_slices(offsets, _SLICE):
+                row, context, middle = windows(
+                    data[offsets[first] : offsets[last]], offsets[first : last + 1] - offsets[first]
+                )
+                log_p = answers[(context.astype(np.int64) << SYMBOL_BITS) | middle]
+                tokens[first:last] = np.bincount(row, minlength=last - first)
+                total[first:last] = np.bincount(row, weights=log_p, minlength=last - first)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(tokens), pa.array(total)], ["id", "n_tokens", "total"]
+            )
+
+    kind = rows.schema["id"].dataType.simpleString()
+    scored = map_arrow(rows, per_batch, f"id {kind}, n_tokens long, total double")
+    return scored.select(
+        F.col("id").alias(id_column),
+        "n_tokens",
+        F.col("total").alias("pseudo_log_likelihood"),
+        F.when(F.col("n_tokens") > 0, F.col("total") / F.col("n_tokens")).alias("per_token"),
+    )

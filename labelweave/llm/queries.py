@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, quality
+from . import language, pseudo_likelihood, quality
 from .decontaminate import contaminated
+from .hamming import near_duplicates
 from .jaccard import jaccard_components
 from .packing import pack
 from .tokens import token_counts
@@ -51,6 +52,13 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+@query("op5_pseudo_likelihood")
+def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The masked pseudo-likelihood of every document under a network trained on all of them."""
+    documents = table(spark, sf_dir, "documents")
+    return pseudo_likelihood.score(documents, pseudo_likelihood.train(documents))
+
+
 @query("op6_pu_quality")
 def op6_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A quality score for every document, learned from four of five folds."""
@@ -73,6 +81,12 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
+@query("op2_hamming_duplicates")
+def op2_hamming_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and components of all vectors at a cosine of 0.98."""
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query("op3_simhash_decontamination")
 def op3_simhash_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item, with the item."""
