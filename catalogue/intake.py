@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from labelweave.functions import names
 from labelweave.sources import intake
 from labelweave.sources.documents import read_training_documents
-from labelweave.sources.labels import clean_label_names, create_labels, delete_labels
+from labelweave.sources.labels import LabelTable, clean_label_names
 
 from .registry import query
 from .tables import corpus, label_table, staging, table
@@ -48,7 +48,7 @@ def uploads(spark, d):
 
 ERROR = f"""CASE WHEN strlen(html) > 20000 THEN 'file is too large'
     WHEN NOT url LIKE 'https%' AND url LIKE '%?%'
-      THEN 'metadata must be a JSON object with string values'
+      THEN 'metadata has to be one JSON object whose values are text'
     WHEN {SAFE} IS NULL THEN 'file name is invalid'
     WHEN NOT regexp_full_match({PREFIX}, '[a-z0-9]([a-z0-9-]*[a-z0-9])?')
       THEN 'invalid collection prefix'
@@ -106,12 +106,11 @@ def safe_file_name(spark, d):
     "object_key",
     f"""SELECT page_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4)
         || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12) || '/' || {SAFE} AS object_key
-        FROM (SELECT *, md5('{{"page_id":' || page_id || '}}') AS h FROM pages)
-        WHERE {SAFE} IS NOT NULL""",
+        FROM (SELECT *, md5('{{"page_id":' || page_id || '}}') AS h FROM pages)""",
 )
 def object_key(spark, d):
     safe = names.safe_file_name(F.col("url"))
-    return table(spark, d, "pages").filter(safe.isNotNull()).select(
+    return table(spark, d, "pages").select(
         "page_id", names.object_key(safe, F.col("page_id")).alias("object_key")
     )
 
@@ -223,7 +222,7 @@ def label_create(spark, d):
     given = table(spark, d, "documents").select(
         F.concat(F.lit(" "), F.concat_ws("/", "lang", "source"), F.lit("\t")).alias("name")
     )
-    created = staging(spark).write(create_labels(given), "labels")
+    created = LabelTable(spark, f"{staging(spark).path}/labels").create(given)
     return created.groupBy("name").agg(
         F.count(F.lit(1)).alias("labels"),
         F.count_distinct("label_id").alias("ids"),
@@ -238,10 +237,13 @@ def label_create(spark, d):
     "FROM documents",
 )
 def label_delete(spark, d):
-    labels = label_table(spark, d)
-    removed, kept = delete_labels(labels, labels.filter("name LIKE 'fr/%'").select("label_id"))
+    """Labels of one language removed from the table, which is read back after the change."""
+    stored = LabelTable(spark, f"{staging(spark).path}/labels")
+    given = label_table(spark, d)
+    stored.replace(given)
+    removed = stored.delete(given.filter("name LIKE 'fr/%'").select("label_id"))
     return removed.withColumn("state", F.lit("removed")).unionByName(
-        kept.withColumn("state", F.lit("kept"))
+        stored.read().withColumn("state", F.lit("kept"))
     )
 
 

@@ -113,11 +113,8 @@ def classified() -> list[tuple[str, str]]:
              LEFT JOIN dots d ON d.split_index = a.split_index AND d.doc_id = a.doc_id
                AND d.class_id = c.label_id
              LEFT JOIN own o ON o.split_index = a.split_index AND o.doc_id = a.doc_id"""),
-        ("scaled", "SELECT *, x2 + max(d2) OVER (PARTITION BY split_index, doc_id) AS scale "
-                   "FROM dist"),
-        ("ranked", """SELECT *, row_number() OVER (PARTITION BY split_index, doc_id ORDER BY
-             CASE WHEN scale > 0 THEN round(d2 / scale, 12) ELSE 0 END, class_id) AS rn
-             FROM scaled"""),
+        ("ranked", "SELECT *, row_number() OVER (PARTITION BY split_index, doc_id "
+                   "ORDER BY d2, class_id) AS rn FROM dist"),
         ("pred", "SELECT split_index, doc_id, label_id, is_train, class_id AS predicted, "
                  "sqrt(d2) AS dist FROM ranked WHERE rn = 1"),
     ]

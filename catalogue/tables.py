@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from labelweave.config import SplitSettings, TfIdfSettings, TrainingConfig
 from labelweave.plans.training import TrainingOutcome, train
-from labelweave.session import Staging, spread
+from labelweave.session import Staging
 from labelweave.sources.documents import documents_from_pages, to_documents
 
 SEED = 42
@@ -19,14 +19,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(table: DataFrame) -> DataFrame:
+    """A table of fewer scan partitions than cores, as the single files of tests, dealt out."""
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
+
+
 def corpus(spark: SparkSession, sf_dir: str, label: str = "lang") -> DataFrame:
     """All documents with one of their own columns as the label."""
-    return to_documents(spread(table(spark, sf_dir, "documents")), "doc_id", "text", label=label)
+    return to_documents(dealt(table(spark, sf_dir, "documents")), "doc_id", "text", label=label)
 
 
 def judged_corpus(spark: SparkSession, sf_dir: str, label: str = "quality") -> DataFrame:
     """The documents that were judged, with the judgement as the label."""
-    documents = spread(table(spark, sf_dir, "documents"))
+    documents = dealt(table(spark, sf_dir, "documents"))
     both = documents.join(table(spark, sf_dir, "labels"), "doc_id")
     return to_documents(both, "doc_id", "text", label=label)
 
@@ -39,7 +45,7 @@ def conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def new_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts without a label."""
-    return to_documents(spread(table(spark, sf_dir, "benchmark")), "item_id", "text")
+    return to_documents(dealt(table(spark, sf_dir, "benchmark")), "item_id", "text")
 
 
 def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +56,13 @@ def label_table(spark: SparkSession, sf_dir: str) -> DataFrame:
                         "name")
 
 
+def language_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A label for every language, with an id made from its name."""
+    names = table(spark, sf_dir, "documents").select(F.col("lang").alias("name")).distinct()
+    label_id = F.substring(F.md5(F.col("name").cast("binary")), 1, 24).alias("label_id")
+    return names.select(label_id, "name")
+
+
 _trained: dict[tuple, TrainingOutcome] = {}
 
 

@@ -21,10 +21,11 @@ from .tables import (
     conversations,
     corpus,
     judged_corpus,
-    label_table,
+    language_labels,
     new_documents,
     settings,
     staging,
+    table,
     trained,
 )
 from .terms import applied, r6
@@ -426,29 +427,18 @@ def model_summary(spark, d):
     )
 
 
-# A run over every language and source, whose labels are rows of a label table.
-PAIR = "lang || '/' || source"
-PAIR_ID = f"substr(md5({PAIR}), 1, 24)"
+# A run over every language, whose labels are rows of a label table.
+LANG_ID = "substr(md5(lang), 1, 24)"
 STORED = TrainingConfig(split=SplitSettings(repetitions=1), seed=3)
 
 
 def _stored_documents(spark, d):
-    """Documents labelled by a row of the label table, for pairs of two documents at least."""
-    documents = corpus(spark, d).drop("label_id")
-    named_docs = documents.join(
-        spark.read.parquet(f"{d}/documents.parquet").select(
-            "doc_id", F.concat_ws("/", "lang", "source").alias("name")
-        ),
-        "doc_id",
-    ).join(label_table(spark, d), "name")
-    sizes = named_docs.groupBy("label_id").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2")
-    return named_docs.join(sizes, "label_id", "left_semi").select("doc_id", "pages", "label_id")
+    """All documents, labelled by the row of the label table that names their language."""
+    documents = corpus(spark, d).withColumnRenamed("label_id", "name")
+    return documents.join(language_labels(spark, d), "name").select("doc_id", "pages", "label_id")
 
 
-STORED_TABLE = (
-    f"(SELECT doc_id, text, {PAIR_ID} AS label FROM documents WHERE {PAIR} IN "
-    f"(SELECT {PAIR} FROM documents GROUP BY {PAIR} HAVING count(*) >= 2))"
-)
+STORED_TABLE = f"(SELECT doc_id, text, {LANG_ID} AS label FROM documents)"
 
 
 @query(
@@ -461,7 +451,7 @@ STORED_TABLE = (
 def run_record(spark, d):
     """The log of a run that was created, trained and stored."""
     store = ModelStore(spark, f"{staging(spark).path}/store")
-    run_training(_stored_documents(spark, d), STORED, label_table(spark, d), store)
+    run_training(_stored_documents(spark, d), STORED, language_labels(spark, d), store)
     return store.runs().groupBy("status").agg(
         F.count(F.lit(1)).alias("entries"),
         F.max(F.size("label_ids")).alias("labels"),
@@ -480,7 +470,7 @@ def run_record(spark, d):
 def model_load(spark, d):
     """Class means of a stored model, fetched by its id."""
     store = ModelStore(spark, f"{staging(spark).path}/store")
-    model_id = run_training(_stored_documents(spark, d), STORED, label_table(spark, d), store)
+    model_id = run_training(_stored_documents(spark, d), STORED, language_labels(spark, d), store)
     return store.find(model_id).model.centroids.select("label_id", "term", r6("mean"))
 
 
@@ -506,9 +496,8 @@ def _scored(new: str, key: str) -> str:
                CROSS JOIN (SELECT * FROM classes JOIN best USING (split_index)) c
                LEFT JOIN w_dots w ON w.doc_id = n.doc_id AND w.class_id = c.label_id
                LEFT JOIN w_own o ON o.doc_id = n.doc_id"""),
-            ("w_rank", """SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY
-               round(d2 / scale, 12), class_id) AS rn FROM
-               (SELECT *, x2 + max(d2) OVER (PARTITION BY doc_id) AS scale FROM w_dist)"""),
+            ("w_rank", "SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY d2, class_id) "
+                       "AS rn FROM w_dist"),
         ],
         "SELECT doc_id, class_id AS predicted, round(sqrt(d2), 5) AS dist FROM w_rank "
         "WHERE rn = 1",
@@ -534,14 +523,40 @@ def score_conversations(spark, d):
 
 @query(
     "score_label_names",
-    f"SELECT doc_id, {PAIR} AS label_name FROM documents",
+    _scored("benchmark", "item_id").replace(
+        "SELECT doc_id, class_id AS predicted, round(sqrt(d2), 5) AS dist FROM w_rank",
+        "SELECT doc_id, 'language ' || class_id AS label_name FROM w_rank",
+    ),
 )
 def score_label_names(spark, d):
-    """Names of label ids, looked up in the label table."""
-    labels = label_table(spark, d)
-    documents = spark.read.parquet(f"{d}/documents.parquet")
-    ids = documents.select(
-        "doc_id", F.substring(F.md5(F.concat_ws("/", "lang", "source").cast("binary")), 1, 24)
-        .alias("predicted")
+    """Names of the labels predicted for new documents, looked up in a label table."""
+    outcome = trained(spark, d)
+    found = score(new_documents(spark, d), outcome.tf_idf, outcome.model)
+    labels = table(spark, d, "documents").select(
+        F.col("lang").alias("label_id"), F.concat(F.lit("language "), "lang").alias("name")
     )
-    return named(ids, labels).select("doc_id", "label_name")
+    return named(found, labels.distinct()).select("doc_id", "label_name")
+
+
+@query(
+    "single_class",
+    sql.with_ctes(
+        [x for x in _fit_on_all() if x[0] in ("docs", "tok", "tf", "st", "tw", "nn", "dfs", "mdf", "idf")]
+        + [("feat", "SELECT doc_id, term, tfw * idf AS weight FROM tw JOIN idf USING (term) "
+                    "WHERE tfw * idf <> 0"),
+           ("cent", "SELECT term, sum(weight) / (SELECT count(*) FROM docs) AS mean FROM feat "
+                    "GROUP BY ALL"),
+           ("own", "SELECT doc_id, sum(weight * weight) AS x2, sum(weight * mean) AS dot FROM feat "
+                   "JOIN cent USING (term) GROUP BY ALL")],
+        "SELECT doc_id, 'all' AS predicted, round(sqrt(greatest(0, coalesce(x2, 0) - "
+        "2 * coalesce(dot, 0) + (SELECT sum(mean * mean) FROM cent))), 5) AS dist "
+        "FROM docs LEFT JOIN own USING (doc_id)",
+    ),
+)
+def single_class(spark, d):
+    """A classifier of one class gives every row that class."""
+    own = staging(spark)
+    documents = corpus(spark, d).withColumn("label_id", F.lit("all"))
+    _, matrix = TfIdf(settings(idf="smooth")).fit_transform(documents, own)
+    found = NearestCentroid().fit(matrix, own).distances(matrix)
+    return found.select("doc_id", "predicted", F.round("dist", 5).alias("dist"))

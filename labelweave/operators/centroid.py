@@ -1,18 +1,21 @@
 """Nearest-centroid classification.
 
-The squared distance of a document x to a class mean c is ``|x|^2 - 2 x.c + |c|^2``.  Given to every
-document, a constant term that weighs ``-|c|^2 / 2`` in class c turns ``x.c - |c|^2 / 2`` into one
-sum over the terms of x, and since every document has that term, every document meets every class,
-also one that shares no word with it or has no words at all.  The work follows the words documents
-really share with a class; no table of all documents times all classes is formed by a product.
+The squared distance of a document x to a class mean c is ``|x|^2 - 2 x.c + |c|^2``.  Of the classes
+a document shares no word with, for which x.c is 0, only the one of least norm can be nearest.  So a
+document is compared with the classes it meets through a word and with that one class, which is the
+same for all documents; rows of documents and classes that share nothing are not formed.
 
-A scoring table, ``term, class_id, docs, dot_i.., own_i..``, holds these sums' factors for several
+This holds as long as no product of a weight and a mean is negative, which is so for TF-IDF: both
+carry the same IDF.  Features of mixed sign are compared with every class.
+
+A scoring table, ``term, class_id, docs, dot_i.., own_i..``, holds the sums' factors for several
 splits side by side: ``dot_i`` per class and ``own_i``, which adds to ``|x|^2``, on one class of
 each term.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
@@ -21,19 +24,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..config import InvalidInput
-from ..session import BROADCAST_BYTES, Staging
+from ..session import BROADCAST_BYTES, Staging, broadcast_if_small
 from .term_join import join_terms
 from .tfidf import Features, check_same_space
 from .validate import class_counts, is_finite
 
-#: The term every document has.  Words are never empty, so it cannot clash.
+#: The term every document has while documents are counted.  Words are never empty.
 CONSTANT = ""
-#: Constant of a class that is not there.
-FAR = "double('-infinity')"
-#: Squared distances that differ by less than this share of the scale count as equal.
-TIE_DIGITS = 12
+#: Squared distances closer than this share, as a power of two, of their own size count as equal.
+TIE_BITS = 40
 
-NO_TRAINING_DATA = "training data must have samples, features, and one label per sample"
+NO_TRAINING_DATA = "nothing to learn from: rows, features and a label for every row are needed"
 
 
 class Classifier(Protocol):
@@ -46,80 +47,120 @@ class Classifier(Protocol):
         """Distinct learned ``label_id`` values in order."""
 
 
-def constant_terms(class_stats: DataFrame, splits: list[int], documents: int) -> DataFrame:
-    """Rows of the constant term from ``label_id, n_i, norm2_i``.
+def _half_distance(dot: str, norm2: str) -> str:
+    """``(d^2 - |x|^2) / 2``, which orders the classes of one document by distance."""
+    return f"({norm2} / 2D - ({dot}))"
+
+
+def _tie_key(half: str, norm2: str) -> str:
+    """``half`` without the digits that rounding errors reach.
 
-    A class without training documents in a split has no mean there and is infinitely far away.
+    The step is a power of two below the magnitude of the numbers this class alone brings, so a far
+    class never blurs the order of the near ones.
     """
-    return class_stats.selectExpr(
-        f"'{CONSTANT}' AS term",
-        "label_id AS class_id",
-        f"{documents}L AS docs",
+    size = f"greatest({norm2}, abs({half}))"
+    step = f"power(2D, floor(log2({size})) - {TIE_BITS})"
+    return f"CASE WHEN {size} > 0D THEN rint({half} / {step}) * {step} ELSE 0D END"
+
+
+def least_norms(class_stats: DataFrame, splits: list[int]) -> dict[int, tuple[object, float]]:
+    """By split the class of least norm and that norm, from ``class_id, n_i, norm2_i``.
+
+    One row; of equally short means the lowest label's.
+    """
+    row = class_stats.agg(
         *[
-            f"CASE WHEN n_{i} > 0 THEN coalesce(norm2_{i}, 0D) / -2D ELSE {FAR} END AS dot_{i}"
+            F.expr(
+                f"min(CASE WHEN n_{i} > 0 THEN struct({_tie_key(f'norm2_{i} / 2D', f'norm2_{i}')}"
+                f" AS tie, class_id, norm2_{i} AS norm2) END) AS least_{i}"
+            )
             for i in splits
-        ],
-        *[f"0D AS own_{i}" for i in splits],
-    )
+        ]
+    ).first()
+    return {i: (row[f"least_{i}"]["class_id"], row[f"least_{i}"]["norm2"]) for i in splits}
 
 
-def _distances(split: int) -> str:
-    """Squared distances to the classes of a split, from a document's per-class sums ``s``.
+@dataclass(frozen=True)
+class ClassNorms:
+    """``table`` holds ``class_id, n_i, norm2_i``, hinted for a join; ``least`` see above."""
 
-    Rounding may leave a squared distance of zero slightly negative, hence the bound.
-    """
-    known = f"filter(s, e -> e.dot_{split} > {FAR})"
-    return (
-        f"transform({known}, e -> struct(greatest(0D, own_{split} - 2D * e.dot_{split}) AS d2,"
-        " e.class_id AS class_id))"
-    )
+    table: DataFrame
+    least: dict[int, tuple[object, float]]
 
 
-def nearest_class(sums: DataFrame, keys: list[str], splits: list[int]) -> DataFrame:
+def nearest_class(
+    sums: DataFrame, keys: list[str], splits: list[int], norms: ClassNorms
+) -> DataFrame:
     """``split_index, <keys>, predicted, dist`` from partial sums per document and class.
 
-    Squared distances are compared as shares of a common scale, rounded; of equally near classes
-    the lowest label wins.
+    Every document must have a row; its ``class_id`` is null if it meets no class.  The smallest
+    distance wins, of equal ones the lowest label.
     """
     per_class = sums.groupBy(*keys, "class_id").agg(
         *[F.expr(f"sum(dot_{i}) AS dot_{i}") for i in splits],
         *[F.expr(f"sum(own_{i}) AS own_{i}") for i in splits],
     )
-    # One element per class.
-    dots = ", ".join(f"dot_{i}" for i in splits)
-    per_document = per_class.groupBy(*keys).agg(
-        F.expr(f"collect_list(struct(class_id, {dots})) AS s"),
-        *[F.expr(f"sum(own_{i}) AS own_{i}") for i in splits],
-    )
-    found = ", ".join(
-        f"struct({i} AS split_index, own_{i} AS own, {_distances(i)} AS near)" for i in splits
-    )
-    per_split = per_document.selectExpr(*keys, f"inline(array({found}))")
-    scaled = per_split.selectExpr(
-        "split_index", *keys, "near", "own + array_max(transform(near, e -> e.d2)) AS scale"
-    )
-    best = scaled.selectExpr(
-        "split_index",
+    table = norms.table.select("class_id", *[f"n_{i}" for i in splits],
+                               *[f"norm2_{i}" for i in splits])
+    halves = per_class.join(table, "class_id", "left").selectExpr(
         *keys,
-        "array_min(transform(near, e -> struct("
-        f"CASE WHEN scale > 0 THEN round(e.d2 / scale, {TIE_DIGITS}) ELSE 0D END AS tie,"
-        " e.class_id AS class_id, e.d2 AS d2))) AS best",
+        "class_id",
+        *[f"own_{i}" for i in splits],
+        *[f"norm2_{i}" for i in splits],
+        *[
+            f"CASE WHEN n_{i} > 0 THEN {_half_distance(f'dot_{i}', f'norm2_{i}')} END AS half_{i}"
+            for i in splits
+        ],
     )
-    return best.selectExpr(
-        "split_index", *keys, "best.class_id AS predicted", "sqrt(best.d2) AS dist"
+    per_document = halves.groupBy(*keys).agg(
+        *[
+            F.expr(
+                f"min(CASE WHEN half_{i} IS NOT NULL THEN struct("
+                f"{_tie_key(f'half_{i}', f'norm2_{i}')} AS tie, class_id, half_{i} AS half) END)"
+                f" AS met_{i}"
+            )
+            for i in splits
+        ],
+        *[F.expr(f"sum(own_{i}) AS own_{i}") for i in splits],
     )
+    kind = halves.schema["class_id"].dataType
+    found = []
+    for i in splits:
+        label, norm2 = norms.least[i]
+        half = repr(norm2 / 2)
+        unmet = F.struct(
+            F.expr(_tie_key(f"CAST('{half}' AS DOUBLE)", f"CAST('{norm2!r}' AS DOUBLE)"))
+            .alias("tie"),
+            F.lit(label).cast(kind).alias("class_id"),
+            F.lit(norm2 / 2).alias("half"),
+        )
+        best = F.least(F.col(f"met_{i}"), unmet)
+        # Rounding may leave a squared distance of zero slightly negative.
+        square = F.greatest(F.lit(0.0), F.col(f"own_{i}") + 2 * best["half"])
+        found.append(
+            F.struct(
+                F.lit(i).alias("split_index"),
+                best["class_id"].alias("predicted"),
+                F.sqrt(square).alias("dist"),
+            )
+        )
+    rows = per_document.select(*keys, F.inline(F.array(*found)))
+    return rows.select("split_index", *keys, "predicted", "dist")
 
 
 def score_tokens(
     tokens: DataFrame,
+    every: DataFrame,
     keys: list[str],
     table: DataFrame,
     splits: list[int],
+    norms: ClassNorms,
     join: Callable[[DataFrame, DataFrame], DataFrame],
 ) -> DataFrame:
-    """Nearest class of documents given as ``<keys>, term, tf`` rows incl. the constant term.
+    """Nearest class of documents given as ``<keys>, term, tf`` rows, none negative.
 
-    ``table`` holds ``term, class_id, docs, dot_i.., own_i..``; ``join`` brings both together.
+    ``every`` holds the keys of all documents, also those without a known word; ``table`` holds
+    ``term, class_id, docs, dot_i.., own_i..``; ``join`` brings tokens and table together.
     """
     sums = join(tokens, table).selectExpr(
         *keys,
@@ -127,7 +168,14 @@ def score_tokens(
         *[f"tf * dot_{i} AS dot_{i}" for i in splits],
         *[f"tf * tf * own_{i} AS own_{i}" for i in splits],
     )
-    return nearest_class(sums, keys, splits)
+    kind = table.schema["class_id"].dataType.simpleString()
+    bare = every.selectExpr(
+        *keys,
+        f"CAST(NULL AS {kind}) AS class_id",
+        *[f"0D AS dot_{i}" for i in splits],
+        *[f"0D AS own_{i}" for i in splits],
+    )
+    return nearest_class(sums.unionByName(bare), keys, splits, norms)
 
 
 @dataclass(frozen=True)
@@ -146,31 +194,49 @@ class NearestCentroidModel:
     def predict(self, features: Features) -> DataFrame:
         return self.distances(features).select("doc_id", "predicted")
 
+    def norms(self) -> ClassNorms:
+        """Norms of the classes; a table too large to be broadcast is left to the planner."""
+        table = self.class_stats.selectExpr("label_id AS class_id", "n AS n_0", "norm2 AS norm2_0")
+        small = broadcast_if_small(table, "class_id", self.budget)
+        return ClassNorms(small, least_norms(table, [0]))
+
     def distances(self, features: Features) -> DataFrame:
         """``doc_id, predicted, dist`` for every document, with or without features."""
         check_same_space(features.space, self.space)
-        documents = self.class_stats.agg(F.sum("n")).first()[0]
-        stats = self.class_stats.selectExpr("label_id", "n AS n_0", "norm2 AS norm2_0")
-        means = self.centroids.selectExpr(
-            "term", "label_id AS class_id", "docs", "mean AS dot_0"
-        ).unionByName(constant_terms(stats, [0], documents).drop("own_0"))
+        norms = self.norms()
+        means = self.centroids.selectExpr("term", "label_id AS class_id", "docs", "mean AS dot_0")
         # Checked as the rows pass by, which spares a pass of its own over the features.
         weight = F.when(is_finite(F.col("weight")), F.col("weight")).otherwise(
-            F.raise_error(F.lit("features must be finite")).cast("double")
+            F.raise_error(F.lit("a feature is not a finite number")).cast("double")
         )
         rows = features.rows.select("doc_id", "term", weight.alias("tf"))
-        every = features.documents.selectExpr("doc_id", f"'{CONSTANT}' AS term", "1D AS tf")
-        met = join_terms(rows.unionByName(every), means, self.budget, counted=False)
-        dots = met.selectExpr("doc_id", "class_id", "tf * dot_0 AS dot_0", "0D AS own_0")
+        every = features.documents.select("doc_id")
+        kind = means.schema["class_id"].dataType.simpleString()
         # A document's own norm counts all its terms, also those no class has.
-        kind = dots.schema["class_id"].dataType.simpleString()
         own = rows.selectExpr(
-            "doc_id",
-            f"CAST(NULL AS {kind}) AS class_id",
-            f"{FAR} AS dot_0",
-            "tf * tf AS own_0",
+            "doc_id", f"CAST(NULL AS {kind}) AS class_id", "0D AS dot_0", "tf * tf AS own_0"
+        )
+        met = join_terms(rows, means, self.budget, counted=False)
+        dots = met.selectExpr("doc_id", "class_id", "tf * dot_0 AS dot_0", "0D AS own_0")
+        if self._mixed_signs(features):
+            # A constant term that all documents and classes have brings each to each.
+            classes = norms.table.select(F.lit(CONSTANT).alias("term"), "class_id")
+            classes = broadcast_if_small(classes, "class_id", self.budget)
+            bare = every.withColumn("term", F.lit(CONSTANT)).join(classes, "term")
+            # Every class is met, so none may stand for those that are not.
+            norms = ClassNorms(norms.table, {0: (None, math.inf)})
+        else:
+            bare = every.selectExpr("doc_id", f"CAST(NULL AS {kind}) AS class_id")
+        bare = bare.selectExpr("doc_id", "class_id", "0D AS dot_0", "0D AS own_0")
+        sums = dots.unionByName(own).unionByName(bare)
+        return nearest_class(sums, ["doc_id"], [0], norms).drop("split_index")
+
+    def _mixed_signs(self, features: Features) -> bool:
+        """Whether a weight or mean is negative, so that a shared word may add distance."""
+        return not (
+            self.centroids.filter("mean < 0").isEmpty()
+            and features.rows.filter("weight < 0").isEmpty()
         )
-        return nearest_class(dots.unionByName(own), ["doc_id"], [0]).drop("split_index")
 
 
 class NearestCentroid:
@@ -211,5 +277,5 @@ class NearestCentroid:
         stats = staging.write(stats, "class_stats")
         # A weight that is not finite makes the norm of its class so too.
         if stats.filter(~is_finite(F.col("norm2"))).limit(1).count():
-            raise InvalidInput("training features must be finite")
+            raise InvalidInput("a training feature is not a finite number")
         return NearestCentroidModel(centroids, stats, features.space, self.budget)

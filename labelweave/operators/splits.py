@@ -57,9 +57,9 @@ def split_cuts(
 ) -> DataFrame:
     """``label_id, cuts``: per group an array with the last training hash of every split.
 
-    Groups larger than ``rank_rows`` are never ranked as a whole.  Their hashes, uniform whatever
-    the data looks like, are counted in buckets; the counts tell the bucket the cut falls into,
-    and only that bucket is ranked.  ``classes`` tells how many classes there are, which spares
+    Groups are not ranked as a whole.  Their hashes, uniform whatever the data looks like, are
+    counted in buckets of about ``rank_rows``; the counts tell the bucket the cut falls into, and
+    only that bucket is ranked.  ``classes`` tells how many classes there are, which spares
     weighing the table of those buckets.
     """
     stratified = settings.sampling == "stratified"
@@ -76,39 +76,34 @@ def split_cuts(
     group = ["split_index", "label_id"]
     whole = Window.partitionBy(*group)
     ranked = whole.orderBy("key", "doc_id")
-    if largest_group <= rank_rows:
-        near = keyed.withColumn("n", F.count(F.lit(1)).over(whole)).withColumn(
-            "wanted", _train_rows(F.col("n"), settings, clamped)
-        )
-    else:
-        buckets = math.ceil(largest_group / rank_rows)
-        keyed = keyed.withColumn("bucket", _bucket(F.col("key"), buckets))
-        counts = keyed.groupBy(*group, "bucket").agg(F.count(F.lit(1)).alias("held"))
-        # At most one row per bucket of a group.
-        through = F.sum("held").over(whole.orderBy("bucket"))
-        k = _train_rows(F.sum("held").over(whole), settings, clamped)
-        cut = (
-            counts.withColumn("through", through)
-            .withColumn("k", k)
-            .withColumn("before", F.col("through") - F.col("held"))
-            .filter((F.col("before") < F.col("k")) & (F.col("k") <= F.col("through")))
-            .select(*group, "bucket", (F.col("k") - F.col("before")).alias("wanted"))
-        )
-        same_bucket = [
-            F.col("a.split_index") == F.col("b.split_index"),
-            F.col("a.label_id").eqNullSafe(F.col("b.label_id")),
-            F.col("a.bucket") == F.col("b.bucket"),
-        ]
-        small = (
-            classes.hint(cut, 4 * settings.repetitions)
-            if classes
-            else broadcast_if_small(cut, "label_id")
-        )
-        near = (
-            keyed.alias("a")
-            .join(small.alias("b"), same_bucket)
-            .select("a.split_index", "a.label_id", "a.doc_id", "a.key", "b.wanted")
-        )
+    buckets = max(1, math.ceil(largest_group / rank_rows))
+    keyed = keyed.withColumn("bucket", _bucket(F.col("key"), buckets))
+    counts = keyed.groupBy(*group, "bucket").agg(F.count(F.lit(1)).alias("held"))
+    # At most one row per bucket of a group.
+    through = F.sum("held").over(whole.orderBy("bucket"))
+    k = _train_rows(F.sum("held").over(whole), settings, clamped)
+    cut = (
+        counts.withColumn("through", through)
+        .withColumn("k", k)
+        .withColumn("before", F.col("through") - F.col("held"))
+        .filter((F.col("before") < F.col("k")) & (F.col("k") <= F.col("through")))
+        .select(*group, "bucket", (F.col("k") - F.col("before")).alias("wanted"))
+    )
+    same_bucket = [
+        F.col("a.split_index") == F.col("b.split_index"),
+        F.col("a.label_id").eqNullSafe(F.col("b.label_id")),
+        F.col("a.bucket") == F.col("b.bucket"),
+    ]
+    small = (
+        classes.hint(cut, 4 * settings.repetitions)
+        if classes
+        else broadcast_if_small(cut, "label_id")
+    )
+    near = (
+        keyed.alias("a")
+        .join(small.alias("b"), same_bucket)
+        .select("a.split_index", "a.label_id", "a.doc_id", "a.key", "b.wanted")
+    )
     last = near.withColumn("rank", F.row_number().over(ranked)).filter("rank = wanted")
     # One element per split.  A group without training documents has no cut there; no hash is
     # below the empty text.

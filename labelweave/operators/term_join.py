@@ -17,14 +17,18 @@ from pyspark.sql import functions as F
 from ..session import BROADCAST_BYTES, Staging, estimated_bytes
 
 
-#: Frequencies of the same power of two share a band, so there are at most 64 of them.
-BAND = "CAST(floor(log2(CAST(greatest(docs, 1) AS DOUBLE))) AS INT)"
+#: Frequencies within a sixteenth of a power of two share a band: at most 1,024 of them, so that a
+#: budget is used up nearly whole.
+BAND = "CAST(floor(16 * log2(CAST(greatest(docs, 1) AS DOUBLE))) AS INT)"
 
 
 def term_bands(table: DataFrame, *more: Column) -> list[Row]:
     """``band, rows, text`` and any further aggregates by frequency band, frequent terms first."""
     bands = table.groupBy(F.expr(BAND).alias("band")).agg(
-        F.count(F.lit(1)).alias("rows"), F.sum(F.octet_length("term")).alias("text"), *more
+        F.count(F.lit(1)).alias("rows"),
+        F.sum(F.octet_length("term")).alias("text"),
+        F.min("docs").alias("lowest"),
+        *more,
     )
     return sorted(bands.collect(), key=lambda row: -row["band"])
 
@@ -36,7 +40,7 @@ def broadcast_floor(bands: list[Row], columns: int, budget: int) -> int | None:
         used += estimated_bytes(band["rows"], band["text"], columns)
         if used > budget:
             return floor
-        floor = 2 ** band["band"]
+        floor = band["lowest"]
     return 0
 
 

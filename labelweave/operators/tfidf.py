@@ -52,7 +52,7 @@ class Features:
 
 def check_same_space(features_space: str, model_space: str) -> None:
     if features_space != model_space:
-        raise InvalidInput("sample features must come from the feature space of the training data")
+        raise InvalidInput("these features were made with another vocabulary than the model was trained on")
 
 
 def exploded(counted: DataFrame, settings: TfIdfSettings) -> DataFrame:
@@ -87,10 +87,14 @@ class TfIdfModel:
     def indexed_terms(self, staging: Staging) -> DataFrame:
         return term_index(self.idf.select("term", "docs", "df", "idf"), staging)
 
-    def transform(self, documents: DataFrame) -> Features:
-        """Weights of new documents; terms outside the vocabulary have no column."""
+    def transform(self, documents: DataFrame, staging: Staging | None = None) -> Features:
+        """Weights of new documents; terms outside the vocabulary have no column.
+
+        Terms are counted once, into a staged table: the join may read them more than once.
+        """
+        staging = staging or Staging(documents.sparkSession)
         counted = with_term_counts(documents.select("doc_id", "pages"))
-        return self.weigh(counted, documents)
+        return self.weigh(staging.write(counted, "transformed_counts"), documents)
 
     def weigh(
         self, counted: DataFrame, documents: DataFrame, fitted_here: bool = False

@@ -51,13 +51,13 @@ def check_classes(classes: DataFrame, settings: SplitSettings) -> Row:
     settings.check_trainable()
     summary = training_summary(classes, settings).first()
     if summary["documents"] == 0:
-        raise InvalidInput("training documents must be nonempty")
+        raise InvalidInput("there are no documents to train on")
     if summary["unlabelled"]:
         raise InvalidInput("every training document needs a label")
     if summary["smallest_class"] < 2:
-        raise InvalidInput("every class needs at least two documents")
+        raise InvalidInput("a class has a single document; two are the least")
     if settings.sampling == "random" and not 0 < summary["train_size"] < summary["documents"]:
-        raise InvalidInput("training and test partitions must be nonempty")
+        raise InvalidInput("this ratio leaves the training or the test part empty")
     return summary
 
 
@@ -87,7 +87,7 @@ def oversized_documents(documents: DataFrame, limit: int = MAX_PAGES) -> DataFra
 
 def check_page_counts(documents: DataFrame, limit: int = MAX_PAGES) -> None:
     if oversized_documents(documents, limit).limit(1).count():
-        raise InvalidInput("document page count exceeds the page limit")
+        raise InvalidInput("a document has more pages than allowed")
 
 
 def unknown_label_ids(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -98,7 +98,7 @@ def unknown_label_ids(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 def check_label_ids(documents: DataFrame, labels: DataFrame) -> None:
     if unknown_label_ids(documents, labels).limit(1).count():
-        raise InvalidInput("one or more label IDs do not exist")
+        raise InvalidInput("a document refers to a label that the label table lacks")
 
 
 def is_finite(value: Column) -> Column:

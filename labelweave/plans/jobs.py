@@ -55,8 +55,8 @@ def start_training(
 ) -> str:
     """Train a created run.  A run is trained once; after a failure a new one is created."""
     created = store.run(trainer_id)
-    if created["status"] != "created":
-        raise InvalidInput("trainer has already been started")
+    if created["status"] != "created" or not store.claim(trainer_id):
+        raise InvalidInput("this run was started before")
     label_ids = created["label_ids"]
     staging = Staging(documents.sparkSession)
     try:

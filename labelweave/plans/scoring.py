@@ -6,15 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import with_term_counts
-from ..operators.centroid import (
-    NearestCentroidModel,
-    constant_terms,
-    score_tokens,
-)
+from ..operators.centroid import NearestCentroidModel, score_tokens
 from ..operators.term_join import broadcast_floor, join_terms, term_bands
 from ..operators.tfidf import TfIdfModel, check_same_space, exploded
 from ..session import Staging
-from .training import weigh_constant, with_constant
 
 
 def model_scoring_table(tf_idf: TfIdfModel, model: NearestCentroidModel) -> DataFrame:
@@ -22,13 +17,11 @@ def model_scoring_table(tf_idf: TfIdfModel, model: NearestCentroidModel) -> Data
     # A vocabulary-sized join; a term whose means are all zero still adds to a document's norm.
     idf = tf_idf.idf.select("term", "idf").filter("idf <> 0")
     joined = idf.join(model.centroids.select("term", "label_id", "mean", "docs"), "term")
-    dots = joined.selectExpr(
+    return joined.selectExpr(
         "term", "label_id AS class_id", "docs", "coalesce(idf * mean, 0D) AS dot_0",
         "CASE WHEN row_number() OVER (PARTITION BY term ORDER BY label_id) = 1"
         " THEN idf * idf ELSE 0D END AS own_0",
     )
-    stats = model.class_stats.selectExpr("label_id", "n AS n_0", "norm2 AS norm2_0")
-    return dots.unionByName(constant_terms(stats, [0], tf_idf.documents))
 
 
 def score(
@@ -36,27 +29,29 @@ def score(
     tf_idf: TfIdfModel,
     model: NearestCentroidModel,
     staging: Staging | None = None,
+    table: DataFrame | None = None,
 ) -> DataFrame:
     """``doc_id, predicted, dist`` for every document, also those of no known word.
 
     Weighting and distance are one pass over the documents, unless the model is too large to be
-    broadcast; the features are never written out.
+    broadcast; the features are never written out.  ``table`` is the model's staged scoring table,
+    for callers that score again and again.
     """
     check_same_space(tf_idf.space, model.space)
     staging = staging or Staging(documents.sparkSession)
-    table = staging.write(model_scoring_table(tf_idf, model), "scoring")
-    counted = with_constant(with_term_counts(documents.select("doc_id", "pages")))
+    table = table or staging.write(model_scoring_table(tf_idf, model), "scoring")
+    counted = with_term_counts(documents.select("doc_id", "pages"))
     if broadcast_floor(term_bands(table), len(table.columns), tf_idf.budget) != 0:
         # The words will be read more than once.
         counted = staging.write(counted, "scored_counts")
-    tokens = weigh_constant(
-        exploded(counted.select("doc_id", "terms", "total", "mx"), tf_idf.settings)
-    )
+    tokens = exploded(counted.select("doc_id", "terms", "total", "mx"), tf_idf.settings)
     found = score_tokens(
-        tokens,
+        tokens.withColumn("tf", F.coalesce("tf", F.lit(0.0))),
+        documents.select("doc_id"),
         ["doc_id"],
         table,
         [0],
+        model.norms(),
         lambda left, right: join_terms(left, right, tf_idf.budget, counted=False, staging=staging),
     )
     return found.drop("split_index")

@@ -23,8 +23,9 @@ from ..operators.centroid import (
     CONSTANT,
     NO_TRAINING_DATA,
     Classifier,
+    ClassNorms,
     NearestCentroidModel,
-    constant_terms,
+    least_norms,
     score_tokens,
 )
 from ..operators.splits import assign_sides, assignment, split_cuts
@@ -96,7 +97,7 @@ def count_documents(
 
 
 def with_constant(counted: DataFrame) -> DataFrame:
-    """Give every document the constant term."""
+    """Give every document the constant term, by which documents and classes are counted."""
     return counted.withColumn(
         "terms", F.expr(f"array_append(terms, struct('{CONSTANT}' AS term, 1L AS cnt))")
     )
@@ -166,8 +167,7 @@ class FittedSplits:
     terms: DataFrame
     #: ``class_ix, n_i, norm2_i``
     class_stats: DataFrame
-    #: all documents, and by split the training documents and the size of the vocabulary
-    total: int
+    #: by split the training documents and the size of the vocabulary
     documents: dict[int, int]
     columns: dict[int, int]
     #: frequency bands of ``terms``
@@ -188,7 +188,6 @@ def fit_splits(
     word = f"term <> '{CONSTANT}'"
     bands = term_bands(
         sums,
-        F.expr("max(docs) AS top"),
         *[F.expr(f"max(CASE WHEN {word} THEN 0 ELSE df_{i} END) AS n_{i}") for i in splits],
         *[F.expr(f"max(CASE WHEN {word} THEN df_{i} ELSE 0 END) AS max_{i}") for i in splits],
         *[F.expr(f"count_if(head AND {word} AND df_{i} > 0) AS v_{i}") for i in splits],
@@ -228,8 +227,7 @@ def fit_splits(
         *[f"n_{i}" for i in splits],
         *[f"coalesce(norm2_{i}, 0D) AS norm2_{i}" for i in splits],
     )
-    total = max(band["top"] for band in bands)
-    return FittedSplits(splits, terms, stats, total, documents, columns, bands)
+    return FittedSplits(splits, terms, stats, documents, columns, bands)
 
 
 def scoring_table(fitted: FittedSplits, splits: list[int] | None = None) -> DataFrame:
@@ -238,7 +236,7 @@ def scoring_table(fitted: FittedSplits, splits: list[int] | None = None) -> Data
     # Words of all documents often weigh nothing; a class without a word needs no row for it.
     weighs = " OR ".join(f"idf_{i} <> 0" for i in splits)
     held = " OR ".join(f"mean_{i} <> 0" for i in splits)
-    rows = fitted.terms.filter(f"({weighs}) AND (head OR {held})").selectExpr(
+    return fitted.terms.filter(f"({weighs}) AND (head OR {held})").selectExpr(
         "term",
         "class_ix AS class_id",
         "docs",
@@ -246,26 +244,33 @@ def scoring_table(fitted: FittedSplits, splits: list[int] | None = None) -> Data
         *[f"CASE WHEN head THEN coalesce(idf_{i} * idf_{i}, 0D) ELSE 0D END AS own_{i}"
           for i in splits],
     )
-    stats = fitted.class_stats.withColumnRenamed("class_ix", "label_id")
-    return rows.unionByName(constant_terms(stats, splits, fitted.total))
 
 
 def predict_splits(
-    counted: DataFrame, config: TrainingConfig, fitted: FittedSplits, budget: int
+    counted: DataFrame,
+    config: TrainingConfig,
+    fitted: FittedSplits,
+    size: ClassTableSize,
+    budget: int,
 ) -> DataFrame:
     """``split_index, doc_id, class_ix, is_train, predicted, dist`` for every document and split.
 
     Classes, also the predicted ones, are given by number.
     """
     splits = fitted.splits
-    tokens = corpus_tokens(counted, ["doc_id", "class_ix"], config.tf_idf, splits)
+    keys = ["doc_id", "class_ix"]
+    tokens = corpus_tokens(counted, keys, config.tf_idf, splits).filter(f"term <> '{CONSTANT}'")
     table = scoring_table(fitted)
+    stats = fitted.class_stats.withColumnRenamed("class_ix", "class_id")
+    norms = ClassNorms(size.hint(stats, 2 * len(splits)), least_norms(stats, splits))
     floor = broadcast_floor(fitted.bands, len(table.columns), budget)
     found = score_tokens(
         tokens,
-        ["doc_id", "class_ix", "sides"],
+        counted.selectExpr(*keys, _side_bits(splits)),
+        [*keys, "sides"],
         table,
         splits,
+        norms,
         lambda left, right: join_above(left, right, floor),
     )
     return found.selectExpr(
@@ -371,31 +376,49 @@ def train(
     config = (config or TrainingConfig()).with_seed()
     config.split.check_trainable()
     staging = staging or Staging(documents.sparkSession)
+    try:
+        return _train(documents, config, factory, staging, budget)
+    except BaseException:
+        staging.drop()
+        raise
+
+
+def _train(
+    documents: DataFrame,
+    config: TrainingConfig,
+    factory: ModelFactory | None,
+    staging: Staging,
+    budget: int,
+) -> TrainingOutcome:
     classes = staging.write(class_table(documents), "classes")
     summary = check_classes(classes, config.split)
+    # Rows are matched by id from here on.
+    check_document_ids(documents)
     if factory is not None:
         return _train_with_factory(documents, config, factory, staging, budget)
-    size = ClassTableSize(summary["classes"], summary["label_bytes"], budget)
+    every = list(range(config.split.repetitions))
+    passes = [every[at : at + SPLITS_PER_PASS] for at in range(0, len(every), SPLITS_PER_PASS)]
+    # All passes end up in one job and share its budget for broadcasts: half of it for terms, the
+    # other half for the class tables, of which a pass has about four.
+    terms_budget = budget // (2 * len(passes))
+    size = ClassTableSize(
+        summary["classes"], summary["label_bytes"], budget // (8 * len(passes))
+    )
     stratified = config.split.sampling == "stratified"
     largest = summary["largest_class" if stratified else "documents"]
     counted = staging.write(
         count_documents(documents, config, classes, size, largest), "counted"
     )
     check_page_counts(counted)
-    every = list(range(config.split.repetitions))
-    passes = [every[at : at + SPLITS_PER_PASS] for at in range(0, len(every), SPLITS_PER_PASS)]
     fits = [fit_splits(counted, config, splits, size, staging) for splits in passes]
     predictions = metrics.union_all(
-        [predict_splits(counted, config, fit, budget) for fit in fits]
+        [predict_splits(counted, config, fit, size, terms_budget) for fit in fits]
     )
     # Scores do not depend on what classes are called.
     measured = metrics.evaluate(predictions.withColumnRenamed("class_ix", "label_id"))
     evaluations = metrics.split_evaluations(measured).coalesce(1)
     evaluations = staging.write(evaluations, "evaluations")
     best = metrics.select_split(evaluations, config.evaluation_strategy).first()
-    # Rows of equal ids and labels end up as one document, so a repeated id shows here.
-    if best["train_samples"] + best["test_samples"] != summary["documents"]:
-        raise InvalidInput("document ids must be unique and not null")
     selected = best["split_index"]
     run = FittedRun(fits, classes, size, predictions)
     tf_idf, model = run.selected(selected, config, f"{staging.path}#{selected}", budget)
@@ -409,7 +432,7 @@ def train(
 
 def missing_factory(_: Features) -> Classifier:
     """The factory of a run that was given none of its own and no built-in classifier."""
-    raise InvalidInput("Missing model generating function!")
+    raise InvalidInput("no factory was given to make a model")
 
 
 def _train_with_factory(
@@ -420,7 +443,6 @@ def _train_with_factory(
     budget: int,
 ) -> TrainingOutcome:
     check_page_counts(documents)
-    check_document_ids(documents)
     ids = documents.select("doc_id", "label_id")
     cuts = staging.write(split_cuts(ids, config.split, config.seed), "cuts")
     # Counted once for all splits.

@@ -1,4 +1,4 @@
-"""What every job needs from its session: shared staging, input spread and sizing."""
+"""What every job needs from its session: shared staging, broadcasts and sizing."""
 
 from __future__ import annotations
 
@@ -67,21 +67,21 @@ def _file_system_path(spark: SparkSession, path: str):
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def spread(table: DataFrame) -> DataFrame:
-    """Deal rows out to all cores when the input holds less than one split for each of them.
+def path_exists(spark: SparkSession, path: str) -> bool:
+    path, system = _file_system_path(spark, path)
+    return system.exists(path)
+
+
+def file_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if there is no such folder."""
+    path, system = _file_system_path(spark, path)
+    return [f.getPath().getName() for f in system.listStatus(path)] if system.exists(path) else []
 
-    A corpus of many or large files keeps the partitioning of its scan, and so is not shuffled.
-    """
-    spark = table.sparkSession
-    cores = spark.sparkContext.defaultParallelism
-    files = table.inputFiles()
-    if len(files) >= cores:
-        return table
-    size = 0
-    for name in files:
-        path, system = _file_system_path(spark, name)
-        size += system.getFileStatus(path).getLen()
-    return table if size >= cores * SPLIT_BYTES else table.repartition(cores)
+
+def create_file(spark: SparkSession, path: str) -> bool:
+    """Create an empty file; False if it was there.  Of several callers one succeeds."""
+    path, system = _file_system_path(spark, path)
+    return not system.exists(path) and system.createNewFile(path)
 
 
 def estimated_bytes(rows: int, text_bytes: int, fixed_columns: int) -> int:
@@ -115,14 +115,20 @@ def broadcast_if_small(
     return F.broadcast(table) if weight <= budget else table
 
 
-def session_conf(corpus_bytes: int, cores: int) -> dict[str, str]:
+#: Bytes that meet a shuffle for each byte of text: ids, sides, and sums per term and class that
+#: were combined before.  Texts and the terms of documents are not shuffled.
+SHUFFLED_SHARE = 0.05
+
+
+def session_conf(
+    corpus_bytes: int, cores: int, shuffled_share: float = SHUFFLED_SHARE
+) -> dict[str, str]:
     """Settings for a corpus of a given size.
 
-    Counting terms roughly doubles the bytes that meet a shuffle; partitions of about 128 MiB
-    keep sorts and hash tables inside an executor core's share of memory.  Adaptive execution
-    merges what turns out smaller and splits what turns out skewed.
+    Partitions of about 128 MiB keep sorts and hash tables inside an executor core's share of
+    memory.  Adaptive execution merges what turns out smaller and splits what turns out skewed.
     """
-    partitions = max(cores, math.ceil(2 * corpus_bytes / SPLIT_BYTES))
+    partitions = max(cores, math.ceil(shuffled_share * corpus_bytes / SPLIT_BYTES))
     return {
         "spark.sql.shuffle.partitions": str(partitions),
         "spark.sql.adaptive.enabled": "true",

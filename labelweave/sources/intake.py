@@ -30,10 +30,18 @@ class IntakeConfig:
         names.check_region(self.region)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Files of a folder as upload rows without metadata."""
+def read_files(
+    spark: SparkSession, path: str, max_bytes: int = MAX_UPLOAD_BYTES
+) -> DataFrame:
+    """Files of a folder as upload rows without metadata.
+
+    The length is tested by the scan itself: the bytes of a larger file, which may be more than a
+    row can hold, are never read, and its row has no content.
+    """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return as_uploads(files)
+    small = files.filter(F.col("length") <= max_bytes)
+    large = files.filter(F.col("length") > max_bytes).select("path", "modificationTime", "length")
+    return as_uploads(small.unionByName(large, allowMissingColumns=True))
 
 
 def as_uploads(files: DataFrame) -> DataFrame:
@@ -68,7 +76,7 @@ def check_uploads(uploads: DataFrame, config: IntakeConfig) -> DataFrame:
         .when(F.col("length") > config.max_bytes, "file is too large")
         .when(missing, "file name is required")
         .when(
-            F.col("metadata").isNull(), "metadata must be a JSON object with string values"
+            F.col("metadata").isNull(), "metadata has to be one JSON object whose values are text"
         )
         .when(F.col("safe_name").isNull(), "file name is invalid")
         .otherwise(names.collection_error(F.col("prefix"), config.account, config.region))
@@ -79,18 +87,23 @@ def check_uploads(uploads: DataFrame, config: IntakeConfig) -> DataFrame:
 def manifest(
     checked: DataFrame, config: IntakeConfig, identity: list[Column] | None = None
 ) -> DataFrame:
-    """``collection, object_key, content_type, metadata, length`` of the uploads without an error.
+    """``collection, object_key, content_type, metadata, length, e_tag`` of uploads without error.
+
+    ``e_tag`` is the MD5 of the stored bytes, null if only a manifest is made.
 
     ``identity`` columns make the keys repeatable; without them they are random.
     """
     collection = names.collection_name(F.col("prefix"), config.account, config.region)
-    extra = [c for c in ("content",) if c in checked.columns]
+    stored = "content" in checked.columns
+    e_tag = F.md5("content") if stored else F.lit(None).cast("string")
+    extra = ["content"] if stored else []
     return checked.filter("error IS NULL").select(
         collection.alias("collection"),
         names.object_key(F.col("safe_name"), *(identity or [])).alias("object_key"),
         F.col("stored_type").alias("content_type"),
         names.with_collection(F.col("metadata"), collection).alias("metadata"),
         "length",
+        e_tag.alias("e_tag"),
         *extra,
     )
 

@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 from ..config import InvalidInput, NotFound
 from ..functions.names import canonical_id, is_object_id
 from ..functions.text import unicode_trim
+from ..session import file_names, path_exists
 
 LABEL = T.StructType(
     [
@@ -37,12 +38,62 @@ def create_labels(names: DataFrame) -> DataFrame:
     """New ``label_id, name`` rows with generated ids; equal names are different labels."""
     cleaned = clean_label_names(names.select("name"))
     if cleaned.filter("name IS NULL").limit(1).count():
-        raise InvalidInput("label name must not be blank")
+        raise InvalidInput("a label needs a name that is not blank")
     return cleaned.select(new_object_id().alias("label_id"), "name")
 
 
-def append_labels(names: DataFrame, path: str) -> None:
-    create_labels(names).write.mode("append").parquet(path)
+class LabelTable:
+    """Labels kept in a folder, every change a new version of the table.
+
+    A version is complete once Spark has committed it, and readers take the latest complete one.  So
+    a change can read the table it replaces, a lost executor or a failed job leaves the table as it
+    was, and of two changes at once the second fails instead of undoing the first.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark = spark
+        self.path = path.rstrip("/")
+
+    def _version(self) -> int:
+        """Number of the latest complete version, 0 if there is none yet."""
+        versions = file_names(self.spark, self.path)
+        numbers = [int(name.removeprefix("v")) for name in versions if name.startswith("v")]
+        done = (n for n in sorted(numbers, reverse=True)
+                if path_exists(self.spark, f"{self._folder(n)}/_SUCCESS"))
+        return next(done, 0)
+
+    def _folder(self, version: int) -> str:
+        return f"{self.path}/v{version:09d}"
+
+    def read(self) -> DataFrame:
+        version = self._version()
+        if not version:
+            return self.spark.createDataFrame([], LABEL)
+        return read_labels(self.spark, self._folder(version))
+
+    def _commit(self, labels: DataFrame, version: int) -> None:
+        labels.write.mode("error").parquet(self._folder(version))
+
+    def replace(self, labels: DataFrame) -> None:
+        """Make a table of ``label_id, name`` the latest version."""
+        self._commit(labels.select("label_id", "name"), self._version() + 1)
+
+    def create(self, names: DataFrame) -> DataFrame:
+        """Store new labels and return the stored rows, with the ids they got."""
+        version = self._version() + 1
+        before, fresh = self.read(), f"{self.path}/new-{version:09d}"
+        # Ids are drawn once, when they are written; what is returned is what was stored.
+        create_labels(names).write.mode("error").parquet(fresh)
+        added = read_labels(self.spark, fresh)
+        self._commit(before.unionByName(added), version)
+        return added
+
+    def delete(self, ids: DataFrame) -> DataFrame:
+        """Remove labels by their ids and return the removed rows."""
+        version, labels = self._version() + 1, self.read()
+        removed, kept = delete_labels(labels, ids)
+        self._commit(kept, version)
+        return removed
 
 
 def delete_labels(labels: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -66,5 +117,5 @@ def malformed_ids(ids: DataFrame) -> DataFrame:
 def check_object_ids(ids: DataFrame) -> DataFrame:
     """The same rows with ids in lower case."""
     if malformed_ids(ids).limit(1).count():
-        raise InvalidInput("invalid label ObjectId")
+        raise InvalidInput("a label id is not 24 hexadecimal characters")
     return ids.withColumn("label_id", canonical_id(F.col("label_id")))

@@ -10,7 +10,6 @@ import json
 import uuid
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,7 +24,7 @@ from ..config import (
 from ..operators.centroid import NearestCentroidModel
 from ..operators.tfidf import TfIdfModel
 from ..plans.training import TrainingOutcome
-from ..session import BROADCAST_BYTES
+from ..session import BROADCAST_BYTES, create_file, path_exists
 
 SETTINGS = [
     T.StructField("classifier", T.StringType(), False),
@@ -141,10 +140,9 @@ class ModelStore:
         return model_id
 
     def _table(self, name: str) -> DataFrame | None:
-        try:
-            return self.spark.read.parquet(f"{self.path}/{name}")
-        except AnalysisException:
+        if not path_exists(self.spark, f"{self.path}/{name}"):
             return None
+        return self.spark.read.parquet(f"{self.path}/{name}")
 
     def models(self) -> DataFrame | None:
         return self._table("models")
@@ -191,6 +189,10 @@ class ModelStore:
         rows = self.spark.createDataFrame([values], RUN)
         rows.coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
 
+    def claim(self, trainer_id: str) -> bool:
+        """Whether this caller is the first to start a run: only one can create its mark."""
+        return create_file(self.spark, f"{self.path}/started/{trainer_id}")
+
     def runs(self) -> DataFrame | None:
         """All entries of the run log; a run that was started and ended has one of each."""
         return self._table("runs")

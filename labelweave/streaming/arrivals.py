@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import DataStreamWriter
 
-from ..plans.scoring import score
+from ..plans.scoring import model_scoring_table, score
 from ..session import Staging
 from ..sources.intake import IntakeConfig, check_uploads, manifest, rejects
 from ..sources.models import SavedModel
@@ -32,11 +32,18 @@ def manifest_stream(
 def score_stream(
     documents: DataFrame, saved: SavedModel, sink: Callable[[DataFrame, int], None]
 ) -> DataStreamWriter:
-    """Writer that hands every batch's ``doc_id, predicted, dist`` and its number to a sink."""
+    """Writer that hands every batch's ``doc_id, predicted, dist`` and its number to a sink.
+
+    The model's scoring table is made once for the stream and lives as long as the model's store.
+    """
+    model = Staging(documents.sparkSession)
+    table = model.write(model_scoring_table(saved.tf_idf, saved.model), "scoring")
 
     def score_batch(batch: DataFrame, number: int) -> None:
         staging = Staging(batch.sparkSession)
-        sink(score(batch, saved.tf_idf, saved.model, staging), number)
-        staging.drop()
+        try:
+            sink(score(batch, saved.tf_idf, saved.model, staging, table), number)
+        finally:
+            staging.drop()
 
     return documents.writeStream.foreachBatch(score_batch)

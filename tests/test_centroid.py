@@ -51,11 +51,11 @@ def test_implicit_zeros_and_single_class(spark, staging):
 
 def test_bad_training_data(spark):
     fit = NearestCentroid().fit
-    with pytest.raises(InvalidInput, match="training data"):
+    with pytest.raises(InvalidInput, match="nothing to learn"):
         fit(matrix(spark, [], 0))
-    with pytest.raises(InvalidInput, match="training data"):
+    with pytest.raises(InvalidInput, match="nothing to learn"):
         fit(matrix(spark, [], 1, 0, ["0"]))
-    with pytest.raises(InvalidInput, match="training data"):
+    with pytest.raises(InvalidInput, match="nothing to learn"):
         fit(matrix(spark, ROWS, 2, labels=["1", None]))
     for value in (math.nan, math.inf, -math.inf):
         with pytest.raises(InvalidInput, match="finite"):
@@ -63,7 +63,7 @@ def test_bad_training_data(spark):
 
 
 def test_bad_features_to_predict(spark, model):
-    with pytest.raises(InvalidInput, match="feature space"):
+    with pytest.raises(InvalidInput, match="another vocabulary"):
         model.predict(matrix(spark, [], 1, space="other"))
     with pytest.raises(PySparkException, match="finite"):
         model.predict(matrix(spark, [(0, "0", math.nan)], 1)).collect()
@@ -78,3 +78,25 @@ def test_true_ties_go_to_the_lowest_label_whatever_the_scale(spark, staging):
     fitted = NearestCentroid().fit(matrix(spark, rows, 6, 30, labels), staging)
     found = fitted.predict(matrix(spark, rows, 6, 30)).collect()
     assert {r["predicted"] for r in found} == {"a"}
+
+
+def test_a_far_class_does_not_blur_the_near_ones(spark, staging):
+    rows = [(0, "t1", 1.0), (1, "t0", 1.0), (2, "t2", 1e7)]
+    fitted = NearestCentroid().fit(matrix(spark, rows, 3, 3, ["a", "b", "c"]), staging)
+    found = fitted.distances(matrix(spark, [(0, "t0", 1.0), (1, "t2", 5.0)], 3, 3)).collect()
+    assert {r["doc_id"]: (r["predicted"], r["dist"]) for r in found} == {
+        0: ("b", 0.0),
+        1: ("a", pytest.approx(math.sqrt(26))),
+        2: ("a", 1.0),
+    }
+
+
+def test_words_that_push_a_class_away(spark, staging):
+    """With negative means the class of least norm can be farther than one that shares nothing."""
+    rows = [(0, "t0", -1.0), (1, "t1", 1.5), (2, "t2", 3.0)]
+    fitted = NearestCentroid().fit(matrix(spark, rows, 3, 3, ["a", "b", "c"]), staging)
+    found = fitted.distances(matrix(spark, [(0, "t0", 2.0)], 2, 3)).collect()
+    assert {r["doc_id"]: (r["predicted"], r["dist"]) for r in found} == {
+        0: ("b", 2.5),
+        1: ("a", 1.0),
+    }

@@ -102,7 +102,7 @@ def test_intake_rules(spark, staging):
     assert errors == sorted([
         "file is too large", "file name is required", "file name is required",
         "file name is invalid", "invalid collection prefix", "invalid collection prefix",
-        "metadata must be a JSON object with string values", "file is required",
+        "metadata has to be one JSON object whose values are text", "file is required",
     ])
 
 
@@ -192,8 +192,10 @@ def test_documents_from_pages(spark, monkeypatch):
 def test_labels(spark, staging):
     path = f"{staging.path}/labels"
     given = spark.createDataFrame([(" one ",), ("　two\n",), ("one",)], "name string")
-    label_ops.append_labels(given, path)
-    labels = label_ops.read_labels(spark, path)
+    table = label_ops.LabelTable(spark, path)
+    created = table.create(given)
+    labels = table.read()
+    assert sorted(created.collect()) == sorted(labels.collect())
     rows = labels.collect()
     assert sorted(r["name"] for r in rows) == ["one", "one", "two"]
     assert len({r["label_id"] for r in rows}) == 3
@@ -207,6 +209,14 @@ def test_labels(spark, staging):
     assert [r["name"] for r in kept.collect()] == ["one", "one"]
     with pytest.raises(NotFound):
         label_ops.delete_labels(kept, ids)
+    # The table itself: a change is a new version, a failed one leaves the table as it was.
+    assert [r["name"] for r in table.delete(ids).collect()] == ["two"]
+    assert [r["name"] for r in table.read().collect()] == ["one", "one"]
+    with pytest.raises(NotFound):
+        table.delete(ids)
+    more = table.create(spark.createDataFrame([("three",)], "name string")).collect()
+    again = label_ops.LabelTable(spark, path).read()
+    assert again.count() == 3 and more[0] in again.collect()
     upper = spark.createDataFrame([("AB" * 12,)], "label_id string")
     assert label_ops.check_object_ids(upper).first()["label_id"] == "ab" * 12
     for bad in ("ab" * 11, "zz" * 12, "ab" * 12 + "\n", None):

@@ -136,13 +136,13 @@ def test_training_documents_are_checked(spark):
     settings = SplitSettings()
     with pytest.raises(InvalidInput):
         check_training_documents(plain(spark, {"a": 3}), SplitSettings(repetitions=0))
-    with pytest.raises(InvalidInput, match="nonempty"):
+    with pytest.raises(InvalidInput, match="no documents"):
         check_training_documents(plain(spark, {}), settings)
-    with pytest.raises(InvalidInput, match="two documents"):
+    with pytest.raises(InvalidInput, match="single document"):
         check_training_documents(plain(spark, {"a": 3, "b": 1}), settings)
-    with pytest.raises(InvalidInput, match="two documents"):
+    with pytest.raises(InvalidInput, match="single document"):
         check_training_documents(plain(spark, {"a": 3, "b": 1}), SplitSettings(0.8, 1, "random"))
-    with pytest.raises(InvalidInput, match="partitions"):
+    with pytest.raises(InvalidInput, match="part empty"):
         check_training_documents(plain(spark, {"a": 4}), SplitSettings(0.1, 1, "random"))
     with pytest.raises(InvalidInput, match="label"):
         check_training_documents(
