@@ -31,6 +31,8 @@ SIDE = 2
 CONTEXTS = 1 << (2 * SIDE * SYMBOL_BITS)
 HIDDEN = 48
 ROUNDS = 8
+#: Least gradient steps of a task in a round.
+STEPS = 64
 _SLICE = 1 << 20
 _DROPPED = 255
 _SPACE, _DIGIT, _STOP, _SIGN, _LATIN, _OTHER = range(26, 32)
@@ -159,20 +161,25 @@ class Network:
 
 
 def train_locally(
-    network: Network, context: np.ndarray, counts: np.ndarray, rate: float, seed: int, size=2048
+    network: Network, context: np.ndarray, counts: np.ndarray, rate: float, seed: int
 ) -> Network:
-    """One pass of Adam over contexts in a shuffled order."""
+    """Adam over the contexts in shuffled batches: one pass, or as many as make up ``STEPS``."""
     values = [p.copy() for p in network.parameters()]
     first = [np.zeros_like(p) for p in values]
     second = [np.zeros_like(p) for p in values]
-    order = np.random.default_rng(seed).permutation(len(context))
-    for step, at in enumerate(range(0, len(order), size), 1):
-        batch = order[at : at + size]
-        gradient = Network(*values).gradient(context[batch], counts[batch])
-        for value, g, m, v in zip(values, gradient, first, second, strict=True):
-            m += 0.1 * (g - m)
-            v += 0.01 * (g * g - v)
-            value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+    random = np.random.default_rng(seed)
+    size = min(max(-(-len(context) // STEPS), 32), 2048)
+    step = 0
+    while step < STEPS:
+        order = random.permutation(len(context))
+        for at in range(0, len(order), size):
+            step += 1
+            batch = order[at : at + size]
+            gradient = Network(*values).gradient(context[batch], counts[batch])
+            for value, g, m, v in zip(values, gradient, first, second, strict=True):
+                m += 0.1 * (g - m)
+                v += 0.01 * (g * g - v)
+                value -= rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
     return Network(*values)
 
 

@@ -75,7 +75,7 @@ def _contexts(data: np.ndarray, offsets: np.ndarray):
     for k in range(ORDER + 1):
         if k:
             context = context + (padded[at - k] + np.uint64(1)) * _ODD[k]
-        seen = context + np.uint64(k) * _ODD[20]
+        seen = context + _ODD[20 + k]
         both = mix(seen + (padded[at] + np.uint64(1)) * _ODD[30])
         shift = np.uint64(64 - BUCKET_BITS)
         found.append(
@@ -196,11 +196,12 @@ def calibrate(scored: DataFrame) -> float:
     bad, good = sum(r[1] for r in rows), sum(r[2] for r in rows)
     if not bad or not good:
         return 0.0
-    candidates, lost, kept_out = [], 0, 0
+    candidates, lost, kept_out, above = [], 0, 0, rows[0][0]
     for step, b, g in rows:
-        # The threshold is the lower edge of a step: what lies below is blocked.
-        candidates.append((lost / good + (bad - kept_out) / bad, abs(step), step * _STEP))
-        lost, kept_out = lost + g, kept_out + b
+        # A threshold anywhere between the last step below and this one blocks the same URLs.
+        nearest = min(max(above, 0), step) * _STEP
+        candidates.append((lost / good + (bad - kept_out) / bad, abs(nearest), nearest))
+        lost, kept_out, above = lost + g, kept_out + b, step + 1
     return min(candidates)[2]
 
 
