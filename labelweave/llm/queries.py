@@ -45,6 +45,46 @@ def query(name: str, sql: str | None = None):
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
+# Least id reachable by links, from a table ``nodes(id)`` and symmetric ``links(a, b)``.
+_REACHED = """reached(id, other) AS (
+      SELECT id, id FROM nodes
+      UNION SELECT r.id, l.b FROM reached r JOIN links l ON r.other = l.a
+    ), component AS (SELECT id, min(other) AS component_id FROM reached GROUP BY id)"""
+
+_JACCARD_SQL = f"""
+    WITH RECURSIVE w AS (
+      SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+        'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'),
+        lambda x: x <> '') AS w FROM documents
+    ), s AS (
+      SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+        ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS shingle FROM w
+    ), n AS (
+      SELECT doc_id, count(shingle) AS n FROM w LEFT JOIN s USING (doc_id) GROUP BY doc_id
+    ), met AS (
+      SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b
+      ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY ALL
+    ), links AS (
+      SELECT met.a, met.b FROM met JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b
+      WHERE 100 * c >= 75 * (x.n + y.n - c)
+    ), nodes AS (SELECT doc_id AS id FROM documents), {_REACHED}
+    SELECT doc_id, n AS n_shingles, component_id FROM n JOIN component ON id = doc_id"""
+
+_COSINE_SQL = f"""
+    WITH RECURSIVE e AS (
+      SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ), links AS (
+      SELECT x.vec_id AS a, y.vec_id AS b FROM e x JOIN e y
+      ON x.label = y.label AND x.vec_id <> y.vec_id AND len(x.v) = len(y.v)
+      WHERE list_cosine_similarity(x.v, y.v) >= 0.98
+    ), nodes AS (SELECT vec_id AS id FROM embeddings), {_REACHED}
+    SELECT vec_id, (SELECT count(*) FROM links WHERE a = vec_id) AS n_links, component_id,
+           vec_id = component_id AS kept
+    FROM embeddings JOIN component ON id = vec_id"""
+
 
 @query("op1_packing")
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,7 +121,7 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), TOKENIZER)
 
 
-@query("op2_hamming_duplicates")
+@query("op2_hamming_duplicates", _COSINE_SQL)
 def op2_hamming_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all vectors at a cosine of 0.98."""
     return near_duplicates(table(spark, sf_dir, "embeddings"))
@@ -126,7 +166,7 @@ def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out, "lang_pred", "score")
 
 
-@query("op9_jaccard_join")
+@query("op9_jaccard_join", _JACCARD_SQL)
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size and component of every document under 0.75 Jaccard of five-word shingles."""
     return jaccard_components(table(spark, sf_dir, "documents"))
