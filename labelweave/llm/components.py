@@ -18,12 +18,12 @@ def connected_components(
     neighbours is formed, and the driver sees a count per round.  Rounds are written tables, so a
     lost executor costs no earlier round.
     """
-    live = edges.filter("a <> b").select(
+    ends = edges.filter("a <> b").select(
         F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
     )
-    live = staging.write(live.distinct(), f"{name}-edges")
-    both = live.select(F.col("a").alias("id")).union(live.select(F.col("b").alias("id")))
-    labels = both.distinct().select("id", F.col("id").alias("component"))
+    live = staging.write(ends.distinct(), f"{name}-edges")
+    labels = live.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    labels = labels.select("id", F.col("id").alias("component"))
     for number in range(most_rounds):
         # Each node's least neighbour, itself included; the smaller end never needs the larger.
         hooks = live.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("hook"))
@@ -35,11 +35,8 @@ def connected_components(
             ),
             f"{name}-parents-{number}",
         )
-        labels = staging.write(
-            labels.join(parents, labels["component"] == parents["node"], "left").select(
-                "id", F.coalesce("parent", "component").alias("component")
-            ),
-            f"{name}-labels-{number}",
+        labels = labels.join(parents, labels["component"] == parents["node"], "left").select(
+            "id", F.coalesce("parent", "component").alias("component")
         )
         at_a = parents.select(F.col("node").alias("a"), F.col("parent").alias("parent_a"))
         at_b = parents.select(F.col("node").alias("b"), F.col("parent").alias("parent_b"))
@@ -53,5 +50,5 @@ def connected_components(
         )
         live = staging.write(moved, f"{name}-live-{number}")
         if live.isEmpty():
-            return labels
+            return staging.write(labels, name)
     raise RuntimeError("components did not settle")

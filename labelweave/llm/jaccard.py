@@ -12,8 +12,8 @@ Frequent shingles never form all pairs of their texts.  Where many texts meet in
 each is first compared with a few leaders of that shingle and joins the ball around a leader it
 links with; then only centres of balls, and texts in none, are paired.  Distance (1 - similarity) is
 a metric: members of two balls can link only if their centres are within the threshold plus both
-radii, and such pairs of balls are opened again if nothing else has connected them.  So no link
-between components is lost, while links inside a ball need not be listed.
+radii, and such balls are compared text by text, in blocks, if nothing else has connected them.  So
+no link between components is lost, while links inside a ball need not be listed.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import Staging, broadcast_if_small
+from ..session import BROADCAST_BYTES, Staging, broadcast_if_small, estimated_bytes
 from .arrowtext import mix, row_slices, shingles, text_buffer, words
 from .components import connected_components
 from .shipping import map_arrow
@@ -45,6 +45,8 @@ _CHUNK = 1 << 14
 CROWD = 24
 LEADERS = 4
 ROUNDS = 4
+#: Texts of a block when near balls are compared text by text.
+BLOCK = 256
 #: Rows of one shingle that are sorted together; a more frequent one is dealt out.
 _TOGETHER_BITS = 14
 _SLICE = 1 << 20
@@ -252,40 +254,73 @@ def full_sets(documents: DataFrame, salt: int) -> DataFrame:
     return map_arrow(documents, per_task, "x long, shingles array<long>")
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``a, b, similar, distance`` from the whole sets of each pair."""
+@dataclass
+class TextSets:
+    """Finds the sets of named texts again, by the ids of rows that hold them."""
+
+    rows: DataFrame
+    classes: DataFrame
+    salt: int
+
+    def read(self, names: DataFrame, most: int) -> DataFrame:
+        """``x, shingles`` of the sets in ``names`` (``x``), possibly more than once each.
+
+        Texts are read where they lie; only if there may be too many names, of which there are at
+        most ``most``, for their ids to be sent there, are texts shuffled to them.
+        """
+        ids = self.classes.join(names, "x").select(F.col("first").alias("wanted")).distinct()
+        if estimated_bytes(most, 0, 4) <= BROADCAST_BYTES:
+            ids = F.broadcast(ids)
+        found = self.rows.join(ids, F.equal_null("doc_id", "wanted"), "left_semi")
+        return full_sets(found, self.salt)
+
+
+def verify(pairs: DataFrame, texts: TextSets, staging: Staging, name: str) -> DataFrame:
+    """``a, b, similar, distance`` of the pairs of a written table, from their whole sets.
+
+    The result is a written table too; the sets are dropped when it is there.
+    """
+    own = Staging(pairs.sparkSession)
+    names = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
+    sets = own.write(texts.read(names, 2 * pairs.count()), "sets")
     at_a = sets.select(F.col("x").alias("a"), F.col("shingles").alias("set_a"))
     at_b = sets.select(F.col("x").alias("b"), F.col("shingles").alias("set_b"))
-    met = pairs.select("a", "b").join(at_a, "a").join(at_b, "b")
-    shared = met.select(
-        "a",
-        "b",
-        F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("both"),
-        (F.size("set_a") + F.size("set_b")).cast("long").alias("together"),
+    shared = (
+        pairs.join(at_a, "a")
+        .join(at_b, "b")
+        .select(
+            "a",
+            "b",
+            F.size(F.array_intersect("set_a", "set_b")).cast("long").alias("both"),
+            (F.size("set_a") + F.size("set_b")).cast("long").alias("together"),
+        )
+        # A set that several rows hold is read from each of them.
+        .dropDuplicates(["a", "b"])
     )
     union = F.col("together") - F.col("both")
-    return shared.select(
+    judged = shared.select(
         "a",
         "b",
         (100 * F.col("both") >= SIMILAR * union).alias("similar"),
         (1 - F.col("both") / union).alias("distance"),
     )
+    result = staging.write(judged, name)
+    own.drop()
+    return result
 
 
 def _with_centres(shared: DataFrame, balls: DataFrame) -> DataFrame:
     """Postings with the centre of the ball each text is in, itself if in none."""
     return shared.join(balls.select("x", "centre", "radius"), "x", "left").select(
-        "token",
-        "x",
-        "n",
-        "place",
-        "m",
+        *[F.col(name) for name in shared.columns],
         F.coalesce("centre", "x").alias("c"),
         F.coalesce("radius", F.lit(0.0)).alias("radius"),
     )
 
 
-def form_balls(shared: DataFrame, sets: DataFrame, staging: Staging) -> tuple[DataFrame, DataFrame]:
+def form_balls(
+    shared: DataFrame, texts: TextSets, staging: Staging
+) -> tuple[DataFrame, DataFrame]:
     """Balls ``x, centre, radius`` and links ``a, b`` found while forming them.
 
     Only crowded shingles take part.  Leaders are drawn anew each round by a hash.
@@ -293,90 +328,73 @@ def form_balls(shared: DataFrame, sets: DataFrame, staging: Staging) -> tuple[Da
     spark = shared.sparkSession
     balls = spark.createDataFrame([], "x long, centre long, radius double")
     links = spark.createDataFrame([], "a long, b long")
+    crowd = shared.filter(F.col("met") > CROWD).select("token", "part", "x")
+    # Parts are small, so a frequent shingle is no burden; each part has leaders of its own.
+    part = Window.partitionBy("token", "part")
     for number in range(ROUNDS):
-        centred = _with_centres(shared, balls)
-        by_token = centred.groupBy("token", "c").agg(F.max("radius").alias("radius"))
-        crowds = by_token.groupBy("token").agg(F.count(F.lit(1)).alias("size"))
-        crowded = staging.write(
-            by_token.join(crowds.filter(F.col("size") > CROWD), "token"), f"crowded-{number}"
-        )
-        if crowded.isEmpty():
-            break
-        lot = F.xxhash64("c", F.lit(number))
-        # The least few of a shingle by lot: an aggregate, so frequent shingles combine early.
-        leaders = crowded.groupBy("token").agg(
-            F.min(F.struct(lot, "c")).alias("first"),
-            *[
-                F.min(F.when(F.pmod(F.xxhash64("c", F.lit(7)), F.lit(LEADERS)) == k,
-                             F.struct(lot, "c"))).alias(f"of_{k}")
-                for k in range(LEADERS)
-            ],
-        )
-        chosen = leaders.select(
-            "token",
-            F.explode(F.array_distinct(F.array("first.c", *[f"of_{k}.c" for k in range(LEADERS)])))
-            .alias("leader"),
-        ).filter("leader IS NOT NULL")
+        # Dealt out once: distinct rows, their number and the leaders all go by shingle.
+        dealt = _with_centres(crowd, balls).select("token", "part", "c")
+        members = dealt.repartition("token", "part").distinct()
+        lot = F.struct(F.xxhash64("c", F.lit(number)).alias("lot"), "c")
+        group = F.pmod(F.xxhash64("c", F.lit(7)), F.lit(LEADERS))
+        led = members.select(
+            "c",
+            F.count("c").over(part).alias("size"),
+            *[F.min(F.when(group == k, lot)).over(part).alias(f"of_{k}") for k in range(LEADERS)],
+        ).filter(F.col("size") > CROWD)
         # A centre with members stays one; all others look for a leader.
         centres = balls.select(F.col("centre").alias("c")).distinct()
-        seekers = crowded.join(centres, "c", "left_anti").select("token", "c")
         met = (
-            seekers.join(chosen, "token")
+            led.join(centres, "c", "left_anti")
+            .select("c", F.explode(F.array(*[f"of_{k}.c" for k in range(LEADERS)])).alias("leader"))
             .filter("c <> leader")
             .groupBy("c", "leader")
             .agg(F.count(F.lit(1)).alias("shared"))
         )
-        best = met.groupBy("c").agg(
-            F.max(F.struct("shared", F.col("leader").alias("leader"))).alias("best")
-        )
+        best = met.groupBy("c").agg(F.max(F.struct("shared", "leader")).alias("best"))
         pairs = staging.write(
             best.select(F.col("c").alias("a"), F.col("best.leader").alias("b")), f"seek-{number}"
         )
-        found = staging.write(verify(pairs, sets).filter("similar"), f"found-{number}")
+        if pairs.isEmpty():
+            break
+        found = verify(pairs, texts, staging, f"found-{number}").filter("similar")
         links = links.unionByName(found.select("a", "b"))
-        moving = found.select(F.col("a").alias("b"))
-        # Who has found a leader follows it, unless that leader follows another one.
-        joined = found.join(moving.distinct(), "b", "left_anti").select(
+        # Who has found a leader follows it, unless others have found it as theirs.
+        followed = found.select(F.col("b").alias("a")).distinct()
+        joined = found.join(followed, "a", "left_anti").select(
             F.col("a").alias("x"), F.col("b").alias("centre"), F.col("distance").alias("radius")
         )
         balls = staging.write(balls.unionByName(joined), f"balls-{number}")
-        if joined.isEmpty():
-            break
     return balls, links
 
 
-def _partners(rows: DataFrame, prefix: str) -> DataFrame:
-    return rows.select("token", *[F.col(c).alias(f"{prefix}_{c}") for c in rows.columns[1:]])
-
-
-def meeting_pairs(shared: DataFrame, balls: DataFrame, parts: DataFrame) -> DataFrame:
-    """``a, b`` of centres that may link or whose members may, and that are not connected yet.
-
-    ``parts`` gives the component (``id, component``) that centres are known to be in.
-    """
-    radii = balls.groupBy(F.col("centre").alias("c")).agg(F.max("radius").alias("reach"))
-    known = parts.select(F.col("id").alias("c"), F.col("component"))
-    centred = _with_centres(shared, balls).groupBy("token", "c").agg(
-        F.min("n").alias("least"),
-        F.max("n").alias("most"),
+def meeting_pairs(shared: DataFrame, balls: DataFrame) -> DataFrame:
+    """``a, b`` of centres that may link or whose members may."""
+    rows = _with_centres(shared, balls)
+    centres = balls.select(F.col("centre").alias("c"), F.lit(True).alias("ball")).distinct()
+    rows = rows.join(centres, "c", "left").select(
+        "token",
+        "c",
+        F.col("n").alias("least"),
+        F.col("n").alias("most"),
+        "place",
+        "m",
+        F.coalesce("ball", F.lit(False)).alias("ball"),
+    )
+    # Only balls have several members, and so several rows of one shingle.
+    members = rows.filter("ball").groupBy("token", "c", "ball").agg(
+        F.min("least").alias("least"),
+        F.max("most").alias("most"),
         F.min("place").alias("place"),
         F.max("m").alias("m"),
     )
-    rows = (
-        centred.join(radii, "c", "left")
-        .join(known, "c", "left")
-        .select(
-            "token",
-            "c",
-            "least",
-            "most",
-            "place",
-            "m",
-            F.col("reach").isNotNull().alias("ball"),
-            F.coalesce("component", "c").alias("part"),
+    rows = rows.filter("NOT ball").unionByName(members)
+
+    def side(prefix: str) -> DataFrame:
+        return rows.select(
+            "token", *[F.col(c).alias(f"{prefix}_{c}") for c in rows.columns if c != "token"]
         )
-    )
-    a, b = _partners(rows, "a"), _partners(rows, "b")
+
     near_sizes = F.expr(
         f"100 * a_most >= {SIMILAR} * b_least AND 100 * b_most >= {SIMILAR} * a_least"
     )
@@ -389,8 +407,8 @@ def meeting_pairs(shared: DataFrame, balls: DataFrame, parts: DataFrame) -> Data
     m = F.least("a_m", "b_m")
     beyond = "{0}_place - ({0}_most - CAST(ceil(%d * {0}_most / 100D) AS INT))" % SIMILAR
     inside = F.greatest(F.expr(beyond.format("a")), F.expr(beyond.format("b")), F.lit(1)) <= m
-    met = a.join(b, "token").filter("a_c < b_c AND a_part <> b_part").filter(near_sizes)
-    met = met.filter(ball | inside)
+    met = side("a").join(side("b"), "token").filter("a_c < b_c")
+    met = met.filter(near_sizes).filter(ball | inside)
     counted = met.groupBy("a_c", "b_c").agg(
         F.count(F.lit(1)).alias("shared"),
         F.max(F.when(enough, 1).otherwise(0)).alias("enough"),
@@ -401,53 +419,98 @@ def meeting_pairs(shared: DataFrame, balls: DataFrame, parts: DataFrame) -> Data
     return counted.filter(wanted).select(F.col("a_c").alias("a"), F.col("b_c").alias("b"))
 
 
-def open_pairs(
-    checked: DataFrame, shared: DataFrame, balls: DataFrame, parts: DataFrame
-) -> DataFrame:
-    """Pairs ``a, b`` of members of unconnected balls whose centres are near enough for a link."""
-    limit = 1 - SIMILAR / 100
+def near_balls(checked: DataFrame, balls: DataFrame, parts: DataFrame) -> DataFrame:
+    """Pairs ``a, b, distance`` of unconnected centres whose members may still link."""
     radii = balls.groupBy(F.col("centre").alias("c")).agg(F.max("radius").alias("reach"))
     known = parts.select(F.col("id").alias("c"), "component")
+    rows = checked.filter("NOT similar")
+    for side in ("a", "b"):
+        rows = rows.join(radii.toDF(side, f"reach_{side}"), side, "left")
+        rows = rows.join(known.toDF(side, f"part_{side}"), side, "left")
+    reach = F.coalesce("reach_a", F.lit(0.0)) + F.coalesce("reach_b", F.lit(0.0))
+    # The last digits of a sum of distances must not decide.
+    return rows.filter(
+        (F.coalesce("part_a", "a") != F.coalesce("part_b", "b"))
+        & (reach > 0)
+        & (F.col("distance") <= 1 - SIMILAR / 100 + reach + 1e-9)
+    ).select("a", "b", "distance")
+
+
+def cloud_links(
+    apart: DataFrame, balls: DataFrame, parts: DataFrame, texts: TextSets, staging: Staging
+) -> DataFrame:
+    """Links ``a, b`` between unconnected members of balls that lie near each other.
 
-    def side(name: str) -> DataFrame:
-        return radii.join(known, "c", "full").select(
-            F.col("c").alias(name),
-            F.coalesce("reach", F.lit(0.0)).alias(f"reach_{name}"),
-            F.coalesce("component", "c").alias(f"part_{name}"),
-        )
-
-    apart = (
-        checked.filter("NOT similar")
-        .join(side("a"), "a", "left")
-        .join(side("b"), "b", "left")
+    Balls that are near make up a cloud.  The texts of a cloud are dealt out to blocks, and every
+    two blocks are compared by one task, which returns a link per text and component at most.
+    """
+    clouds = connected_components(apart.select("a", "b"), staging, "clouds")
+    centres = clouds.select(F.col("id").alias("x"), F.col("component").alias("cloud"))
+    members = balls.select("x", F.col("centre").alias("id")).join(clouds, "id")
+    members = centres.unionByName(members.select("x", F.col("component").alias("cloud")))
+    sizes = members.groupBy("cloud").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    known = parts.select(F.col("id").alias("x"), "component")
+    placed = staging.write(
+        members.join(sizes, "cloud")
+        .join(known, "x", "left")
         .select(
-            "a",
-            "b",
-            "distance",
-            F.coalesce("reach_a", F.lit(0.0)).alias("reach_a"),
-            F.coalesce("reach_b", F.lit(0.0)).alias("reach_b"),
-            F.coalesce("part_a", "a").alias("part_a"),
-            F.coalesce("part_b", "b").alias("part_b"),
-        )
-        .filter("part_a <> part_b AND reach_a + reach_b > 0")
-        # The last digits of a sum of distances must not decide.
-        .filter(f"distance <= {limit} + reach_a + reach_b + 1e-9")
-        .select("a", "b", "distance")
-    )
-    rows = _with_centres(shared, balls)
-    one = rows.select(
-        F.col("c").alias("a"), "token", F.col("x").alias("x_a"), F.col("radius").alias("off_a")
-    )
-    two = rows.select(
-        F.col("c").alias("b"), "token", F.col("x").alias("x_b"), F.col("radius").alias("off_b")
+            "x",
+            "cloud",
+            "blocks",
+            F.coalesce("component", "x").alias("part"),
+            F.pmod(F.xxhash64("x"), "blocks").alias("own"),
+        ),
+        "placed",
     )
-    met = apart.join(one, "a").join(two, ["b", "token"])
-    return (
-        met.filter(f"distance <= {limit} + off_a + off_b + 1e-9")
-        .filter("x_a <> x_b AND NOT (x_a = a AND x_b = b)")
-        .select(F.least("x_a", "x_b").alias("a"), F.greatest("x_a", "x_b").alias("b"))
-        .distinct()
+    sets = texts.read(placed.select("x"), placed.count()).dropDuplicates(["x"])
+    sets = staging.write(sets, "cloud-sets")
+    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other")
+    dealt = (
+        placed.select("*", other)
+        .join(sets, "x")
+        .select(
+            "cloud",
+            F.least("own", "other").alias("low"),
+            F.greatest("own", "other").alias("high"),
+            "x",
+            "part",
+            "own",
+            "shingles",
+        )
     )
+    found = dealt.groupBy("cloud", "low", "high").applyInArrow(_compare_blocks, "a long, b long")
+    return staging.write(found.distinct(), "cloud-links")
+
+
+def _compare_blocks(rows: pa.Table) -> pa.Table:
+    """Links between the two blocks of a group, or within it if they are the same."""
+    lists = rows["shingles"].combine_chunks()
+    names, parts = rows["x"].to_numpy(), rows["part"].to_numpy()
+    own, high = rows["own"].to_numpy(), rows["high"][0].as_py()
+    one_block = rows["low"][0].as_py() == high
+    hashes = lists.flatten().to_numpy()
+    sizes = np.diff(lists.offsets.to_numpy())
+    starts = np.cumsum(sizes) - sizes
+    distinct, ids = np.unique(hashes, return_inverse=True)
+    here, links = np.zeros(len(distinct), bool), []
+    ahead = np.flatnonzero(own == high)
+    if len(ahead):
+        ahead_ids = np.concatenate([ids[starts[k] : starts[k] + sizes[k]] for k in ahead])
+        ahead_starts = np.cumsum(sizes[ahead]) - sizes[ahead]
+    for k in range(len(names)) if len(ahead) else []:
+        if not one_block and own[k] == high:
+            continue
+        mine = ids[starts[k] : starts[k] + sizes[k]]
+        here[mine] = True
+        both = np.add.reduceat(here[ahead_ids].astype(np.int64), ahead_starts)
+        here[mine] = False
+        union = sizes[k] + sizes[ahead] - both
+        linked = (100 * both >= SIMILAR * union) & (parts[ahead] != parts[k])
+        # One link to each component is enough.
+        _, first = np.unique(parts[ahead][linked], return_index=True)
+        links += [(names[k], other) for other in names[ahead][linked][first]]
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.table([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def jaccard_components(
@@ -485,34 +548,27 @@ def jaccard_components(
     classes = classes.select("x", "first")
     listed = postings(rows, frequency_levels(summary), salt)
     together = Window.partitionBy("token", "part")
+    # The rows of one part are few, so a frequent shingle is no burden; its parts always meet.
+    met = F.when(F.col("part") > 0, 1 << _TOGETHER_BITS).otherwise(F.count("x").over(together))
+    ends = [F.min("x").over(together).alias("low"), F.max("x").over(together).alias("high")]
     shared = staging.write(
-        listed.select(
-            "*", F.min("x").over(together).alias("low"), F.max("x").over(together).alias("high")
-        )
+        listed.select("*", met.cast("int").alias("met"), *ends)
         .filter("low <> high OR part > 0")
         .dropDuplicates(["token", "part", "x"])
-        .select("token", "x", "n", "place", "m"),
+        .select("token", "part", "x", "n", "place", "m", "met"),
         "shared",
     )
-    # Sets of the texts that meet any other; their rows are found by id, so texts move only if
-    # these ids are too many to be sent to the texts.
-    wanted = shared.select("x").distinct().join(classes, "x")
-    ids = staging.write(wanted.select(F.col("first").alias("doc_id")).distinct(), "wanted")
-    named = rows.join(broadcast_if_small(ids, "doc_id"), "doc_id", "left_semi")
-    unnamed = rows.filter("doc_id IS NULL")
-    sets = staging.write(
-        full_sets(named.unionByName(unnamed), salt).dropDuplicates(["x"]), "sets"
-    )
-    balls, links = form_balls(shared, sets, staging)
-    parts = connected_components(links, staging, "near")
-    checked = staging.write(verify(meeting_pairs(shared, balls, parts), sets), "checked")
+    texts = TextSets(rows, classes, salt)
+    balls, links = form_balls(shared, texts, staging)
+    pairs = staging.write(meeting_pairs(shared, balls), "pairs")
+    checked = verify(pairs, texts, staging, "checked")
     links = links.unionByName(checked.filter("similar").select("a", "b"))
+    found = connected_components(links, staging, "near")
     if not balls.isEmpty():
-        parts = connected_components(links, staging, "centres")
-        more = open_pairs(checked, shared, balls, parts)
-        opened = staging.write(verify(more, sets).filter("similar"), "opened")
-        links = links.unionByName(opened.select("a", "b"))
-    found = connected_components(links, staging, "all")
+        apart = staging.write(near_balls(checked, balls, found), "apart")
+        if not apart.isEmpty():
+            links = links.unionByName(cloud_links(apart, balls, found, texts, staging))
+            found = connected_components(links, staging, "all")
     # The least id of a component, over the copies of all its sets.
     own = classes.join(found, classes["x"] == found["id"], "left").select(
         "x", "first", F.coalesce("component", "x").alias("component")
