@@ -405,8 +405,12 @@ def meeting_pairs(shared: DataFrame, balls: DataFrame) -> DataFrame:
         f" >= {SIMILAR} * (a_most + b_most)"
     )
     m = F.least("a_m", "b_m")
-    beyond = "{0}_place - ({0}_most - CAST(ceil(%d * {0}_most / 100D) AS INT))" % SIMILAR
-    inside = F.greatest(F.expr(beyond.format("a")), F.expr(beyond.format("b")), F.lit(1)) <= m
+    # What two sets of these sizes must share; their first m common shingles lie before the rest.
+    whole = 100 + SIMILAR
+    need = F.expr(f"({SIMILAR} * (a_most + b_most) + {whole - 1}) DIV {whole}")
+    inside = (F.col("a_place") <= F.col("a_most") - need + m) & (
+        F.col("b_place") <= F.col("b_most") - need + m
+    )
     met = side("a").join(side("b"), "token").filter("a_c < b_c")
     met = met.filter(near_sizes).filter(ball | inside)
     counted = met.groupBy("a_c", "b_c").agg(
