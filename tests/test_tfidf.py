@@ -140,8 +140,9 @@ def test_join_is_the_same_whatever_is_broadcast(spark, staging, budget, counted)
 def test_broadcast_floor(spark):
     rows = [("a" * 10, 1000), ("b" * 10, 900), ("c" * 10, 3), ("d" * 10, 1)]
     bands = term_bands(spark.createDataFrame(rows, "term string, docs long"))
-    assert [b["band"] for b in bands] == [9, 1, 0]
+    # A sixteenth of a power of two to a band: 1000 and 900 documents are told apart.
+    assert [b["band"] for b in bands] == [159, 157, 25, 0]
     assert broadcast_floor(bands, 2, 1 << 20) == 0
     assert broadcast_floor(bands, 2, 10) is None
     two = 2 * (48 + 16 + 10)
-    assert broadcast_floor(bands, 2, two) == 512
+    assert broadcast_floor(bands, 2, two) == 900
