@@ -199,9 +199,10 @@ def prefixes(sets: ShingleSets, level: np.ndarray, noise: float):
 
 
 def postings(documents: DataFrame, levels: np.ndarray, salt: int) -> DataFrame:
-    """``token, part, x, n, place, m``: one row per text and prefix shingle.
+    """``token, dealt, part, x, n, place, m``: one row per text and prefix shingle.
 
-    ``part`` deals out the rows of a very frequent shingle; it is 0 for the others.
+    ``part`` deals out the rows of a very frequent shingle, which is ``dealt``; it is 0 for the
+    others.
     """
     shared = documents.sparkSession.sparkContext.broadcast(levels)
     noise = float(np.exp2(np.median(levels) / 4.0) - 1)
@@ -222,18 +223,18 @@ def postings(documents: DataFrame, levels: np.ndarray, salt: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(hashes.view(np.int64)),
+                        pa.array(bits > 0),
                         pa.array(part.astype(np.int32)),
                         pa.array(x[row]),
                         pa.array(sets.size[row].astype(np.int32)),
                         pa.array(place.astype(np.int32)),
                         pa.array(m[row].astype(np.int32)),
                     ],
-                    ["token", "part", "x", "n", "place", "m"],
+                    ["token", "dealt", "part", "x", "n", "place", "m"],
                 )
 
-    return map_arrow(
-        documents, per_task, "token long, part int, x long, n int, place int, m int"
-    )
+    kinds = "token long, dealt boolean, part int, x long, n int, place int, m int"
+    return map_arrow(documents, per_task, kinds)
 
 
 def full_sets(documents: DataFrame, salt: int) -> DataFrame:
@@ -552,12 +553,13 @@ def jaccard_components(
     classes = classes.select("x", "first")
     listed = postings(rows, frequency_levels(summary), salt)
     together = Window.partitionBy("token", "part")
-    # The rows of one part are few, so a frequent shingle is no burden; its parts always meet.
-    met = F.when(F.col("part") > 0, 1 << _TOGETHER_BITS).otherwise(F.count("x").over(together))
+    # The rows of one part are few, so a frequent shingle is no burden; its parts always meet, so a
+    # text that is the only one in its part stays.
+    met = F.when(F.col("dealt"), 1 << _TOGETHER_BITS).otherwise(F.count("x").over(together))
     ends = [F.min("x").over(together).alias("low"), F.max("x").over(together).alias("high")]
     shared = staging.write(
         listed.select("*", met.cast("int").alias("met"), *ends)
-        .filter("low <> high OR part > 0")
+        .filter("low <> high OR dealt")
         .dropDuplicates(["token", "part", "x"])
         .select("token", "part", "x", "n", "place", "m", "met"),
         "shared",

@@ -52,6 +52,23 @@ def test_components_are_those_of_all_pairs(spark, staging, monkeypatch, crowd):
     assert found == sorted(wanted, key=repr)
 
 
+def test_a_lone_text_of_the_first_part_meets_those_of_others(spark, staging, monkeypatch):
+    """Shingles are dealt out by the rows that hold them, of which all but two may be copies."""
+    monkeypatch.setattr(jaccard, "_TOGETHER_BITS", 0)
+    texts = {}
+    for pair in range(30):
+        w = [f"{pair}-{k}" for k in range(60)]
+        for _ in range(4):
+            texts[len(texts)] = " ".join(w)
+        texts[len(texts)] = " ".join([*w, "end"])
+    documents = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    found = rows_of(
+        jaccard_components(documents, staging=staging), "doc_id", "n_shingles", "component_id"
+    )
+    wanted = [(i, n, c) for i, (n, c) in similar_groups(texts).items()]
+    assert found == sorted(wanted, key=repr)
+
+
 def test_odd_rows(spark, staging):
     rows = [
         (4, "a b c d e f", 1),
