@@ -157,3 +157,30 @@ def test_the_ratio_learns_from_the_rules(spark, staging):
     assert rows[0]["verdict"] == "block" and rows[0]["rule"] == "net/es/"
     assert min(r["ratio"] for r in rows[1:3]) > max(r["ratio"] for r in rows[3:])
     assert {r["verdict"] for r in rows[3:]} == {"block"}
+
+
+def test_counts_grow_with_the_urls_and_stay_exact(spark, staging):
+    """More grams than any fixed table holds, copies that count, and chunks scored apart."""
+    rng = random.Random(8)
+    kinds = [[], [], [], []]
+    for k in range(4000):
+        tail = "".join(rng.choice("abcdefghijklmnopqrstuvwxyz0123456789-_") for _ in range(24))
+        kinds[k % 4].append(f"https://{'ab'[k % 2]}.example.{'com' if k % 4 < 2 else 'org'}/{tail}")
+    rows = [(k, u, 1 + n % 3) for k, own in enumerate(kinds) for n, u in enumerate(own)]
+    frame = spark.createDataFrame(rows, "kind int, url string, times long").repartition(3)
+    counts = staging.write(urls.count_contexts(frame), "counts")
+    assert counts.count() > 1 << 17
+    copies = [[u for k, u, n in rows if k == kind for _ in range(n)] for kind in range(4)]
+    plain = [plain_model([u for kind in m for u in copies[kind]]) for m in urls.MODELS]
+    asked = [(kinds[k][0], k % 2) for k in range(4)] + [("https://new.example/é", 1), ("", 0)]
+    found = urls.add_ratios(
+        spark.createDataFrame(asked, "url string, half int"),
+        urls.gram_table(counts, urls.MODELS),
+        5 * urls._SLICE,
+    ).collect()
+    assert len(found) == len(asked)
+    for r in found:
+        half, length = dict(asked)[r["url"]], max(len(r["url"].encode()), 1)
+        own = [plain_likelihood(m, r["url"]) / length for m in plain]
+        assert r["ratio"] == pytest.approx(own[4] - own[5], abs=1e-9)
+        assert r["held_out"] == pytest.approx(own[2 * half] - own[2 * half + 1], abs=1e-9)
