@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, pseudo_likelihood, quality
+from . import language, quality, word_likelihood
 from .decontaminate import contaminated
 from .hamming import near_duplicates
 from .jaccard import jaccard_components
@@ -94,9 +94,8 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op5_pseudo_likelihood")
 def op5_pseudo_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The masked pseudo-likelihood of every document under a network trained on all of them."""
-    documents = table(spark, sf_dir, "documents")
-    return pseudo_likelihood.score(documents, pseudo_likelihood.train(documents))
+    """The masked pseudo-likelihood of every document's words, learned from all documents."""
+    return word_likelihood.score(table(spark, sf_dir, "documents"))
 
 
 @query("op6_pu_quality")
