@@ -14,6 +14,7 @@ from .hamming import near_duplicates
 from .jaccard import jaccard_components
 from .packing import pack
 from .tokens import token_counts
+from .turns import repaired_conversations
 from .urls import judge
 from .warc import archive, read_bundles
 
@@ -176,3 +177,9 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Host, path, rule and verdict of every page's URL."""
     return judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
+@query("op11_turn_repair")
+def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults, cheapest edits and repaired turns of every damaged conversation."""
+    return repaired_conversations(table(spark, sf_dir, "conversations"))
