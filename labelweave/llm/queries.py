@@ -13,6 +13,7 @@ from .decontaminate import contaminated
 from .hamming import near_duplicates
 from .jaccard import jaccard_components
 from .packing import pack
+from .ranked import ranked_documents
 from .tokens import token_counts
 from .turns import repaired_conversations
 from .urls import judge
@@ -87,6 +88,33 @@ _COSINE_SQL = f"""
     FROM embeddings JOIN component ON id = vec_id"""
 
 
+_RANKED_SQL = r"""
+    WITH d AS (
+      SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM documents
+    ), q AS (
+      SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+      FROM benchmark
+    ), n AS (SELECT doc_id, count(*) AS n FROM d GROUP BY doc_id),
+    c AS (SELECT count(*) AS docs, sum(n)::BIGINT AS l FROM n),
+    tf AS (SELECT doc_id, term, count(*) AS tf FROM d GROUP BY ALL),
+    w AS (
+      SELECT term, floor(1000 * ln((2 * docs + 2) / (2 * count(*) + 1)))::BIGINT AS w
+      FROM tf, c GROUP BY term, docs
+    ), scored AS (
+      SELECT item_id, doc_id,
+        sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // l))))::BIGINT AS score
+      FROM q JOIN tf USING (term) JOIN w USING (term) JOIN n USING (doc_id), c
+      GROUP BY item_id, doc_id
+    ), ranked AS (
+      SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank
+      FROM scored WHERE score > 0
+    )
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+
 @query("op1_packing")
 def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document cut into sequences of power-of-two lengths."""
@@ -183,3 +211,9 @@ def op10_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and repaired turns of every damaged conversation."""
     return repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
+@query("op12_ranked_search", _RANKED_SQL)
+def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
