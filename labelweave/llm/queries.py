@@ -14,6 +14,7 @@ from .hamming import near_duplicates
 from .jaccard import jaccard_components
 from .packing import pack
 from .ranked import ranked_documents
+from .repeats import without_repeats
 from .tokens import token_counts
 from .turns import repaired_conversations
 from .urls import judge
@@ -217,3 +218,16 @@ def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item."""
     return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_repeated_strings")
+def op13_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of strings of 400 bytes that occur again."""
+    cleaned = without_repeats(table(spark, sf_dir, "documents"))
+    return cleaned.select(
+        "doc_id",
+        "n_bytes",
+        "n_removed",
+        F.size("starts").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
