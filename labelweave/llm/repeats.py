@@ -461,26 +461,32 @@ def repeated_spans(
 
 
 def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts without their spans."""
+    """Texts without their spans, about a part's bytes at a time."""
     for batch in batches:
-        n = batch.num_rows
-        data, offsets = text_buffer(batch.column(3))
-        row, start = _flat(batch.column(1))
-        _, end = _flat(batch.column(2))
-        edges = np.zeros(len(data) + 1, np.int8)
-        edges[offsets[row] + start] += 1  # no two spans of a row touch
-        np.subtract.at(edges, offsets[row] + end, 1)
-        left = np.cumsum(edges[:-1], dtype=np.int8) == 0
-        bounds = np.concatenate(([0], np.cumsum(left)))[offsets]
-        kept = pa.LargeBinaryArray.from_buffers(
-            pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(data[left])]
-        )
-        removed = np.bincount(row, weights=end - start, minlength=n).astype(np.int64)
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.diff(offsets)), pa.array(removed), batch.column(1),
-             batch.column(2), kept.cast(pa.binary())],
-            ["id", "n_bytes", "n_removed", "starts", "ends", "kept"],
-        )
+        _, offsets = text_buffer(batch.column(3))
+        for first, last in row_slices(offsets, _PART_BYTES):
+            yield _kept_of(batch.slice(first, last - first))
+
+
+def _kept_of(batch: pa.RecordBatch) -> pa.RecordBatch:
+    n = batch.num_rows
+    data, offsets = text_buffer(batch.column(3))
+    row, start = _flat(batch.column(1))
+    _, end = _flat(batch.column(2))
+    edges = np.zeros(len(data) + 1, np.int8)
+    edges[offsets[row] + start] += 1  # no two spans of a row touch
+    np.subtract.at(edges, offsets[row] + end, 1)
+    left = np.cumsum(edges[:-1], dtype=np.int8) == 0
+    removed = np.bincount(row, weights=end - start, minlength=n).astype(np.int64)
+    bounds = offsets - np.concatenate(([0], np.cumsum(removed)))
+    kept = pa.LargeBinaryArray.from_buffers(
+        pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(data[left])]
+    )
+    return pa.RecordBatch.from_arrays(
+        [batch.column(0), pa.array(np.diff(offsets)), pa.array(removed), batch.column(1),
+         batch.column(2), kept.cast(pa.binary())],
+        ["id", "n_bytes", "n_removed", "starts", "ends", "kept"],
+    )
 
 
 def without_repeats(
