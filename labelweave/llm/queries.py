@@ -12,6 +12,7 @@ from . import language, quality, word_likelihood
 from .decontaminate import contaminated
 from .hamming import near_duplicates
 from .jaccard import jaccard_components
+from .oracles import REPEATED_STRINGS, TURN_REPAIR
 from .packing import pack
 from .ranked import ranked_documents
 from .repeats import without_repeats
@@ -208,7 +209,7 @@ def op10_url_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), URL_RULES)
 
 
-@query("op11_turn_repair")
+@query("op11_turn_repair", TURN_REPAIR)
 def op11_turn_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults, cheapest edits and repaired turns of every damaged conversation."""
     return repaired_conversations(table(spark, sf_dir, "conversations"))
@@ -220,7 +221,7 @@ def op12_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query("op13_repeated_strings")
+@query("op13_repeated_strings", REPEATED_STRINGS)
 def op13_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the bytes of strings of 400 bytes that occur again."""
     cleaned = without_repeats(table(spark, sf_dir, "documents"))
