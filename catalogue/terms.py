@@ -74,6 +74,22 @@ def term_frequency(spark, d):
     return ops.term_counts(corpus(spark, d))
 
 
+@query(
+    "term_frequency_blocks",
+    sql.with_ctes(
+        [*DOCS, *sql.counts()],
+        "SELECT d.doc_id, term, cnt, coalesce(total, 0) AS total, coalesce(mx, 0) AS mx FROM docs d "
+        "LEFT JOIN tf USING (doc_id) LEFT JOIN st USING (doc_id)",
+    ),
+)
+def term_frequency_blocks(spark, d):
+    """Terms of documents, of which those of over a thousand bytes are counted block by block."""
+    counted = ops.counted_documents(
+        corpus(spark, d).select("doc_id", "pages"), staging(spark), block=1000
+    )
+    return counted.select("doc_id", "total", "mx", F.inline_outer("terms"))
+
+
 @query(
     "term_frequency_pages",
     sql.with_ctes([("docs", TURNS), *sql.counts()], "SELECT doc_id, term, cnt FROM tf"),

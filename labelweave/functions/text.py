@@ -66,6 +66,40 @@ def with_term_counts(documents: DataFrame, pages: str = "pages") -> DataFrame:
     )
 
 
+def text_bytes(pages: Column) -> Column:
+    """Bytes of all pages; a null page has none."""
+    return F.aggregate(
+        pages,
+        F.lit(0).cast("bigint"),
+        lambda total, page: total + F.coalesce(F.octet_length(page), F.lit(0)),
+    )
+
+
+def page_pieces(page: Column, most: int) -> Column:
+    """A page cut behind white space into pieces of some ``most`` characters.
+
+    A piece goes on to the end of the word it is in, so no token is cut.
+    """
+    piece = F.lit(rf"(?s).{{1,{most}}}\S*\s?")
+    return F.regexp_extract_all(F.coalesce(page, F.lit("")), piece, F.lit(0))
+
+
+def text_blocks(pages: Column, most: int) -> Column:
+    """The pages of a document in blocks of some ``most`` bytes; a short document is one block.
+
+    Only a longer document's pages are cut, and so many pieces are put together as make a block.
+    """
+    pages = F.coalesce(pages, F.array().cast("array<string>"))
+    size = F.greatest(F.lit(1).cast("bigint"), text_bytes(pages))
+    pieces = F.flatten(F.transform(pages, lambda page: page_pieces(page, most)))
+    each = F.greatest(F.lit(1), F.floor(F.size(pieces) * F.lit(most) / size)).cast("int")
+    count = F.ceil(F.size(pieces) / each).cast("int")
+    blocks = F.transform(
+        F.sequence(F.lit(0), count - 1), lambda at: F.slice(pieces, at * each + 1, each)
+    )
+    return F.when(size > most, blocks).otherwise(F.array(pages))
+
+
 def unicode_trim(text: Column) -> Column:
     """Strip every kind of Unicode white space; the built-in trim strips spaces only."""
     return F.regexp_replace(text, r"^\p{IsWhite_Space}+|\p{IsWhite_Space}+$", "")

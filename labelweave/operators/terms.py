@@ -5,20 +5,70 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import document_tokens, with_term_counts
+from ..functions.text import document_tokens, text_blocks, with_term_counts
 from ..session import Staging
 
+#: Bytes of a document whose words are sorted in one row.  A longer document is counted block by
+#: block.
+BLOCK_BYTES = 4 << 20
 
-def term_counts(documents: DataFrame) -> DataFrame:
-    """``doc_id, term, cnt``: occurrences of every term over all pages of a document."""
-    counted = with_term_counts(documents.select("doc_id", "pages"))
-    return counted.select("doc_id", F.inline("terms"))
+
+def counted_documents(
+    documents: DataFrame,
+    staging: Staging | None = None,
+    name: str = "counted",
+    block: int = BLOCK_BYTES,
+) -> DataFrame:
+    """Replace ``pages`` by ``terms, total, mx``, as a staged table.
+
+    Words are counted where they are, a block of a document at a time, in one pass over the text.
+    Nearly all documents are one block, and final; the counts of the others' blocks are summed by
+    document and term, so that none of their texts is ever sorted as a whole.  The same rows come
+    out whatever a block holds.
+    """
+    staging = staging or Staging(documents.sparkSession)
+    rest = [c for c in documents.columns if c != "pages"]
+    blocks = documents.withColumn("pages", text_blocks(F.col("pages"), block))
+    blocks = blocks.withColumns({"_row": F.monotonically_increasing_id(), "_blocks": F.size("pages")})
+    rows = blocks.select(*rest, "_row", "_blocks", F.posexplode("pages").alias("_block", "pages"))
+    counted = staging.write(with_term_counts(rows), name)
+    whole = counted.filter("_blocks = 1").select(*rest, "terms", "total", "mx")
+    cut = counted.filter("_blocks > 1")
+    if cut.select("_row").isEmpty():
+        return whole
+    sums = cut.select("_row", F.inline("terms")).groupBy("_row", "term").agg(F.sum("cnt").alias("cnt"))
+    merged = sums.groupBy("_row").agg(
+        F.sort_array(F.collect_list(F.struct("term", "cnt"))).alias("terms"),
+        F.sum("cnt").alias("total"),
+        F.max("cnt").alias("mx"),
+    )
+    none = F.array().cast(counted.schema["terms"].dataType)
+    first = cut.filter("_block = 0").select(*rest, "_row")
+    found = first.join(merged, "_row", "left").select(
+        *rest,
+        F.coalesce("terms", none).alias("terms"),
+        F.coalesce("total", F.lit(0)).cast("bigint").alias("total"),
+        F.coalesce("mx", F.lit(0)).cast("bigint").alias("mx"),
+    )
+    return whole.unionByName(staging.write(found, f"{name}-merged"))
 
 
-def document_stats(documents: DataFrame) -> DataFrame:
+def term_counts(documents: DataFrame, staging: Staging | None = None) -> DataFrame:
+    """``doc_id, term, cnt``: occurrences of every term over all pages of a document.
+
+    With ``staging`` long documents are counted block by block.
+    """
+    return _counted(documents, staging).select("doc_id", F.inline("terms"))
+
+
+def _counted(documents: DataFrame, staging: Staging | None) -> DataFrame:
+    documents = documents.select("doc_id", "pages")
+    return with_term_counts(documents) if staging is None else counted_documents(documents, staging)
+
+
+def document_stats(documents: DataFrame, staging: Staging | None = None) -> DataFrame:
     """``doc_id, total, mx`` over all terms of a document, known to a vocabulary or not."""
-    counted = with_term_counts(documents.select("doc_id", "pages"))
-    return counted.select("doc_id", "total", "mx")
+    return _counted(documents, staging).select("doc_id", "total", "mx")
 
 
 def term_count_maps(documents: DataFrame) -> DataFrame:

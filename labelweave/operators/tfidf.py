@@ -9,11 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..config import InvalidInput, TfIdfSettings
-from ..functions.text import with_term_counts
 from ..functions.weights import idf_weight, tf_weight
 from ..session import BROADCAST_BYTES, Staging
 from .term_join import join_terms
-from .terms import maximum_frequency, term_index
+from .terms import counted_documents, maximum_frequency, term_index
 
 
 @dataclass(frozen=True)
@@ -93,8 +92,10 @@ class TfIdfModel:
         Terms are counted once, into a staged table: the join may read them more than once.
         """
         staging = staging or Staging(documents.sparkSession)
-        counted = with_term_counts(documents.select("doc_id", "pages"))
-        return self.weigh(staging.write(counted, "transformed_counts"), documents)
+        counted = counted_documents(
+            documents.select("doc_id", "pages"), staging, "transformed_counts"
+        )
+        return self.weigh(counted, documents)
 
     def weigh(
         self, counted: DataFrame, documents: DataFrame, fitted_here: bool = False
@@ -120,17 +121,15 @@ class TfIdf:
 
     def fit(self, documents: DataFrame, staging: Staging | None = None) -> TfIdfModel:
         staging = staging or Staging(documents.sparkSession)
-        counted = with_term_counts(documents.select("doc_id", "pages"))
-        return self.fit_counted(counted, documents.count(), staging)
+        counted = counted_documents(documents.select("doc_id", "pages"), staging, "term_counts")
+        return self.fit_counted(counted, counted.count(), staging)
 
     def fit_transform(
         self, documents: DataFrame, staging: Staging | None = None
     ) -> tuple[TfIdfModel, Features]:
         """Fit and weigh the same documents, counting their terms once."""
         staging = staging or Staging(documents.sparkSession)
-        counted = staging.write(
-            with_term_counts(documents.select("doc_id", "pages")), "term_counts"
-        )
+        counted = counted_documents(documents.select("doc_id", "pages"), staging, "term_counts")
         model = self.fit_counted(counted, counted.count(), staging)
         return model, model.weigh(counted, documents, fitted_here=True)
 

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import with_term_counts
 from ..operators.centroid import NearestCentroidModel, score_tokens
-from ..operators.term_join import broadcast_floor, join_terms, term_bands
+from ..operators.term_join import join_terms
+from ..operators.terms import counted_documents
 from ..operators.tfidf import TfIdfModel, check_same_space, exploded
 from ..session import Staging
 
@@ -40,10 +40,7 @@ def score(
     check_same_space(tf_idf.space, model.space)
     staging = staging or Staging(documents.sparkSession)
     table = table or staging.write(model_scoring_table(tf_idf, model), "scoring")
-    counted = with_term_counts(documents.select("doc_id", "pages"))
-    if broadcast_floor(term_bands(table), len(table.columns), tf_idf.budget) != 0:
-        # The words will be read more than once.
-        counted = staging.write(counted, "scored_counts")
+    counted = counted_documents(documents.select("doc_id", "pages"), staging, "scored_counts")
     tokens = exploded(counted.select("doc_id", "terms", "total", "mx"), tf_idf.settings)
     found = score_tokens(
         tokens.withColumn("tf", F.coalesce("tf", F.lit(0.0))),

@@ -16,7 +16,6 @@ from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..config import METRICS, InvalidInput, TfIdfSettings, TrainingConfig
-from ..functions.text import with_term_counts
 from ..functions.weights import idf_weight
 from ..operators import metrics
 from ..operators.centroid import (
@@ -30,6 +29,7 @@ from ..operators.centroid import (
 )
 from ..operators.splits import assign_sides, assignment, split_cuts
 from ..operators.term_join import broadcast_floor, join_above, term_bands
+from ..operators.terms import counted_documents
 from ..operators.tfidf import Features, TfIdf, TfIdfModel, exploded
 from ..operators.validate import (
     check_classes,
@@ -79,6 +79,7 @@ def count_documents(
     classes: DataFrame,
     size: ClassTableSize,
     largest_group: int,
+    staging: Staging,
 ) -> DataFrame:
     """``doc_id, class_ix, in_train, page_count, terms, total, mx``: split sides and term counts.
 
@@ -93,7 +94,7 @@ def count_documents(
     kept = documents.select("doc_id", "label_id", F.size("pages").alias("page_count"), "pages")
     numbered = kept.join(size.hint(classes.select("label_id", "class_ix"), 1), "label_id")
     sided = assign_sides(numbered, cuts, config.split, config.seed, size)
-    return with_constant(with_term_counts(sided.drop("label_id")))
+    return with_constant(counted_documents(sided.drop("label_id"), staging))
 
 
 def with_constant(counted: DataFrame) -> DataFrame:
@@ -271,7 +272,7 @@ def predict_splits(
         table,
         splits,
         norms,
-        lambda left, right: join_above(left, right, floor),
+        lambda left, right: join_above(left, right, floor, fitted.bands),
     )
     return found.selectExpr(
         "split_index",
@@ -406,9 +407,7 @@ def _train(
     )
     stratified = config.split.sampling == "stratified"
     largest = summary["largest_class" if stratified else "documents"]
-    counted = staging.write(
-        count_documents(documents, config, classes, size, largest), "counted"
-    )
+    counted = count_documents(documents, config, classes, size, largest, staging)
     check_page_counts(counted)
     fits = [fit_splits(counted, config, splits, size, staging) for splits in passes]
     predictions = metrics.union_all(
@@ -446,9 +445,7 @@ def _train_with_factory(
     ids = documents.select("doc_id", "label_id")
     cuts = staging.write(split_cuts(ids, config.split, config.seed), "cuts")
     # Counted once for all splits.
-    counted = staging.write(
-        with_term_counts(assign_sides(documents, cuts, config.split, config.seed)), "counted"
-    )
+    counted = counted_documents(assign_sides(documents, cuts, config.split, config.seed), staging)
     estimator = TfIdf(config.tf_idf, budget)
     candidates, measured = [], []
     for i in range(config.split.repetitions):

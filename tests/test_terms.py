@@ -112,3 +112,27 @@ def test_term_index_of_many_terms_and_splits(spark, staging):
     for s in range(3):
         expected = {t: i for i, t in enumerate(sorted(words[s:], key=str.encode))}
         assert {r["term"]: r["term_index"] for r in got if r["split_index"] == s} == expected
+
+
+@pytest.mark.parametrize("block", [1, 9, 40, 1 << 20])
+def test_long_documents_are_counted_block_by_block(spark, staging, block):
+    """Pages of one word, of none, null, and one that is longer than any block, repeated ids too."""
+    pages = [pages for pages, _ in CASES] + [
+        ["a b c " * 50, None, "", "ΟΔΟΣ ΟΔΟΣ"], ["x" * 300, "y z" * 40], [" " * 200, "-" * 99], None,
+    ]
+    rows = [(i, p, "l") for i, p in enumerate(pages)] + [(0, ["a b c " * 50], "m"), (None, ["q " * 99], "n")]
+    documents = spark.createDataFrame(rows, "doc_id long, pages array<string>, label string")
+
+    def found(counted):
+        return sorted(
+            ((r["doc_id"], r["label"], tuple(map(tuple, r["terms"])), r["total"], r["mx"])
+             for r in counted.collect()),
+            key=repr,
+        )
+
+    blocks = ops.counted_documents(documents, staging, "blocks", block)
+    assert found(blocks) == found(text.with_term_counts(documents))
+    held = spark.read.parquet(f"{staging.path}/blocks")
+    assert held.count() > len(rows) or block == 1 << 20
+    if block == 40:  # no row sorts many more words than a block holds
+        assert held.agg(F.max("total")).first()[0] <= 40

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from labelweave.config import InvalidInput, TfIdfSettings
 from labelweave.functions.weights import idf_weight, tf_weight
-from labelweave.operators.term_join import broadcast_floor, join_terms, term_bands
+from labelweave.operators.term_join import broadcast_floor, dealt_floor, join_terms, term_bands
 from labelweave.operators.tfidf import TfIdf
 
 LN2 = math.log(2)
@@ -146,3 +146,38 @@ def test_broadcast_floor(spark):
     assert broadcast_floor(bands, 2, 10) is None
     two = 2 * (48 + 16 + 10)
     assert broadcast_floor(bands, 2, two) == 900
+
+
+def test_words_of_all_documents_are_dealt_to_many_tasks(spark, staging):
+    """Nothing may be broadcast and one word is in every document."""
+    words = [f"w{k}" for k in range(40)]
+    rows = [(i, w, 1.0) for i in range(4000) for w in ("the", words[i % 40])]
+    left = spark.createDataFrame(rows, "doc_id long, term string, tf double")
+    docs = {"the": 4000} | dict.fromkeys(words, 100)
+    table = [(t, n, c) for t, n in docs.items() for c in "ab"]
+    right = staging.write(spark.createDataFrame(table, "term string, docs long, label string"), "right")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16",
+            "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        read = {}
+        for most in (50, 1 << 20):
+            joined = join_terms(left, right, 0, most=most)
+            parts = joined.groupBy(F.spark_partition_id()).count().collect()
+            read[most] = sorted(r["count"] for r in parts)
+            found = joined.groupBy("term", "label").agg(F.count("*"), F.countDistinct("doc_id"))
+            assert {tuple(r) for r in found.collect()} == {(t, c, docs[t], docs[t]) for t, _, c in table}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert read[1 << 20][-1] >= 8000 and read[50][-1] <= 2 * read[50][len(read[50]) // 2]
+
+
+def test_dealt_floor(spark):
+    rows = [("a", 1000), ("b", 900), ("c", 40), ("d", 2)]
+    bands = term_bands(spark.createDataFrame(rows, "term string, docs long"))
+    assert dealt_floor(bands, None, 30) == 40 and dealt_floor(bands, 900, 30) == 40
+    assert dealt_floor(bands, None, 500) == 900 and dealt_floor(bands, None, 1000) is None
+    assert dealt_floor([], None, 1) is None
