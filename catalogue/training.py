@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 
 from labelweave.config import METRICS, SplitSettings, TfIdfSettings, TrainingConfig
 from labelweave.operators import metrics as ops
 from labelweave.operators.centroid import NearestCentroid
+from labelweave.operators.learners import CentroidLearner
 from labelweave.operators.tfidf import TfIdf
 from labelweave.plans.jobs import run_training
 from labelweave.plans.scoring import named, score
@@ -177,6 +180,20 @@ def nearest_centroid(spark, d):
     return model.distances(matrix).select("doc_id", "predicted", F.round("dist", 5).alias("dist"))
 
 
+@query(
+    "nearest_centroid_wide",
+    sql.with_ctes(_fit_on_all(),
+                  "SELECT doc_id, predicted, round(dist, 5) AS dist FROM pred"),
+)
+def nearest_centroid_wide(spark, d):
+    """The same with weights whose squares no double holds; distances are as many times longer."""
+    own = staging(spark)
+    _, matrix = TfIdf(settings(idf="smooth")).fit_transform(corpus(spark, d), own)
+    matrix = replace(matrix, rows=matrix.rows.withColumn("weight", F.col("weight") * 2.0**700))
+    found = NearestCentroid().fit(matrix, own).distances(matrix, own)
+    return found.select("doc_id", "predicted", F.round(F.col("dist") / 2.0**700, 5).alias("dist"))
+
+
 @query("model_labels", "SELECT DISTINCT lang AS label_id FROM documents")
 def model_labels(spark, d):
     return trained(spark, d).model.labels()
@@ -359,6 +376,16 @@ def train_user_model(spark, d):
     return evaluated(train(corpus(spark, d), config, factory=NearestCentroid().fit))
 
 
+@query(
+    "train_learner",
+    sql.with_ctes(sql.run(reps=3, seed=9), EV_SQL),
+)
+def train_learner(spark, d):
+    """Training with a model that is learned from parts, all splits in one job."""
+    config = TrainingConfig(split=SplitSettings(repetitions=3), seed=9)
+    return evaluated(train(corpus(spark, d), config, learner=CentroidLearner()))
+
+
 @query(
     "no_leakage",
     sql.with_ctes(

@@ -6,7 +6,10 @@ document is compared with the classes it meets through a word and with that one
 same for all documents; rows of documents and classes that share nothing are not formed.
 
 This holds as long as no product of a weight and a mean is negative, which is so for TF-IDF: both
-carry the same IDF.  Features of mixed sign are compared with every class.
+carry the same IDF.  Where a word's weights and means have both signs, a document that meets m
+classes is compared with them and with the first of the m + 1 classes of least norm it does not meet.
+
+Weights whose squares do not fit a double are summed by magnitude, see ``wide``.
 
 A scoring table, ``term, class_id, docs, dot_i.., own_i..``, holds the sums' factors for several
 splits side by side: ``dot_i`` per class and ``own_i``, which adds to ``|x|^2``, on one class of
@@ -25,6 +28,7 @@ from pyspark.sql import functions as F
 
 from ..config import InvalidInput
 from ..session import BROADCAST_BYTES, Staging, broadcast_if_small
+from . import wide
 from .term_join import join_terms
 from .tfidf import Features, check_same_space
 from .validate import class_counts, is_finite
@@ -200,10 +204,9 @@ class NearestCentroidModel:
         small = broadcast_if_small(table, "class_id", self.budget)
         return ClassNorms(small, least_norms(table, [0]))
 
-    def distances(self, features: Features) -> DataFrame:
+    def distances(self, features: Features, staging: Staging | None = None) -> DataFrame:
         """``doc_id, predicted, dist`` for every document, with or without features."""
         check_same_space(features.space, self.space)
-        norms = self.norms()
         means = self.centroids.selectExpr("term", "label_id AS class_id", "docs", "mean AS dot_0")
         # Checked as the rows pass by, which spares a pass of its own over the features.
         weight = F.when(is_finite(F.col("weight")), F.col("weight")).otherwise(
@@ -211,19 +214,28 @@ class NearestCentroidModel:
         )
         rows = features.rows.select("doc_id", "term", weight.alias("tf"))
         every = features.documents.select("doc_id")
-        kind = means.schema["class_id"].dataType.simpleString()
+        met = join_terms(rows, means, self.budget, counted=False)
+        found = self._magnitudes(features.rows)
+        mixed = found.negative and self._mixed_signs(features.rows)
+        if found.safe:
+            return self._plain(rows, every, met, mixed, staging)
+        return self._wide(rows, every, met, mixed, staging)
+
+    def _plain(self, rows, every, met, mixed, staging) -> DataFrame:
+        norms = self.norms()
+        kind = self.centroids.schema["label_id"].dataType.simpleString()
         # A document's own norm counts all its terms, also those no class has.
         own = rows.selectExpr(
             "doc_id", f"CAST(NULL AS {kind}) AS class_id", "0D AS dot_0", "tf * tf AS own_0"
         )
-        met = join_terms(rows, means, self.budget, counted=False)
         dots = met.selectExpr("doc_id", "class_id", "tf * dot_0 AS dot_0", "0D AS own_0")
-        if self._mixed_signs(features):
-            # A constant term that all documents and classes have brings each to each.
-            classes = norms.table.select(F.lit(CONSTANT).alias("term"), "class_id")
-            classes = broadcast_if_small(classes, "class_id", self.budget)
-            bare = every.withColumn("term", F.lit(CONSTANT)).join(classes, "term")
-            # Every class is met, so none may stand for those that are not.
+        if mixed:
+            staging = staging or Staging(every.sparkSession)
+            dots = dots.groupBy("doc_id", "class_id").agg(F.sum("dot_0").alias("dot_0"))
+            dots = staging.write(dots.withColumn("own_0", F.lit(0.0)), "met")
+            order = [F.expr(_tie_key("norm2_0 / 2D", "norm2_0")), F.col("class_id")]
+            bare = _first_unmet(every, dots, norms.table.filter("n_0 > 0").orderBy(*order))
+            # The least of those that are not met is there already, for every document its own.
             norms = ClassNorms(norms.table, {0: (None, math.inf)})
         else:
             bare = every.selectExpr("doc_id", f"CAST(NULL AS {kind}) AS class_id")
@@ -231,12 +243,101 @@ class NearestCentroidModel:
         sums = dots.unionByName(own).unionByName(bare)
         return nearest_class(sums, ["doc_id"], [0], norms).drop("split_index")
 
-    def _mixed_signs(self, features: Features) -> bool:
-        """Whether a weight or mean is negative, so that a shared word may add distance."""
-        return not (
-            self.centroids.filter("mean < 0").isEmpty()
-            and features.rows.filter("weight < 0").isEmpty()
+    def _wide(self, rows, every, met, mixed, staging) -> DataFrame:
+        """Distances from sums by magnitude: as fine as those of ordinary weights, and never lost."""
+        staging = staging or Staging(every.sparkSession)
+        of_classes = self.centroids.groupBy(F.col("label_id").alias("class_id")).agg(
+            *wide.product_sums("mean", "mean", "n")
         )
+        classes = self.class_stats.select(F.col("label_id").alias("class_id"))
+        norms = classes.join(of_classes, "class_id", "left")
+        norms = staging.write(norms.na.fill(0.0, wide.names("n")), "wide_norms")
+        dots = met.groupBy("doc_id", "class_id").agg(*wide.product_sums("tf", "dot_0", "d"))
+        dots = staging.write(dots, "wide_dots")
+
+        level, half = wide.combined("{n} / 2D - {d}", "n", "d")
+        _, norm2 = wide.combined("{n} + 0D * {d}", "n", "d")
+        size = F.greatest(norm2, F.abs(half))
+        key = wide.order_key(level, wide.rounded(half, size, TIE_BITS)).alias("key")
+        nearest_bare = norms.select("*", *wide.zeros("d")).select("class_id", key)
+        nearest_bare = nearest_bare.orderBy("key", "class_id")
+        if mixed:
+            bare = _first_unmet(every, dots, nearest_bare)
+        else:
+            label = nearest_bare.first()["class_id"]
+            kind = self.centroids.schema["label_id"].dataType
+            bare = every.select("doc_id", F.lit(label).cast(kind).alias("class_id"))
+            bare = bare.join(dots.select("doc_id", "class_id"), ["doc_id", "class_id"], "left_anti")
+        pairs = dots.unionByName(bare.select("doc_id", "class_id", *wide.zeros("d")))
+        small = broadcast_if_small(norms, "class_id", self.budget)
+        best = pairs.join(small, "class_id").groupBy("doc_id").agg(
+            F.min(F.struct(key, "class_id", *wide.names("n"), *wide.names("d")))
+            .alias("best")
+        )
+        own = rows.groupBy("doc_id").agg(*wide.product_sums("tf", "tf", "o"))
+        joined = best.select(
+            "doc_id", F.col("best.class_id").alias("predicted"),
+            *[f"best.{c}" for c in wide.names("n") + wide.names("d")],
+        ).join(own, "doc_id", "left").na.fill(0.0, wide.names("o"))
+        square = wide.combined("{o} - 2D * {d} + {n}", "o", "d", "n")
+        return joined.select("doc_id", "predicted", wide.root(*square).alias("dist"))
+
+    def _magnitudes(self, rows: DataFrame) -> _Magnitudes:
+        """Signs and sizes of weights and means, in a pass over each."""
+        sizes = []
+        for table, value in ((rows, "weight"), (self.centroids, "mean")):
+            size = F.abs(F.col(value))
+            sizes.append(
+                table.agg(
+                    F.min(value).alias("least"),
+                    F.max(size).alias("most"),
+                    F.min(F.when(size > 0, size)).alias("finest"),
+                ).first()
+            )
+        known = [s for s in sizes if s["most"] is not None]
+        return _Magnitudes(
+            any(s["least"] < 0 for s in known),
+            all(
+                not math.isfinite(s["most"])  # which is an error, told when the row passes by
+                or s["most"] <= 2.0**wide.SAFE_POWER
+                and (s["finest"] or 1.0) >= 2.0**-wide.SAFE_POWER
+                for s in known
+            ),
+        )
+
+    def _mixed_signs(self, rows: DataFrame) -> bool:
+        """Whether a weight and a mean of one word differ in sign, so that sharing it adds distance."""
+
+        def signs(table: DataFrame, value: str, name: str) -> DataFrame:
+            return table.groupBy("term").agg(
+                (F.min(value) < 0).alias(f"{name}_below"), (F.max(value) > 0).alias(f"{name}_above")
+            )
+
+        both = signs(rows, "weight", "x").join(signs(self.centroids, "mean", "c"), "term")
+        return not both.filter("x_below AND c_above OR x_above AND c_below").isEmpty()
+
+
+@dataclass(frozen=True)
+class _Magnitudes:
+    negative: bool
+    safe: bool
+
+
+def _first_unmet(every: DataFrame, met: DataFrame, by_norm: DataFrame) -> DataFrame:
+    """``doc_id, class_id``: of the classes a document does not meet, the first of an order.
+
+    A document that meets m classes finds it among the first m + 1, so only as many are looked at
+    as the most any document meets, and one more.
+    """
+    classes = met.groupBy("doc_id").agg(F.collect_set("class_id").alias("met"))
+    most = classes.agg(F.max(F.size("met"))).first()[0] or 0
+    first = [r["class_id"] for r in by_norm.limit(most + 1).select("class_id").collect()]
+    kind = by_norm.schema["class_id"].dataType
+    order = F.array(*[F.lit(c).cast(kind) for c in first])
+    none = F.array().cast(f"array<{kind.simpleString()}>")
+    unmet = F.filter(order, lambda c: ~F.array_contains(F.coalesce("met", none), c))
+    found = every.join(classes, "doc_id", "left").select("doc_id", F.get(unmet, 0).alias("class_id"))
+    return found.filter("class_id IS NOT NULL")
 
 
 class NearestCentroid:
@@ -258,14 +359,18 @@ class NearestCentroid:
         if not rows or unlabelled:
             raise InvalidInput(NO_TRAINING_DATA)
         labelled = features.rows.join(documents.select("doc_id", "label_id"), "doc_id")
+        # Weights near the end of a double's range are summed apart, as their sum may be beyond it.
+        large = f"abs(weight) >= power(2D, {wide.WIDTH})"
         sums = labelled.groupBy("term", "label_id").agg(
-            F.sum("weight").alias("total"), F.count(F.lit(1)).alias("held")
+            F.expr(f"sum(CASE WHEN {large} THEN 0D ELSE weight END) AS total"),
+            F.expr(f"sum(CASE WHEN {large} THEN weight * power(2D, -{wide.WIDTH}) ELSE 0D END) AS far"),
+            F.count(F.lit(1)).alias("held"),
         )
         means = sums.join(counts, "label_id").select(
             "term",
             "label_id",
             F.sum("held").over(Window.partitionBy("term")).alias("docs"),
-            (F.col("total") / F.col("n")).alias("mean"),
+            F.expr(f"total / n + far / n * power(2D, {wide.WIDTH}) AS mean"),
         )
         centroids = staging.write(means.filter("mean != 0"), "centroids")
         norms = centroids.groupBy("label_id").agg(
@@ -275,7 +380,7 @@ class NearestCentroid:
             "label_id", "n", F.coalesce("norm2", F.lit(0.0)).alias("norm2")
         )
         stats = staging.write(stats, "class_stats")
-        # A weight that is not finite makes the norm of its class so too.
-        if stats.filter(~is_finite(F.col("norm2"))).limit(1).count():
+        # A weight that is not finite makes the mean so too.
+        if centroids.filter(~is_finite(F.col("mean"))).limit(1).count():
             raise InvalidInput("a training feature is not a finite number")
         return NearestCentroidModel(centroids, stats, features.space, self.budget)

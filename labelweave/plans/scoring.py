@@ -10,6 +10,7 @@ from ..operators.term_join import join_terms
 from ..operators.terms import counted_documents
 from ..operators.tfidf import TfIdfModel, check_same_space, exploded
 from ..session import Staging
+from .states import LearnedModel
 
 
 def model_scoring_table(tf_idf: TfIdfModel, model: NearestCentroidModel) -> DataFrame:
@@ -27,18 +28,23 @@ def model_scoring_table(tf_idf: TfIdfModel, model: NearestCentroidModel) -> Data
 def score(
     documents: DataFrame,
     tf_idf: TfIdfModel,
-    model: NearestCentroidModel,
+    model: NearestCentroidModel | LearnedModel,
     staging: Staging | None = None,
     table: DataFrame | None = None,
 ) -> DataFrame:
     """``doc_id, predicted, dist`` for every document, also those of no known word.
 
+    A model of a learner has no distance; ``dist`` is null then.
+
     Weighting and distance are one pass over the documents, unless the model is too large to be
     broadcast; the features are never written out.  ``table`` is the model's staged scoring table,
     for callers that score again and again.
     """
     check_same_space(tf_idf.space, model.space)
     staging = staging or Staging(documents.sparkSession)
+    if isinstance(model, LearnedModel):
+        found = model.predict(tf_idf.transform(documents, staging))
+        return found.select("doc_id", "predicted", F.lit(None).cast("double").alias("dist"))
     table = table or staging.write(model_scoring_table(tf_idf, model), "scoring")
     counted = counted_documents(documents.select("doc_id", "pages"), staging, "scored_counts")
     tokens = exploded(counted.select("doc_id", "terms", "total", "mx"), tf_idf.settings)

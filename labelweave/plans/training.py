@@ -29,7 +29,7 @@ from ..operators.centroid import (
 )
 from ..operators.splits import assign_sides, assignment, split_cuts
 from ..operators.term_join import broadcast_floor, join_above, term_bands
-from ..operators.terms import counted_documents
+from ..operators.terms import counted_documents, numbered
 from ..operators.tfidf import Features, TfIdf, TfIdfModel, exploded
 from ..operators.validate import (
     check_classes,
@@ -38,6 +38,7 @@ from ..operators.validate import (
     class_table,
 )
 from ..session import BROADCAST_BYTES, ClassTableSize, Staging
+from .states import LearnedModel, Learner, entry_rows, learned, predictions
 
 #: Splits fitted side by side in one pass; each takes a few columns of the tables.
 SPLITS_PER_PASS = 8
@@ -368,17 +369,21 @@ def train(
     factory: ModelFactory | None = None,
     staging: Staging | None = None,
     budget: int = BROADCAST_BYTES,
+    learner: Learner | None = None,
 ) -> TrainingOutcome:
     """Train on ``doc_id, pages, label_id`` (and ``name``), returning the best split's model.
 
-    Without a factory the configured classifier is fitted for all splits at once.  A factory is
-    called for one split after the other, and its first error fails the whole run.
+    Without a factory or a learner the configured classifier is fitted for all splits at once.  So
+    is a learner, a model of the caller's that is learned from parts.  A factory is called for one
+    split after the other.  The first error of either fails the whole run.
     """
     config = (config or TrainingConfig()).with_seed()
     config.split.check_trainable()
+    if factory is not None and learner is not None:
+        raise InvalidInput("a run takes a factory or a learner, not both")
     staging = staging or Staging(documents.sparkSession)
     try:
-        return _train(documents, config, factory, staging, budget)
+        return _train(documents, config, factory, staging, budget, learner)
     except BaseException:
         staging.drop()
         raise
@@ -390,6 +395,7 @@ def _train(
     factory: ModelFactory | None,
     staging: Staging,
     budget: int,
+    learner: Learner | None = None,
 ) -> TrainingOutcome:
     classes = staging.write(class_table(documents), "classes")
     summary = check_classes(classes, config.split)
@@ -410,16 +416,22 @@ def _train(
     counted = count_documents(documents, config, classes, size, largest, staging)
     check_page_counts(counted)
     fits = [fit_splits(counted, config, splits, size, staging) for splits in passes]
-    predictions = metrics.union_all(
+    if learner is not None:
+        return _train_learner(
+            counted, config, fits, classes, size, learner, staging, terms_budget, budget
+        )
+    judged = metrics.union_all(
         [predict_splits(counted, config, fit, size, terms_budget) for fit in fits]
     )
+    # Read once for the scores, and again by whoever looks at single predictions.
+    judged = staging.write(judged, "predictions")
     # Scores do not depend on what classes are called.
-    measured = metrics.evaluate(predictions.withColumnRenamed("class_ix", "label_id"))
+    measured = metrics.evaluate(judged.withColumnRenamed("class_ix", "label_id"))
     evaluations = metrics.split_evaluations(measured).coalesce(1)
     evaluations = staging.write(evaluations, "evaluations")
     best = metrics.select_split(evaluations, config.evaluation_strategy).first()
     selected = best["split_index"]
-    run = FittedRun(fits, classes, size, predictions)
+    run = FittedRun(fits, classes, size, judged)
     tf_idf, model = run.selected(selected, config, f"{staging.path}#{selected}", budget)
     assigned = assignment(
         run.labelled(counted.select("doc_id", "class_ix", "in_train"))
@@ -429,6 +441,73 @@ def _train(
     )
 
 
+def feature_entries(
+    counted: DataFrame, config: TrainingConfig, fitted: FittedSplits, table: DataFrame, budget: int
+) -> DataFrame:
+    """``doc_id, class_ix, sides, entries``: every document's weights of all splits, by column.
+
+    ``table`` holds ``term, docs, term_index, idf_i``.  A word outside a split's vocabulary has no
+    weight in it.
+    """
+    splits = fitted.splits
+    keys = ["doc_id", "class_ix", "sides"]
+    tokens = corpus_tokens(counted, keys[:2], config.tf_idf, splits).filter(f"term <> '{CONSTANT}'")
+    floor = broadcast_floor(fitted.bands, len(table.columns), budget)
+    placed = join_above(tokens, table, floor, fitted.bands).select(
+        *keys, "term_index", *[(F.col("tf") * F.col(f"idf_{i}")).alias(f"w_{i}") for i in splits]
+    )
+    none = ["CAST(NULL AS BIGINT) AS term_index", *[f"CAST(NULL AS DOUBLE) AS w_{i}" for i in splits]]
+    bare = counted.selectExpr(*keys[:2], _side_bits(splits), *none)
+    return entry_rows(placed.unionByName(bare), keys, [F.col(f"w_{i}") for i in splits])
+
+
+def _train_learner(
+    counted: DataFrame,
+    config: TrainingConfig,
+    fits: list[FittedSplits],
+    classes: DataFrame,
+    size: ClassTableSize,
+    learner: Learner,
+    staging: Staging,
+    terms_budget: int,
+    budget: int,
+) -> TrainingOutcome:
+    """The run of a learner: the splits of a pass are learned and judged side by side."""
+    run = FittedRun(fits, classes, size, counted)
+    found, models, columns = [], {}, {}
+    for fit in fits:
+        first = fit.splits[0]
+        idf = fit.terms.filter("head").select("term", "docs", *[f"idf_{i}" for i in fit.splits])
+        table = numbered(idf, ["term"], staging, f"order_{first}", "term_index")
+        table = staging.write(table, f"columns_{first}")
+        entries = feature_entries(counted, config, fit, table, terms_budget)
+        entries = run.labelled(entries).withColumn("label_id", F.col("label_id").cast("string"))
+        entries = staging.write(entries, f"entries_{first}")
+        learned_models = learned(entries, learner, len(fit.splits), staging, f"states_{first}")
+        predicted = predictions(entries, learned_models, learner, ["doc_id", "label_id", "sides"])
+        found.append(
+            predicted.selectExpr(
+                f"split + {first} AS split_index",
+                "doc_id",
+                "label_id",
+                "(shiftright(sides, split) & 1) <> 0 AS is_train",
+                "predicted",
+            )
+        )
+        for at, split in enumerate(fit.splits):
+            models[split] = learned_models.filter(F.col("split") == at)
+            columns[split] = table.filter(F.col(f"idf_{split}").isNotNull())
+    judged = staging.write(metrics.union_all(found), "predictions")
+    evaluations = metrics.split_evaluations(metrics.evaluate(judged)).coalesce(1)
+    evaluations = staging.write(evaluations, "evaluations")
+    best = metrics.select_split(evaluations, config.evaluation_strategy).first()["split_index"]
+    tf_idf, _ = run.selected(best, config, f"{staging.path}#{best}", budget)
+    terms = columns[best].select("term", "docs", "term_index")
+    model = LearnedModel(learner, models[best], terms, tf_idf.space, budget)
+    assigned = assignment(run.labelled(counted.select("doc_id", "class_ix", "in_train")))
+    return TrainingOutcome(config, model, tf_idf, evaluations, best, staging, assigned)
+
+
 def missing_factory(_: Features) -> Classifier:
     """The factory of a run that was given none of its own and no built-in classifier."""
     raise InvalidInput("no factory was given to make a model")

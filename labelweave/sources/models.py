@@ -23,6 +23,7 @@ from ..config import (
 )
 from ..operators.centroid import NearestCentroidModel
 from ..operators.tfidf import TfIdfModel
+from ..plans.states import LearnedModel, Learner
 from ..plans.training import TrainingOutcome
 from ..session import BROADCAST_BYTES, create_file, path_exists
 
@@ -94,10 +95,12 @@ def model_metadata(outcome: TrainingOutcome, model_id: str, trainer_id: str) ->
     joined = keyed[0].join(F.broadcast(keyed[1]), "_one").join(F.broadcast(keyed[2].select(
         "_one", F.struct(*report.columns).alias("evaluation")
     )), "_one")
+    model = outcome.model
+    classifier = F.lit(model.name) if isinstance(model, LearnedModel) else F.col("classifier")
     return joined.select(
         F.lit(model_id).alias("model_id"),
         F.lit(trainer_id).alias("trainer_id"),
-        "classifier",
+        classifier.alias("classifier"),
         "seed",
         "label_ids",
         F.lit(outcome.tf_idf.columns).cast("bigint").alias("feature_count"),
@@ -114,7 +117,7 @@ class SavedModel:
     """A stored classifier together with the feature space it was trained in."""
 
     model_id: str
-    model: NearestCentroidModel
+    model: NearestCentroidModel | LearnedModel
     tf_idf: TfIdfModel
     metadata: Row
 
@@ -128,13 +131,18 @@ class ModelStore:
 
     def save(self, outcome: TrainingOutcome, trainer_id: str | None = None) -> str:
         """Store the selected model of a run and return its new id."""
-        if not isinstance(outcome.model, NearestCentroidModel):
-            raise InvalidInput("only models of a built-in classifier can be stored")
+        model = outcome.model
+        if isinstance(model, NearestCentroidModel):
+            tables = {"centroids": model.centroids, "class_stats": model.class_stats}
+        elif isinstance(model, LearnedModel):
+            tables = {"learned": model.table, "columns": model.terms}
+        else:
+            raise InvalidInput("only models of a built-in classifier or a learner can be stored")
         model_id = str(uuid.uuid4())
         folder = f"{self.path}/model/{model_id}"
         outcome.tf_idf.idf.write.parquet(f"{folder}/idf")
-        outcome.model.centroids.write.parquet(f"{folder}/centroids")
-        outcome.model.class_stats.write.parquet(f"{folder}/class_stats")
+        for name, table in tables.items():
+            table.write.parquet(f"{folder}/{name}")
         metadata = model_metadata(outcome, model_id, trainer_id or str(uuid.uuid4()))
         metadata.coalesce(1).write.mode("append").parquet(f"{self.path}/models")
         return model_id
@@ -154,8 +162,14 @@ class ModelStore:
             raise NotFound("unknown model")
         return row
 
-    def find(self, model_id: str, budget: int = BROADCAST_BYTES) -> SavedModel | None:
-        """The stored pair of classifier and TF-IDF; None for an unknown id."""
+    def find(
+        self, model_id: str, budget: int = BROADCAST_BYTES, learner: Learner | None = None
+    ) -> SavedModel | None:
+        """The stored pair of classifier and TF-IDF; None for an unknown id.
+
+        A model that was learned by a learner needs one of its kind to predict.  Such a model is
+        unpickled by the tasks, so a store must be as trusted as code.
+        """
         try:
             row = self.metadata(model_id)
         except NotFound:
@@ -171,9 +185,16 @@ class ModelStore:
             model_id,
             budget,
         )
-        model = NearestCentroidModel(
-            read(f"{folder}/centroids"), read(f"{folder}/class_stats"), model_id, budget
-        )
+        if path_exists(self.spark, f"{folder}/centroids"):
+            model = NearestCentroidModel(
+                read(f"{folder}/centroids"), read(f"{folder}/class_stats"), model_id, budget
+            )
+        elif learner is not None and type(learner).__name__ == row["classifier"]:
+            model = LearnedModel(
+                learner, read(f"{folder}/learned"), read(f"{folder}/columns"), model_id, budget
+            )
+        else:
+            raise InvalidInput(f"this model needs its learner, {row['classifier']}")
         return SavedModel(model_id, model, tf_idf, row)
 
     def append_run(

@@ -100,3 +100,79 @@ def test_words_that_push_a_class_away(spark, staging):
         0: ("b", 2.5),
         1: ("a", 1.0),
     }
+
+
+def hypot_distances(means, x, terms):
+    """Distance to every class, coordinate by coordinate."""
+    return {c: math.hypot(*(x.get(t, 0.0) - m.get(t, 0.0) for t in terms)) for c, m in means.items()}
+
+
+WIDE = [
+    # huge, tiny and ordinary classes, one that differs from another in its sign only
+    (0, "t0", 1e200), (1, "t0", 3e200), (2, "t1", 1e-200), (3, "t1", 5e-200), (4, "t2", 2.0),
+    (5, "t0", -1e200), (6, "t3", 1.7e308), (7, "t4", 5e-324), (8, "t0", 1e200), (8, "t2", 1.0),
+]
+
+
+def test_huge_and_tiny_weights(spark, staging):
+    labels = [f"c{k}" for k in range(9)]
+    fitted = NearestCentroid().fit(matrix(spark, WIDE, 9, 5, labels), staging)
+    means = {c: {} for c in labels}
+    for i, t, w in WIDE:
+        means[f"c{i}"][t] = w
+    terms = [f"t{k}" for k in range(6)]
+    documents = [
+        {"t0": 1.9e200}, {"t0": 2.1e200}, {"t1": 2e-200}, {"t1": 4e-200}, {"t2": 1.4}, {"t0": -2e200},
+        {"t3": 1e308}, {"t0": 1e200, "t2": 3.0}, {}, {"t5": 1e200, "t1": 1e-200}, {"t1": 3e-200, "t5": 1e-190},
+        {"t0": 2.5e200, "t5": 2e200}, {"t3": 1.7e308},
+    ]
+    rows = [(i, t, w) for i, x in enumerate(documents) for t, w in x.items()]
+    found = {r["doc_id"]: r for r in fitted.distances(matrix(spark, rows, len(documents), 5)).collect()}
+    assert len(found) == len(documents)
+    for i, x in enumerate(documents):
+        wanted = hypot_distances(means, x, terms)
+        least = min(wanted.values())
+        assert math.isfinite(found[i]["dist"])
+        near = [c for c, d in wanted.items() if d <= least * (1 + 1e-9)]
+        largest = max([abs(w) for w in x.values()] + [abs(m) for c in near for m in means[c].values()] or [0])
+        assert found[i]["dist"] == pytest.approx(least, rel=1e-9, abs=largest * 1e-6)
+        assert wanted[found[i]["predicted"]] <= least + largest * 1e-6
+
+
+def test_means_of_huge_weights_stay_finite(spark, staging):
+    rows = [(i, "t0", 1.5e308) for i in range(4)] + [(4, "t0", 1.0), (5, "t1", 1e-300)]
+    fitted = NearestCentroid().fit(matrix(spark, rows, 6, 2, ["a"] * 4 + ["b", "c"]), staging)
+    assert {(r["label_id"], r["term"]): r["mean"] for r in fitted.centroids.collect()} == {
+        ("a", "t0"): 1.5e308, ("b", "t0"): 1.0, ("c", "t1"): 1e-300,
+    }
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-220, 1e220])
+def test_signs_of_all_kinds_and_sizes(spark, staging, scale):
+    import random
+
+    random.seed(5)
+    rows = [(i, f"t{random.randrange(12)}x{j}"[:3], scale * random.choice([-2, -1, 1, 3]))
+            for i in range(24) for j in range(3)]
+    rows = list({(i, t): (i, t, w) for i, t, w in rows}.values())
+    labels = [f"c{i % 8}" for i in range(24)]
+    fitted = NearestCentroid().fit(matrix(spark, rows, 24, 12, labels), staging)
+    means = {f"c{k}": {} for k in range(8)}
+    for r in fitted.centroids.collect():
+        means[r["label_id"]][r["term"]] = r["mean"]
+    terms = sorted({t for _, t, _ in rows})
+    for r in fitted.distances(matrix(spark, rows, 24, 12)).collect():
+        x = {t: w for i, t, w in rows if i == r["doc_id"]}
+        wanted = hypot_distances(means, x, terms)
+        best = min(wanted, key=lambda c: (round(wanted[c] / scale, 9), c))
+        assert (r["predicted"], r["dist"] / scale) == (best, pytest.approx(wanted[best] / scale, abs=1e-6))
+
+
+def test_one_sign_for_a_word_meets_only_the_classes_that_hold_it(spark, staging):
+    """Frequent words weigh below zero everywhere; their products are positive."""
+    rows = [(i, "t0", -1.0) for i in range(4)] + [(i, f"t{i + 1}", 2.0) for i in range(4)]
+    fitted = NearestCentroid().fit(matrix(spark, rows, 4, 5, list("abcd")), staging)
+    assert not fitted._mixed_signs(matrix(spark, rows, 4).rows)
+    assert fitted._mixed_signs(matrix(spark, [(0, "t0", 1.0)], 1).rows)
+    found = fitted.predict(matrix(spark, rows, 4, 5)).collect()
+    assert {r["doc_id"]: r["predicted"] for r in found} == dict(enumerate("abcd"))
