@@ -49,6 +49,8 @@ ROUNDS = 4
 BLOCK = 256
 #: Rows of one shingle that are sorted together; a more frequent one is dealt out.
 _TOGETHER_BITS = 14
+#: A text has fewer than 2^30 words, so a prefix is shorter than this power of two.
+_PLACE_BITS = 29
 _SLICE = 1 << 20
 
 
@@ -199,10 +201,10 @@ def prefixes(sets: ShingleSets, level: np.ndarray, noise: float):
 
 
 def postings(documents: DataFrame, levels: np.ndarray, salt: int) -> DataFrame:
-    """``token, dealt, part, x, n, place, m``: one row per text and prefix shingle.
+    """``token, part, x, info``: one row per text and prefix shingle, see :func:`unpacked`.
 
     ``part`` deals out the rows of a very frequent shingle, which is ``dealt``; it is 0 for the
-    others.
+    others.  Size, place, matches and that mark travel as one number.
     """
     shared = documents.sparkSession.sparkContext.broadcast(levels)
     noise = float(np.exp2(np.median(levels) / 4.0) - 1)
@@ -220,21 +222,32 @@ def postings(documents: DataFrame, levels: np.ndarray, salt: int) -> DataFrame:
                 row, hashes, own, place = row[keep], hashes[keep], own[keep], place[keep]
                 bits = np.maximum(own.astype(np.int64) // 4 - _TOGETHER_BITS, 0)
                 part = x[row] & ((np.int64(1) << bits) - 1)
+                info = sets.size[row].astype(np.int64) << _PLACE_BITS | place
+                info = (info << 2 | m[row] - 1) << 1 | (bits > 0)
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(hashes.view(np.int64)),
-                        pa.array(bits > 0),
                         pa.array(part.astype(np.int32)),
                         pa.array(x[row]),
-                        pa.array(sets.size[row].astype(np.int32)),
-                        pa.array(place.astype(np.int32)),
-                        pa.array(m[row].astype(np.int32)),
+                        pa.array(info),
                     ],
-                    ["token", "dealt", "part", "x", "n", "place", "m"],
+                    ["token", "part", "x", "info"],
                 )
 
-    kinds = "token long, dealt boolean, part int, x long, n int, place int, m int"
-    return map_arrow(documents, per_task, kinds)
+    return map_arrow(documents, per_task, "token long, part int, x long, info long")
+
+
+def unpacked(listed: DataFrame) -> DataFrame:
+    """``token, part, x, n, place, m, dealt`` of postings and further columns."""
+    place = F.shiftright("info", 3).bitwiseAND(F.lit((1 << _PLACE_BITS) - 1))
+    return listed.withColumns(
+        {
+            "n": F.shiftright("info", _PLACE_BITS + 3).cast("int"),
+            "place": place.cast("int"),
+            "m": (F.shiftright("info", 1).bitwiseAND(F.lit(3)) + 1).cast("int"),
+            "dealt": F.col("info").bitwiseAND(F.lit(1)) == 1,
+        }
+    ).drop("info")
 
 
 def full_sets(documents: DataFrame, salt: int) -> DataFrame:
@@ -279,11 +292,10 @@ class TextSets:
 def verify(pairs: DataFrame, texts: TextSets, staging: Staging, name: str) -> DataFrame:
     """``a, b, similar, distance`` of the pairs of a written table, from their whole sets.
 
-    The result is a written table too; the sets are dropped when it is there.
+    The result is a written table too; the sets go from the texts to their pairs and nowhere else.
     """
-    own = Staging(pairs.sparkSession)
     names = pairs.select(F.explode(F.array("a", "b")).alias("x")).distinct()
-    sets = own.write(texts.read(names, 2 * pairs.count()), "sets")
+    sets = texts.read(names, 2 * pairs.count())
     at_a = sets.select(F.col("x").alias("a"), F.col("shingles").alias("set_a"))
     at_b = sets.select(F.col("x").alias("b"), F.col("shingles").alias("set_b"))
     shared = (
@@ -305,9 +317,7 @@ def verify(pairs: DataFrame, texts: TextSets, staging: Staging, name: str) -> Da
         (100 * F.col("both") >= SIMILAR * union).alias("similar"),
         (1 - F.col("both") / union).alias("distance"),
     )
-    result = staging.write(judged, name)
-    own.drop()
-    return result
+    return staging.write(judged, name)
 
 
 def _with_centres(shared: DataFrame, balls: DataFrame) -> DataFrame:
@@ -555,13 +565,14 @@ def jaccard_components(
     together = Window.partitionBy("token", "part")
     # The rows of one part are few, so a frequent shingle is no burden; its parts always meet, so a
     # text that is the only one in its part stays.
-    met = F.when(F.col("dealt"), 1 << _TOGETHER_BITS).otherwise(F.count("x").over(together))
     ends = [F.min("x").over(together).alias("low"), F.max("x").over(together).alias("high")]
+    counted = listed.select("*", F.count("x").over(together).alias("count"), *ends)
+    met = F.when(F.col("dealt"), 1 << _TOGETHER_BITS).otherwise(F.col("count"))
     shared = staging.write(
-        listed.select("*", met.cast("int").alias("met"), *ends)
+        unpacked(counted)
         .filter("low <> high OR dealt")
         .dropDuplicates(["token", "part", "x"])
-        .select("token", "part", "x", "n", "place", "m", "met"),
+        .select("token", "part", "x", "n", "place", "m", met.cast("int").alias("met")),
         "shared",
     )
     texts = TextSets(rows, classes, salt)
