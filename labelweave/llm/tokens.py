@@ -15,11 +15,13 @@ import tokenizers
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .arrowtext import SLICE_BYTES, _LOWER, hash_runs, row_slices, text_buffer
+from .arrowtext import _LOWER, hash_runs, row_slices, text_buffer
 from .shipping import map_arrow
 
-#: Distinct runs remembered by a worker.
-MEMORY = 3_000_000
+#: Distinct runs remembered by a worker, at some 250 bytes each with all that goes with them.
+MEMORY = 250_000
+#: Bytes of text whose runs are looked up at once.
+SLICE_BYTES = 1 << 20
 #: Runs encoded in one call of the library.
 _PER_CALL = 2_000
 
