@@ -64,12 +64,17 @@ def keep_one_of_similar(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no item of the benchmark; a row without an id cannot be named and stays."""
+    """Documents that hold no item of the benchmark.
+
+    A document is known by its id and text, so a row without an id is searched as well, and one that
+    shares its id with a leaked one stays.
+    """
+    key = F.struct(F.col("doc_id"), F.xxhash64("text").alias("digest"))
     staging = Staging(spark)
-    found = contaminated(docs, _table(spark, sf_dir, "benchmark"), staging=staging)
+    searched = docs.select(key.alias("doc_id"), "text")
+    found = contaminated(searched, _table(spark, sf_dir, "benchmark"), staging=staging)
     leaked = staging.write(found.select(F.col("doc_id").alias("leaked")).distinct(), "leaked")
-    small = broadcast_if_small(leaked, "leaked")
-    return docs.join(small, docs["doc_id"] == F.col("leaked"), "left_anti")
+    return docs.join(broadcast_if_small(leaked, "leaked"), key == F.col("leaked"), "left_anti")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -68,6 +68,13 @@ def test_stages_keep_what_a_plain_reading_keeps(spark, folder):
     wanted = sorted((r for r in rows if best_similarity(r[1], item) < 0.75), key=repr)
     assert sorted(map(tuple, clean.collect()), key=repr) == wanted
     assert len(wanted) == len(rows) - 4
+    # A row without an id, and one that shares its id with a clean one.
+    leaked = next(t for i, t, *_ in rows if i == 240)
+    more = [(None, leaked, "xx", "s", 1), (0, leaked, "xx", "s", 1), (None, "", "xx", "s", 0)]
+    some = [r for r in rows if r[0] in (0, 240, 250)]
+    clean = stage["decontamination"](spark, spark.createDataFrame(some + more, COLUMNS), folder)
+    wanted = [r for r in some + more if best_similarity(r[1], item) < 0.75]
+    assert sorted(map(tuple, clean.collect()), key=repr) == sorted(wanted, key=repr)
 
 
 def test_run_packs_what_is_left(spark, folder):
