@@ -123,8 +123,11 @@ def _expectation_maximisation(p, count, starts, rows, theta, rounds):
     return theta, np.add.reduceat(likelihood, starts)
 
 
-def infer(model: LanguageModel, data, offsets, penalty: float = 3.0, largest_set: int = 3):
-    """Language number and its proportion for every row; -1 for rows without n-grams."""
+def infer(model: LanguageModel, data, offsets, penalty: float = 3.0):
+    """Language number and its proportion for every row; -1 for rows without n-grams.
+
+    A row's set of languages grows as long as that raises the penalised likelihood of any row.
+    """
     n_rows, n_langs = len(offsets) - 1, len(model.names)
     best, score = np.full(n_rows, -1), np.zeros(n_rows)
     rows, buckets = gram_buckets(data, offsets)
@@ -141,7 +144,7 @@ def infer(model: LanguageModel, data, offsets, penalty: float = 3.0, largest_set
     rank = np.argsort(np.argsort(-theta, axis=1, kind="stable"), axis=1)
     cost = penalty * np.log(np.add.reduceat(count, starts))
     chosen, value = theta, np.full(len(starts), -np.inf)
-    for size in range(1, min(largest_set, n_langs) + 1):
+    for size in range(1, n_langs + 1):
         start = np.where(rank < size, theta + 1e-6, 0).astype(np.float32)
         start /= start.sum(axis=1, keepdims=True)
         # One language has no proportions to estimate.
@@ -150,10 +153,12 @@ def infer(model: LanguageModel, data, offsets, penalty: float = 3.0, largest_set
         )
         penalised = likelihood - size * cost
         better = penalised > value
+        if not better.any():
+            break
         chosen = np.where(better[:, None], own, chosen)
         value = np.where(better, penalised, value)
     best[present] = np.argmax(chosen, axis=1)
-    score[present] = theta[np.arange(len(starts)), best[present]]
+    score[present] = chosen[np.arange(len(starts)), best[present]]
     return best, np.clip(score, 0, 1)
 
 
