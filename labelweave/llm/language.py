@@ -174,17 +174,15 @@ def identify(
     context = documents.sparkSession.sparkContext
     shared = context.broadcast((model.names, model.probability))
     letters = F.coalesce(F.col(text_column).rlike(r"\p{L}"), F.lit(False))
-    texts = documents.select(
-        F.struct("*").alias("kept"),
-        F.when(letters, F.col(text_column)).otherwise("").alias("text"),
-    )
+    texts = documents.select(F.struct("*").alias("kept"), letters.alias("letters"))
+    place = documents.columns.index(text_column)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(*shared.value)
         names = np.array([*own.names, UNDETERMINED], dtype=object)
         for batch in batches:
-            data, offsets = text_buffer(batch.column(1))
-            empty = np.diff(offsets) == 0
+            data, offsets = text_buffer(batch.column(0).field(place))
+            empty = ~batch.column(1).to_numpy(zero_copy_only=False)
             best, score = np.full(batch.num_rows, -1), np.zeros(batch.num_rows)
             for first, last in row_slices(offsets, _SLICE):
                 best[first:last], score[first:last] = infer(

@@ -313,11 +313,13 @@ def score_texts(documents: DataFrame, model: QualityModel, text_column: str = "t
 
     Repeated rows get the same score; an empty table gives no rows.
     """
-    rows = documents.select(F.struct("*").alias("kept"), F.col(text_column).alias("text"))
+    rows = documents.select(F.struct("*").alias("kept"))
+    place = documents.columns.index(text_column)
 
     def per_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            score = model.score(text_features(batch.column(1)).astype(np.float32).astype(float))
+            x = text_features(batch.column(0).field(place))
+            score = model.score(x.astype(np.float32).astype(float))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(score)], ["kept", "score"])
 
     kind = rows.schema["kept"].dataType.simpleString()
