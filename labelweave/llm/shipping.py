@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import zipfile
 from collections.abc import Iterator
@@ -13,6 +14,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
+#: Most bytes of a batch that goes to a worker.  Spark counts 10,000 rows to a batch, which of long
+#: texts are many times as much, in the worker and twice in the executor beside it.
+BATCH_BYTES = 4 << 20
+_BATCH_SETTING = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def ship(spark: SparkSession) -> None:
     """Send the package to the executors once per application, as ``addPyFile`` does."""
@@ -36,8 +42,16 @@ def _give_back() -> None:
 
 
 def map_arrow(table: DataFrame, function, schema: str) -> DataFrame:
-    """``mapInArrow`` with the package at hand in the workers, which hold no memory between tasks."""
-    ship(table.sparkSession)
+    """``mapInArrow`` with the package at hand in the workers, which hold no memory between tasks.
+
+    Batches are measured by bytes.  Spark reads that setting when a query runs, so it is made for the
+    session, unless the session has a smaller one.
+    """
+    spark = table.sparkSession
+    ship(spark)
+    own = re.fullmatch(r"(\d+)b?", spark.conf.get(_BATCH_SETTING))
+    if own is None or int(own[1]) > BATCH_BYTES:
+        spark.conf.set(_BATCH_SETTING, f"{BATCH_BYTES}b")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
