@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from .arrowtext import _LOWER, hash_runs, row_slices, text_buffer
 from .shipping import map_arrow
 
-#: Distinct runs remembered by a worker, at some 250 bytes each with all that goes with them.
-MEMORY = 250_000
+#: Distinct runs remembered by a worker, some 130 MB with all that goes with them.
+MEMORY = 1_000_000
 #: Bytes of text whose runs are looked up at once.
 SLICE_BYTES = 1 << 20
 #: Runs encoded in one call of the library.
