@@ -58,6 +58,30 @@ ERROR = f"""CASE WHEN strlen(html) > 20000 THEN 'file is too large'
       THEN 'collection name too long' END"""
 
 
+@query(
+    "intake_batches",
+    f"""SELECT {PREFIX} || '-{ACCOUNT}-{REGION}-an' AS collection, count(*) AS files,
+        sum(strlen(html))::BIGINT AS bytes, count(DISTINCT page_id) AS ids, 2::BIGINT AS batches
+        FROM pages WHERE {ERROR} IS NULL GROUP BY ALL""",
+)
+def intake_batches(spark, d):
+    """Uploads taken in by two batches, each of which arrives twice."""
+    checked = intake.check_uploads(uploads(spark, d), CONFIG)
+    rows = intake.manifest(checked, CONFIG, [F.col("page_id"), F.col("file_name")])
+    path = f"{staging(spark).path}/batches"
+    secure = F.col("content_type") == "text/html"
+    for _ in range(2):
+        intake.store_batch(rows.filter(secure), path, "secure")
+        intake.store_batch(rows.filter(~secure), path, "plain")
+    stored = intake.stored(spark, path)
+    return stored.read().groupBy("collection").agg(
+        F.count(F.lit(1)).alias("files"),
+        F.sum("length").alias("bytes"),
+        F.count_distinct("object_key").alias("ids"),
+        F.lit(len(stored.batches())).cast("bigint").alias("batches"),
+    )
+
+
 @query(
     "intake_manifest",
     f"""SELECT {PREFIX} || '-{ACCOUNT}-{REGION}-an' AS collection, {SAFE} AS file_name,

@@ -86,6 +86,19 @@ def create_file(spark: SparkSession, path: str) -> bool:
     return not system.exists(path) and system.createNewFile(path)
 
 
+def rename_file(spark: SparkSession, source: str, target: str) -> bool:
+    """Move a file; False if there is none any more.  Of several callers one succeeds."""
+    source, system = _file_system_path(spark, source)
+    target, _ = _file_system_path(spark, target)
+    system.mkdirs(target.getParent())
+    return system.exists(source) and system.rename(source, target)
+
+
+def delete_file(spark: SparkSession, path: str) -> None:
+    path, system = _file_system_path(spark, path)
+    system.delete(path, False)
+
+
 def estimated_bytes(rows: int, text_bytes: int, fixed_columns: int) -> int:
     """Memory a hash relation of so many rows, text bytes and 8-byte columns needs."""
     return rows * (ROW_OVERHEAD + 8 * fixed_columns) + text_bytes

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import names
+from .batches import BatchTable
 
 # Fixed value: most bytes one upload may have, 25 MiB.
 MAX_UPLOAD_BYTES = 25 * 1024 * 1024
@@ -119,3 +120,13 @@ def store(manifest_rows: DataFrame, path: str, mode: str = "append") -> None:
     Every task writes the rows it has, so no collection, however large, is gathered in one task.
     """
     manifest_rows.write.mode(mode).partitionBy("collection").parquet(path)
+
+
+def stored(spark: SparkSession, path: str) -> BatchTable:
+    """The table of what was taken in, one folder per collection in every batch."""
+    return BatchTable(spark, path, ("collection",))
+
+
+def store_batch(manifest_rows: DataFrame, path: str, batch: str) -> bool:
+    """Store the manifest rows of a batch once; False if that was done before."""
+    return stored(manifest_rows.sparkSession, path).append(manifest_rows, batch)

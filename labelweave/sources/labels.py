@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -9,7 +12,12 @@ from pyspark.sql import types as T
 from ..config import InvalidInput, NotFound
 from ..functions.names import canonical_id, is_object_id
 from ..functions.text import unicode_trim
-from ..session import file_names, path_exists
+from .commits import CommitLog, Conflict
+
+#: Kinds of changes, and the folders they are kept in.
+WHOLE, ADDED, REMOVED = "whole", "added", "removed"
+#: Changes that readers merge at most, unless writers meet all the time.
+COMPACT_AFTER = 16
 
 LABEL = T.StructType(
     [
@@ -43,57 +51,109 @@ def create_labels(names: DataFrame) -> DataFrame:
 
 
 class LabelTable:
-    """Labels kept in a folder, every change a new version of the table.
+    """Labels kept in a folder as a log of added and removed rows.
 
-    A version is complete once Spark has committed it, and readers take the latest complete one.  So
-    a change can read the table it replaces, a lost executor or a failed job leaves the table as it
-    was, and of two changes at once the second fails instead of undoing the first.
+    A change writes its own rows only: those added, the ids removed, or a whole table.  Readers merge
+    the changes since the last whole table, which is written anew after ``COMPACT_AFTER`` changes.
+    Versions are numbers that are claimed before the table is read for a change, so of two changes
+    at once the second fails instead of undoing the first, and a lost executor or a failed job leaves
+    the table as it was.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark = spark
         self.path = path.rstrip("/")
+        self.log = CommitLog(spark, self.path)
 
-    def _version(self) -> int:
-        """Number of the latest complete version, 0 if there is none yet."""
-        versions = file_names(self.spark, self.path)
-        numbers = [int(name.removeprefix("v")) for name in versions if name.startswith("v")]
-        done = (n for n in sorted(numbers, reverse=True)
-                if path_exists(self.spark, f"{self._folder(n)}/_SUCCESS"))
-        return next(done, 0)
+    def _folder(self, kind: str, version: str) -> str:
+        return f"{self.path}/{kind}/version={version}"
 
-    def _folder(self, version: int) -> str:
-        return f"{self.path}/v{version:09d}"
+    def _since_whole(self) -> dict[str, list[str]]:
+        """Committed versions by kind, from the last whole table on."""
+        found: dict[str, list[str]] = {WHOLE: [], ADDED: [], REMOVED: []}
+        for version, kind in self.log.entries().items():
+            if kind == WHOLE:
+                found = {WHOLE: [], ADDED: [], REMOVED: []}
+            found[kind].append(version)
+        return found
+
+    def _scan(self, kind: str, versions: list[str], schema: T.StructType) -> DataFrame:
+        reader = self.spark.read.schema(schema).option("basePath", f"{self.path}/{kind}")
+        return reader.parquet(*[self._folder(kind, version) for version in versions])
 
     def read(self) -> DataFrame:
-        version = self._version()
-        if not version:
+        changes = self._since_whole()
+        versioned = T.StructType([*LABEL.fields, T.StructField("version", T.LongType())])
+        parts = [self._scan(k, changes[k], versioned) for k in (WHOLE, ADDED) if changes[k]]
+        if not parts:
             return self.spark.createDataFrame([], LABEL)
-        return read_labels(self.spark, self._folder(version))
-
-    def _commit(self, labels: DataFrame, version: int) -> None:
-        labels.write.mode("error").parquet(self._folder(version))
+        labels = parts[0].unionByName(parts[1]) if len(parts) == 2 else parts[0]
+        if changes[REMOVED]:
+            ids = T.StructType([LABEL["label_id"], T.StructField("version", T.LongType())])
+            gone = self._scan(REMOVED, changes[REMOVED], ids).toDF("gone", "since")
+            later = (F.col("label_id") == F.col("gone")) & (F.col("version") < F.col("since"))
+            labels = labels.join(gone, later, "left_anti")
+        return labels.select("label_id", "name")
+
+    def _change(self, kind: str, rows_of: Callable[[], DataFrame]) -> str:
+        """Commit the rows a function makes of the table as it is while the version is claimed."""
+        entries = self.log.entries()
+        version = f"{int(max(entries, default='0')) + 1:09d}"
+        if not self.log.claim(version):
+            raise Conflict(f"the labels are being changed by someone else (version {version})")
+        try:
+            # A writer that was given up may have left rows of this version.
+            rows_of().write.mode("overwrite").parquet(self._folder(kind, version))
+        except BaseException:
+            self.log.release(version)
+            raise
+        self.log.commit(version, kind)
+        return version
+
+    def _written(self, kind: str, version: str, schema: T.StructType) -> DataFrame:
+        return self.spark.read.schema(schema).parquet(self._folder(kind, version))
 
     def replace(self, labels: DataFrame) -> None:
         """Make a table of ``label_id, name`` the latest version."""
-        self._commit(labels.select("label_id", "name"), self._version() + 1)
+        self._change(WHOLE, lambda: labels.select("label_id", "name"))
 
     def create(self, names: DataFrame) -> DataFrame:
         """Store new labels and return the stored rows, with the ids they got."""
-        version = self._version() + 1
-        before, fresh = self.read(), f"{self.path}/new-{version:09d}"
         # Ids are drawn once, when they are written; what is returned is what was stored.
-        create_labels(names).write.mode("error").parquet(fresh)
-        added = read_labels(self.spark, fresh)
-        self._commit(before.unionByName(added), version)
-        return added
+        version = self._change(ADDED, lambda: create_labels(names))
+        self._compact_if_long()
+        return self._written(ADDED, version, LABEL)
 
     def delete(self, ids: DataFrame) -> DataFrame:
         """Remove labels by their ids and return the removed rows."""
-        version, labels = self._version() + 1, self.read()
-        removed, kept = delete_labels(labels, ids)
-        self._commit(kept, version)
-        return removed
+        seen = []
+
+        def removed() -> DataFrame:
+            seen.append(self.read())
+            return delete_labels(seen[0], ids)[0].select("label_id").distinct()
+
+        version = self._change(REMOVED, removed)
+        self._compact_if_long()
+        gone = self._written(REMOVED, version, T.StructType([LABEL["label_id"]]))
+        return seen[0].join(gone, "label_id", "left_semi")
+
+    def compact(self) -> None:
+        """Write the merged labels as a whole table, which readers start from afterwards."""
+        self._change(WHOLE, self.read)
+
+    def _compact_if_long(self) -> None:
+        changes = self._since_whole()
+        if len(changes[ADDED]) + len(changes[REMOVED]) >= COMPACT_AFTER:
+            # Whoever changes the labels just now will do it.
+            with contextlib.suppress(Conflict):
+                self.compact()
+
+    def give_up(self) -> list[str]:
+        """Let go the claims of writers that died, and return the versions they were to write."""
+        claimed = self.log.claimed()
+        for version in claimed:
+            self.log.release(version)
+        return claimed
 
 
 def delete_labels(labels: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

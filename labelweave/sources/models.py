@@ -26,6 +26,7 @@ from ..operators.tfidf import TfIdfModel
 from ..plans.states import LearnedModel, Learner
 from ..plans.training import TrainingOutcome
 from ..session import BROADCAST_BYTES, create_file, path_exists
+from .batches import BatchTable
 
 SETTINGS = [
     T.StructField("classifier", T.StringType(), False),
@@ -122,6 +123,21 @@ class SavedModel:
     metadata: Row
 
 
+def fingerprint(table: DataFrame) -> str:
+    """A digest of the rows of a table, whatever their order and partitions.
+
+    Two independent 64-bit hashes of every row are added up, which Spark combines before anything
+    is shuffled; together with the number of rows they tell tables apart.
+    """
+    row = F.struct(*table.columns)
+    parts = [
+        F.sum(F.xxhash64(*salt, row).cast("decimal(20,0)")) for salt in ([], [F.lit("second")])
+    ]
+    sums = [F.coalesce(part, F.lit(0)).cast("string") for part in parts]
+    counted = F.count(F.lit(1)).cast("string")
+    return table.agg(F.sha2(F.concat_ws(":", counted, *sums), 256)).first()[0]
+
+
 class ModelStore:
     """Tables ``models`` and ``runs``, and one folder of tables for each model."""
 
@@ -144,13 +160,15 @@ class ModelStore:
         for name, table in tables.items():
             table.write.parquet(f"{folder}/{name}")
         metadata = model_metadata(outcome, model_id, trainer_id or str(uuid.uuid4()))
-        metadata.coalesce(1).write.mode("append").parquet(f"{self.path}/models")
+        metadata = metadata.withColumn("fingerprint", F.lit(self._fingerprint(folder)))
+        BatchTable(self.spark, f"{self.path}/models").append(metadata.coalesce(1), model_id)
         return model_id
 
+    def _fingerprint(self, folder: str) -> str:
+        return fingerprint(self.spark.read.parquet(f"{folder}/idf").select("term", "df", "idf"))
+
     def _table(self, name: str) -> DataFrame | None:
-        if not path_exists(self.spark, f"{self.path}/{name}"):
-            return None
-        return self.spark.read.parquet(f"{self.path}/{name}")
+        return BatchTable(self.spark, f"{self.path}/{name}").read()
 
     def models(self) -> DataFrame | None:
         return self._table("models")
@@ -175,6 +193,8 @@ class ModelStore:
         except NotFound:
             return None
         folder = f"{self.path}/model/{model_id}"
+        if self._fingerprint(folder) != row["fingerprint"]:
+            raise InvalidInput(f"the vocabulary of model {model_id} is not the one it was stored with")
         read = self.spark.read.parquet
         settings = TfIdfSettings(**row["tf_idf"].asDict())
         tf_idf = TfIdfModel(
@@ -208,7 +228,9 @@ class ModelStore:
     ) -> None:
         values = (trainer_id, *settings_values(config, label_ids), status, model_id, error)
         rows = self.spark.createDataFrame([values], RUN)
-        rows.coalesce(1).write.mode("append").parquet(f"{self.path}/runs")
+        BatchTable(self.spark, f"{self.path}/runs").append(
+            rows.coalesce(1), f"{trainer_id}-{status}"
+        )
 
     def claim(self, trainer_id: str) -> bool:
         """Whether this caller is the first to start a run: only one can create its mark."""

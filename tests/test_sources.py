@@ -9,6 +9,8 @@ from labelweave.functions import names
 from labelweave.sources import documents as docs
 from labelweave.sources import intake
 from labelweave.sources import labels as label_ops
+from labelweave.sources.batches import BatchTable
+from labelweave.sources.commits import Conflict
 from labelweave.streaming.arrivals import manifest_stream, score_stream
 
 ACCOUNT, REGION = "123456789012", "eu-west-1"
@@ -224,6 +226,137 @@ def test_labels(spark, staging):
             label_ops.check_object_ids(spark.createDataFrame([(bad,)], "label_id string"))
 
 
+def names_of(spark, *values):
+    return spark.createDataFrame([(v,) for v in values], "name string")
+
+
+def test_a_change_of_labels_writes_its_own_rows_only(spark, staging):
+    table = label_ops.LabelTable(spark, f"{staging.path}/labels")
+    table.create(names_of(spark, "one", "two", "three"))
+    table.create(names_of(spark, "four"))
+    added = spark.read.parquet(f"{table.path}/added")
+    assert sorted(r["count"] for r in added.groupBy("version").count().collect()) == [1, 3]
+    table.delete(table.read().filter("name = 'two'").select("label_id"))
+    assert spark.read.parquet(f"{table.path}/removed").count() == 1
+    assert sorted(r["name"] for r in table.read().collect()) == ["four", "one", "three"]
+
+
+def test_labels_are_compacted_and_old_readers_go_on(spark, staging, monkeypatch):
+    monkeypatch.setattr(label_ops, "COMPACT_AFTER", 3)
+    table = label_ops.LabelTable(spark, f"{staging.path}/labels")
+    table.create(names_of(spark, "a", "b"))
+    early = table.read()
+    table.delete(table.read().filter("name = 'a'").select("label_id"))
+    assert not table._since_whole()[label_ops.WHOLE]
+    table.create(names_of(spark, "c"))
+    assert table._since_whole() == {"whole": ["000000004"], "added": [], "removed": []}
+    table.create(names_of(spark, "d"))
+    assert sorted(r["name"] for r in table.read().collect()) == ["b", "c", "d"]
+    assert sorted(r["name"] for r in early.collect()) == ["a", "b"]
+    # A whole table may bring an id back that was removed before.
+    removed = table.delete(table.read().filter("name = 'd'").select("label_id"))
+    back = removed.unionByName(table.read())
+    table.replace(back)
+    assert sorted(r["name"] for r in table.read().collect()) == ["b", "c", "d"]
+
+
+def test_of_two_writers_of_labels_one_fails(spark, staging, monkeypatch):
+    path = f"{staging.path}/labels"
+    mine, other = label_ops.LabelTable(spark, path), label_ops.LabelTable(spark, path)
+    mine.create(names_of(spark, "first"))
+    usual = label_ops.create_labels
+
+    def meeting(names):
+        monkeypatch.setattr(label_ops, "create_labels", usual)
+        with pytest.raises(Conflict, match="version 000000002"):
+            other.create(names_of(spark, "late"))
+        assert [r["name"] for r in other.read().collect()] == ["first"]
+        return usual(names)
+
+    monkeypatch.setattr(label_ops, "create_labels", meeting)
+    mine.create(names_of(spark, "second"))
+    other.create(names_of(spark, "third"))
+    assert sorted(r["name"] for r in mine.read().collect()) == ["first", "second", "third"]
+
+
+def test_a_failed_change_and_a_dead_writer_leave_the_labels_whole(spark, staging, monkeypatch):
+    table = label_ops.LabelTable(spark, f"{staging.path}/labels")
+    table.create(names_of(spark, "first"))
+    with pytest.raises(InvalidInput):
+        table.create(names_of(spark, " "))
+    # A writer that claims a version and its rows and dies before it commits.
+    assert table.log.claim("000000002")
+    label_ops.create_labels(names_of(spark, "lost")).write.parquet(table._folder("added", "000000002"))
+    with pytest.raises(Conflict):
+        table.create(names_of(spark, "blocked"))
+    assert table.give_up() == ["000000002"]
+    table.create(names_of(spark, "second"))
+    assert sorted(r["name"] for r in table.read().collect()) == ["first", "second"]
+    # It was not dead after all, and cannot commit any more.
+    with pytest.raises(Conflict, match="given up"):
+        table.log.commit("000000002", "added")
+    # A writer that last looked before a version was committed does not get that version.
+    assert not table.log.claim("000000002") and table.log.claimed() == []
+
+
+def test_a_batch_is_stored_once(spark, staging):
+    table = BatchTable(spark, f"{staging.path}/batches", ("kind",))
+    assert table.read() is None
+    rows = spark.createDataFrame([(1, "x"), (2, "y")], "id int, kind string")
+    assert table.append(rows, "a-0") and not table.append(rows, "a-0")
+    assert table.append(rows.filter("id = 1"), "a-1")
+    assert sorted(map(tuple, table.read().select("id", "kind").collect())) == [(1, "x"), (1, "x"), (2, "y")]
+    assert table.batches() == ["a-0", "a-1"]
+    for bad in ("", "a~b", "a/b"):
+        with pytest.raises(InvalidInput):
+            table.append(rows, bad)
+
+
+def test_a_batch_that_died_half_way_is_run_again(spark, staging):
+    table = BatchTable(spark, f"{staging.path}/batches")
+    rows = spark.range(10)
+    broken = rows.selectExpr("CASE WHEN id = 9 THEN raise_error('lost') ELSE id END AS id")
+    with pytest.raises(PySparkException):
+        table.append(broken, "b")
+    assert table.read() is None
+    assert table.append(rows, "b") and table.read().count() == 10
+    # Rows that were written, but whose writer died before it could commit them.
+    assert table.log.claim("c")
+    rows.write.parquet(table._folder("dead"))
+    assert table.append(rows, "c") and table.read().count() == 20
+
+
+def test_two_attempts_of_a_batch_at_once(spark, staging, monkeypatch):
+    first = BatchTable(spark, f"{staging.path}/batches")
+    second = BatchTable(spark, first.path)
+    usual, met = first.log.commit, []
+
+    def late(key, written):
+        met.append(second.append(spark.range(3), key))
+        usual(key, written)
+
+    monkeypatch.setattr(first.log, "commit", late)
+    assert not first.append(spark.range(3), "b") and met == [True]
+    assert second.read().count() == 3
+
+
+def test_a_stream_stores_its_batches_once(spark, staging):
+    source = f"{staging.path}/source"
+    spark.range(6).write.parquet(source)
+    table = BatchTable(spark, f"{staging.path}/batches")
+    for progress in ("one", "two"):
+        # The second run has lost its progress and brings the same batch again.
+        stream = spark.readStream.schema("id long").parquet(source)
+        query = (
+            table.append_stream(stream, "s")
+            .option("checkpointLocation", f"{staging.path}/progress_{progress}")
+            .trigger(availableNow=True)
+            .start()
+        )
+        assert query.awaitTermination(120)
+    assert table.read().count() == 6 and table.batches() == ["s-000000000000"]
+
+
 def test_arriving_uploads(spark, staging):
     source = f"{staging.path}/arrivals"
     rows = uploads(spark, [("a.txt", None, None, None, 1), ("..", None, None, None, 1)])
