@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import replace
 
+from pyspark.ml.classification import NaiveBayes
 from pyspark.sql import functions as F
 
 from labelweave.config import METRICS, SplitSettings, TfIdfSettings, TrainingConfig
@@ -11,6 +12,7 @@ from labelweave.operators import metrics as ops
 from labelweave.operators.centroid import NearestCentroid
 from labelweave.operators.learners import CentroidLearner
 from labelweave.operators.tfidf import TfIdf
+from labelweave.operators.vectors import VectorClassifier
 from labelweave.plans.jobs import run_training
 from labelweave.plans.scoring import named, score
 from labelweave.plans.training import train
@@ -386,6 +388,56 @@ def train_learner(spark, d):
     return evaluated(train(corpus(spark, d), config, learner=CentroidLearner()))
 
 
+def _bayes() -> list[tuple[str, str]]:
+    """Multinomial naive Bayes with smoothing by 1 in the place of the nearest class mean."""
+    return [
+        ("cn", "SELECT split_index, label_id, count(*) AS n FROM asg WHERE is_train GROUP BY ALL"),
+        ("voc", "SELECT split_index, count(*) AS v FROM dfs GROUP BY ALL"),
+        ("mass", "SELECT split_index, label_id, term, sum(weight) AS s FROM feat WHERE is_train "
+                 "GROUP BY ALL"),
+        ("full_mass", "SELECT split_index, label_id, sum(s) AS t FROM mass GROUP BY ALL"),
+        ("prior", """SELECT split_index, label_id AS class_id, ln(n + 1.0::DOUBLE) - ln(
+             sum(n) OVER (PARTITION BY split_index) + count(*) OVER (PARTITION BY split_index))
+             AS lp, ln(coalesce(t, 0) + v) AS floor_w FROM cn JOIN voc USING (split_index)
+             LEFT JOIN full_mass USING (split_index, label_id)"""),
+        ("own", "SELECT split_index, doc_id, sum(weight) AS w FROM feat GROUP BY ALL"),
+        ("dots", "SELECT f.split_index, f.doc_id, m.label_id AS class_id, "
+                 "sum(f.weight * ln(m.s + 1)) AS dot FROM feat f JOIN mass m "
+                 "ON f.split_index = m.split_index AND f.term = m.term GROUP BY ALL"),
+        ("ranked", """SELECT a.*, p.class_id, row_number() OVER (
+             PARTITION BY a.split_index, a.doc_id
+             ORDER BY lp - coalesce(w, 0) * floor_w + coalesce(dot, 0) DESC, p.class_id) AS rn
+             FROM asg a JOIN prior p ON a.split_index = p.split_index
+             LEFT JOIN own o ON o.split_index = a.split_index AND o.doc_id = a.doc_id
+             LEFT JOIN dots d ON d.split_index = a.split_index AND d.doc_id = a.doc_id
+               AND d.class_id = p.class_id"""),
+        ("pred", "SELECT split_index, doc_id, label_id, is_train, class_id AS predicted "
+                 "FROM ranked WHERE rn = 1"),
+    ]
+
+
+@query(
+    "train_vector_model",
+    sql.with_ctes(
+        [
+            *sql.docs(),
+            *sql.counts(),
+            *sql.weighted(),
+            *sql.stratified(0.8, 2, 8),
+            *sql.fitted(),
+            *_bayes(),
+            *sql.judged(),
+        ],
+        EV_SQL,
+    ),
+)
+def train_vector_model(spark, d):
+    """Training with an estimator over sparse vectors, through the factory contract."""
+    config = TrainingConfig(split=SplitSettings(repetitions=2), seed=8)
+    factory = VectorClassifier(NaiveBayes(smoothing=1.0)).fit
+    return evaluated(train(corpus(spark, d), config, factory=factory))
+
+
 @query(
     "no_leakage",
     sql.with_ctes(

@@ -28,6 +28,8 @@ class Features:
     documents: DataFrame
     space: str
     columns: int
+    #: ``term, docs`` of the space, where it is known
+    vocabulary: DataFrame | None = None
 
     def vectors(self, indexed_terms: DataFrame, budget: int = BROADCAST_BYTES) -> DataFrame:
         """``doc_id, indices, weights`` by column order, one row per document.
@@ -108,7 +110,11 @@ class TfIdfModel:
         rows = weighed.select("doc_id", "term", (F.col("tf") * F.col("idf")).alias("weight"))
         keep = [c for c in ("doc_id", "name", "label_id") if c in documents.columns]
         return Features(
-            rows.filter("weight != 0"), documents.select(*keep), self.space, self.columns
+            rows.filter("weight != 0"),
+            documents.select(*keep),
+            self.space,
+            self.columns,
+            self.idf.select("term", "docs"),
         )
 
 
