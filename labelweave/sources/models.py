@@ -27,6 +27,7 @@ from ..plans.states import LearnedModel, Learner
 from ..plans.training import TrainingOutcome
 from ..session import BROADCAST_BYTES, create_file, path_exists
 from .batches import BatchTable
+from .commits import CommitLog, Conflict
 
 SETTINGS = [
     T.StructField("classifier", T.StringType(), False),
@@ -217,6 +218,20 @@ class ModelStore:
             raise InvalidInput(f"this model needs its learner, {row['classifier']}")
         return SavedModel(model_id, model, tf_idf, row)
 
+    def publish(self, model_id: str) -> None:
+        """Make a stored model the one that streams score with from their next batch on."""
+        self.metadata(model_id)
+        log = CommitLog(self.spark, f"{self.path}/published")
+        version = f"{int(max(log.entries(), default='0')) + 1:09d}"
+        if not log.claim(version):
+            raise Conflict("another model is being published")
+        log.commit(version, model_id)
+
+    def published(self) -> str | None:
+        """Id of the model that was published last, None before the first."""
+        entries = CommitLog(self.spark, f"{self.path}/published").entries()
+        return entries[max(entries)] if entries else None
+
     def append_run(
         self,
         trainer_id: str,

@@ -400,3 +400,52 @@ def test_arriving_documents_are_scored(spark, staging, fruit):
     found = spark.read.parquet(f"{staging.path}/scores")
     truth = {r["doc_id"]: r["label_id"] for r in fruit.collect()}
     assert {r["doc_id"]: r["predicted"] for r in found.collect()} == truth
+
+
+def test_a_stream_follows_the_published_model(spark, staging, fruit, make_documents):
+    from labelweave.config import SplitSettings, TrainingConfig
+    from labelweave.plans.training import train
+    from labelweave.sources.models import ModelStore
+    from labelweave.streaming.arrivals import score_published
+
+    store = ModelStore(spark, f"{staging.path}/store")
+    config = TrainingConfig(split=SplitSettings(repetitions=1), seed=1)
+    swapped = fruit.withColumn(
+        "label_id", F.expr("CASE WHEN label_id = '" + "03" * 12 + "' THEN 'late' ELSE 'early' END")
+    )
+    first, second = (store.save(train(d, config)) for d in (fruit, swapped))
+    with pytest.raises(NotFound):
+        store.publish("unknown")
+    assert store.published() is None
+    fresh, source = fruit.select("doc_id", "pages").coalesce(1), f"{staging.path}/fresh"
+
+    def sink(found, number):
+        found.write.mode("overwrite").parquet(f"{staging.path}/scores/batch={number}")
+
+    def run(progress):
+        stream = spark.readStream.schema(fresh.schema).parquet(source)
+        query = (
+            score_published(stream, store, f"{staging.path}/choices", sink)
+            .option("checkpointLocation", f"{staging.path}/{progress}")
+            .trigger(availableNow=True)
+            .start()
+        )
+        assert query.awaitTermination(180)
+
+    store.publish(first)
+    fresh.write.parquet(source)
+    run("progress")
+    store.publish(second)
+    assert store.published() == second
+    fresh.write.mode("append").parquet(source)
+    run("progress")
+
+    def outcome():
+        rows = spark.read.parquet(f"{staging.path}/scores").collect()
+        return {n: {(r["model_id"], r["predicted"]) for r in rows if r["batch"] == n} for n in (0, 1)}
+
+    wanted = {0: {(first, "03" * 12), (first, "08" * 12)}, 1: {(second, "late"), (second, "early")}}
+    assert outcome() == wanted
+    # A stream that lost its progress runs batch 0 again, with the model that was noted for it.
+    run("lost")
+    assert outcome()[0] == wanted[0]
