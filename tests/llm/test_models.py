@@ -1,4 +1,4 @@
-"""The trained models: pseudo-likelihood, quality and language."""
+"""The trained models: quality and language."""
 
 import random
 import zlib
@@ -10,9 +10,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from labelweave.llm import language, pseudo_likelihood, quality
+from labelweave.llm import language, quality
 from labelweave.llm.arrowtext import text_buffer
-from labelweave.llm.pseudo_likelihood import Network, windows
 
 from .helpers import rows_of
 
@@ -23,98 +22,6 @@ def sentences(n, seed=0, alphabet="abcdefgh"):
     return [" ".join(rng.choices(lexicon, k=rng.randrange(20, 60))).capitalize() + "." for _ in range(n)]
 
 
-# Pseudo-likelihood
-
-
-def plain_windows(text):
-    symbols = [int(pseudo_likelihood._SYMBOL[b]) for b in (text or "").encode()]
-    symbols = [s for s in symbols if s != pseudo_likelihood._DROPPED]
-    space = int(pseudo_likelihood._SPACE)
-    padded = [space, space, *symbols, space, space]
-    out = []
-    for k in range(2, len(padded) - 2):
-        context = 0
-        for s in (padded[k - 2], padded[k - 1], padded[k + 1], padded[k + 2]):
-            context = context * 32 + s
-        out.append((context, padded[k]))
-    return out
-
-
-@settings(max_examples=50, deadline=None)
-@given(st.lists(st.one_of(st.none(), st.text(alphabet="aZ 9.é東\n%", max_size=12)), max_size=5))
-def test_windows(texts):
-    data, offsets = text_buffer(pa.array(texts, pa.string()))
-    rows, context, middle = windows(data, offsets)
-    wanted = [(k, *w) for k, t in enumerate(texts) for w in plain_windows(t)]
-    assert list(zip(rows.tolist(), context.tolist(), middle.tolist(), strict=True)) == wanted
-
-
-def test_gradient_is_the_slope_of_the_loss():
-    random_ = np.random.default_rng(0)
-    network = Network.start(np.full(32, 1 / 32))
-    context = random_.integers(0, pseudo_likelihood.CONTEXTS, 40)
-    counts = random_.integers(0, 5, (40, 32)).astype(float)
-
-    def loss(flat):
-        log_p = Network.from_flat(flat).log_probabilities(context)
-        return -(log_p * counts).sum() / counts.sum()
-
-    flat = network.flat()
-    slope = np.concatenate([g.ravel() for g in network.gradient(context, counts)])
-    for k in random_.integers(0, len(flat), 60):
-        step = np.zeros_like(flat)
-        step[k] = 1e-5
-        assert abs((loss(flat + step) - loss(flat - step)) / 2e-5 - slope[k]) < 1e-6
-
-
-def test_scores_are_sums_and_prefer_the_corpus(spark, staging):
-    texts = sentences(150)
-    rng = random.Random(1)
-    strange = ["".join(rng.sample(t, len(t))) for t in texts[:10]]
-    rows = [(k, t, 0) for k, t in enumerate(texts)]
-    documents = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int").repartition(2)
-    network = pseudo_likelihood.train(documents, staging=staging)
-    asked = texts[:10] + strange + [None, "", texts[0]]
-    frame = spark.createDataFrame(
-        [*enumerate(asked), (None, "x")], "doc_id long, text string"
-    )
-    found = {r["doc_id"]: r for r in pseudo_likelihood.score(frame, network).collect()}
-    for k, text in enumerate(asked):
-        pairs = plain_windows(text)
-        assert found[k]["n_tokens"] == len(pairs)
-        if not pairs:
-            assert found[k]["pseudo_log_likelihood"] == 0 and found[k]["per_token"] is None
-            continue
-        context, middle = np.array(pairs).T
-        total = network.log_probabilities(context)[np.arange(len(middle)), middle].sum()
-        assert abs(found[k]["pseudo_log_likelihood"] - total) < 1e-4 * abs(total)
-    assert None in found and found[0]["per_token"] == found[22]["per_token"]
-    assert min(found[k]["per_token"] for k in range(10)) > max(
-        found[k]["per_token"] for k in range(10, 20)
-    )
-    # Far better than symbol frequencies alone.
-    counted = pseudo_likelihood.count_windows(documents).collect()
-    n = sum(r["n"] for r in counted)
-    single = np.bincount([r["middle"] for r in counted], [r["n"] for r in counted], 32) / n
-    entropy = -(single[single > 0] * np.log(single[single > 0])).sum()
-    learned = -np.mean([found[k]["per_token"] for k in range(10)])
-    assert learned < 0.75 * entropy
-
-
-def test_window_counts_and_empty_corpora(spark, staging):
-    texts = ["abc abc", None, "", "é!"]
-    frame = spark.createDataFrame([(t,) for t in texts], "text string")
-    found = rows_of(pseudo_likelihood.count_windows(frame), "context", "middle", "n")
-    wanted = {}
-    for t in texts:
-        for w in plain_windows(t):
-            wanted[w] = wanted.get(w, 0) + 1
-    assert found == sorted([(*w, n) for w, n in wanted.items()], key=repr)
-    empty = frame.limit(0).select(F.lit(1).alias("doc_id"), "text")
-    network = pseudo_likelihood.train(empty, staging=staging)
-    assert pseudo_likelihood.score(empty, network).count() == 0
-
-
 # Quality
 
 

@@ -8,8 +8,9 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from labelweave.llm import pseudo_likelihood, word_likelihood
-from labelweave.llm.arrowtext import text_buffer
+from labelweave.llm import word_likelihood
+from labelweave.llm.arrowtext import mix, text_buffer
+from labelweave.llm.window_network import WindowNetwork
 
 SPACES = " \t\n\v\f\r"
 
@@ -54,57 +55,140 @@ def corpus():
     return [*texts, texts[0], "", None, " \n"]
 
 
+def name_of(token):
+    data, offsets = text_buffer(pa.array([token]))
+    return int(word_likelihood.tokens(data, offsets)[1].view(np.int64)[0])
+
+
 def plain_scores(texts, network):
-    n, pairs, rows = Counter(), Counter(), []
-    for t in texts:
-        w = plain_tokens(t)
-        rows.append([("<", 0), ("<", 1), *w, (">", 0), (">", 1)])
-        n.update(rows[-1])
-        for step in (1, 2):
-            pairs.update((step, a, b) for a, b in zip(rows[-1], rows[-1][step:], strict=False))
-    total = sum(c for w, c in n.items() if isinstance(w, str))
+    """Tokens and score of every text, by a forward pass for each token."""
+    rows = [plain_tokens(t) for t in texts]
+    n, pairs = Counter(w for row in rows for w in row), Counter()
+    for row in rows:
+        for w in row:
+            spelled = b" " + w.encode() + b" "
+            pairs.update(zip(spelled, spelled[1:], strict=False))
+    after = Counter()
+    for (a, _), c in pairs.items():
+        after[a] += c
+    frequent = sorted(n, key=lambda w: (-n[w], name_of(w)))[: word_likelihood.FIRST_ENDING - 2]
+    own = {w: 2 + k for k, w in enumerate(frequent)}
+
+    def class_of(w):
+        if w in own:
+            return own[w]
+        raw = w.encode()
+        two = raw[-1] * 256 + (raw[-2] if len(raw) > 1 else 0) + 1
+        share = int(mix(np.array([two], np.uint64))[0])
+        return word_likelihood.FIRST_ENDING + share % word_likelihood.ENDINGS
+
+    of_class = Counter()
+    for w, c in n.items():
+        of_class[class_of(w)] += c
     answers = []
-    for t, row in zip(texts, rows, strict=True):
-        data, offsets = text_buffer(pa.array([t or ""]))
-        _, context, middle = pseudo_likelihood.windows(data, offsets)
-        of_character = network.log_probabilities(context)[np.arange(len(middle)), middle]
-        of_character = of_character - [word_likelihood._SHARED[c.encode()[0]] for c in t or ""]
-        score, at = 0.0, 0
-        for k in range(2, len(row) - 2):
-            while t[at] in SPACES:
-                at += 1
-            spelled = math.exp(of_character[at : at + len(row[k])].sum())
-            at += len(row[k])
-            p0 = 0.05 * spelled + 0.95 * (n[row[k]] - 1) / (total - 1)
-            p = 0.0
-            for step in (1, 2):
-                left, right = row[k - step], row[k + step]
-                p += (pairs[step, left, row[k]] - 1 + 16 * p0) / (n[left] - 1 + 16)
-                p += (pairs[step, row[k], right] - 1 + 16 * p0) / (n[right] - 1 + 16)
-            score += math.log(p / 4)
-        answers.append((len(row) - 4, score))
+    for row in rows:
+        classes, score = [0, 0, *map(class_of, row), 1, 1], 0.0
+        for k, w in enumerate(row):
+            around = [classes[k], classes[k + 1], classes[k + 3], classes[k + 4]]
+            hidden = network.hidden_bias + sum(
+                network.places[place][c] for place, c in enumerate(around)
+            )
+            hidden = np.tanh(hidden.astype(float))
+            g, c = divmod(classes[k + 2], 32)
+            groups = np.exp(hidden @ network.group + network.group_bias)
+            inside = np.exp(hidden @ network.within[g] + network.within_bias[g])
+            score += math.log(groups[g] / groups.sum() * inside[c] / inside.sum())
+            if w not in own:
+                raw = b" " + w.encode() + b" "
+                spelled = math.prod(
+                    (pairs[p] + 0.5) / (after[p[0]] + 128) for p in zip(raw, raw[1:], strict=False)
+                )
+                others = max(of_class[class_of(w)] - 1, 1)
+                score += math.log(0.05 * spelled + 0.95 * (n[w] - 1) / others)
+        answers.append((len(row), score))
     return answers
 
 
-def test_scores_are_those_of_all_counts(spark, staging, monkeypatch):
-    monkeypatch.setattr(word_likelihood, "CHUNK", 3000)
-    monkeypatch.setattr(word_likelihood, "PART", 2000)
-    texts = corpus()
+def some_network(blocks, windows, class_counts):
+    network = WindowNetwork.start(class_counts)
+    random_ = np.random.default_rng(5)
+    return WindowNetwork(
+        *(w + random_.normal(0, 0.3, w.shape).astype(np.float32) for w in network.weights())
+    )
+
+
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_scores_are_those_of_a_plain_forward_pass(spark, monkeypatch, block):
+    monkeypatch.setattr(word_likelihood, "SLICE", 64)
+    monkeypatch.setattr(word_likelihood, "BLOCK", block)
+    monkeypatch.setattr(word_likelihood, "PART", 500)
+    made = []
+
+    def train(*given):
+        made.append(some_network(*given))
+        return made[0]
+
+    monkeypatch.setattr(word_likelihood.window_network, "train", train)
+    rng = random.Random(4)
+    letters = "abcdefghijklmnop"
+    many = ["".join(rng.choices(letters, k=rng.randrange(3, 9))) for _ in range(900)]
+    long_word = "x" * 300 + "é" * 200
+    texts = [*corpus()[::4], " ".join(many), " ".join(many[:40]), long_word, None, "", "a", "a b"]
+    frame = spark.createDataFrame(
+        [(k, t, 1, 1, 1) for k, t in enumerate(texts)],
+        "doc_id long, text string, id int, row int, n_tokens int",
+    ).repartition(3)
+    found = {r["doc_id"]: r for r in word_likelihood.score(frame).collect()}
+    assert len(found) == len(texts)
+    for k, (n_tokens, score) in enumerate(plain_scores(texts, made[0])):
+        assert found[k]["n_tokens"] == n_tokens
+        assert found[k]["pseudo_log_likelihood"] == pytest.approx(score, rel=1e-4, abs=1e-6)
+        assert (found[k]["per_token"] is None) == (n_tokens == 0)
+
+
+def test_words_in_another_order_are_less_probable(spark):
+    texts = corpus() * 3
     rng = random.Random(3)
     asked = [0, 30, 60]
     for k in asked:  # the words of a text, or its characters, in another order
         w = plain_tokens(texts[k])
         texts.append((" " if k < 60 else "").join(rng.sample(w, len(w))))
-    frame = spark.createDataFrame(
-        [*enumerate(texts)], "doc_id long, text string"
-    ).repartition(3)
-    found = {r["doc_id"]: r for r in word_likelihood.score(frame).collect()}
-    network = pseudo_likelihood.train(frame, staging=staging)
-    assert len(found) == len(texts)
-    for k, (tokens, score) in enumerate(plain_scores(texts, network)):
-        assert found[k]["n_tokens"] == tokens
-        assert found[k]["pseudo_log_likelihood"] == pytest.approx(score, rel=1e-3)
-        assert (found[k]["per_token"] is None) == (tokens == 0)
+    rows = [*enumerate(texts), (None, "abc"), (None, "abc"), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    answers = word_likelihood.score(frame).collect()
+    found = {r["doc_id"]: r for r in answers}
+    assert len(answers) == len(rows)
+    assert sorted(r["n_tokens"] for r in answers if r["doc_id"] is None) == [0, 1, 1]
     for k, shuffled in zip(asked, range(len(texts) - 3, len(texts)), strict=True):
         assert found[k]["per_token"] > found[shuffled]["per_token"] + 0.2
     assert word_likelihood.score(frame.limit(0)).count() == 0
+    blank = spark.createDataFrame([(k, "" if k else None) for k in range(5)], "doc_id long, text string")
+    assert [r["n_tokens"] for r in word_likelihood.score(blank).collect()] == [0] * 5
+
+
+def test_gradient_is_the_slope_of_the_loss():
+    random_ = np.random.default_rng(0)
+    network = WindowNetwork.start(random_.integers(1, 9, 1024).astype(float))
+    network = WindowNetwork(*(w.astype(float) for w in network.weights()))
+    context, middle = random_.integers(0, 1024, (60, 4)), random_.integers(0, 1024, 60)
+
+    def loss():
+        hidden = network._hidden(context)
+        groups, inside = np.divmod(middle, 32)
+        total = 0.0
+        for h, g, c in zip(hidden, groups, inside, strict=True):
+            a, b = h @ network.group + network.group_bias, h @ network.within[g] + network.within_bias[g]
+            total += a[g] - np.log(np.exp(a).sum()) + b[c] - np.log(np.exp(b).sum())
+        return -total / len(middle)
+
+    for weight, slope in zip(network.weights(), network.gradient(context, middle), strict=True):
+        flat = weight.reshape(-1)
+        seen = np.flatnonzero(slope.reshape(-1))
+        for k in random_.choice(seen, 12):
+            kept, step = flat[k], 1e-4
+            flat[k] = kept + step
+            more = loss()
+            flat[k] = kept - step
+            less = loss()
+            flat[k] = kept
+            assert (more - less) / (2 * step) == pytest.approx(slope.reshape(-1)[k], rel=1e-3, abs=1e-7)
