@@ -159,7 +159,8 @@ def decide(pages: DataFrame, id_column: str, url_column: str, payload_column: st
     """``page_id, url, payload, digest, record_type, refers_to`` of every page.
 
     Payloads travel once: the first page of each repeated payload is found from digests alone and
-    sent to ``SALTS`` places, over which the pages of one payload are dealt out.
+    sent to ``SALTS`` places, over which the pages of one payload are dealt out.  Shorter payloads,
+    of which many may be equal, meet nothing and are dealt out by their ids.
     """
     payload = F.coalesce(F.col(payload_column), F.lit("")).cast("binary")
     rows = pages.select(
@@ -167,14 +168,19 @@ def decide(pages: DataFrame, id_column: str, url_column: str, payload_column: st
         F.col(url_column).cast("string").alias("url"),
         payload.alias("payload"),
     ).select("*", F.sha2("payload", 256).alias("digest"))
+    first_salt, last_salt = F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")
     firsts = (
         rows.filter(F.octet_length("payload") >= LEAST_SHARED)
         .groupBy("digest")
         .agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .select("digest", "first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        .select("digest", "first", F.explode(F.sequence(first_salt, last_salt)).alias("salt"))
     )
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    spread = F.xxhash64("page_id", "url")
+    short = F.octet_length("payload") < LEAST_SHARED
+    # Negative numbers are no salts.
+    salt = F.when(short, -1 - F.abs(F.shiftright(spread, 1))).otherwise(F.pmod(spread, F.lit(SALTS)))
+    salted = rows.withColumn("salt", salt)
     again = F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return salted.join(firsts, ["digest", "salt"], "left").select(
         "page_id",
@@ -270,7 +276,10 @@ def read_bundles(index: DataFrame, with_payload: bool = False) -> DataFrame:
     A bundle that holds another number of records than the index says is an error.
     """
     kind = index.schema["page_id"].dataType.simpleString()
+    n_bundles = index.agg(F.countDistinct("bundle")).first()[0]
+    # The names alone are few bytes, which would be merged into one task.
     bundles = index.groupBy("bundle").agg(F.count(F.lit(1)).alias("records"))
+    bundles = bundles.repartition(max(1, n_bundles))
 
     def per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
