@@ -3,7 +3,7 @@
 A learner turns a part of the training rows into a state, merges two states into one, and finishes a
 state into a model.  Every task folds its rows into one state a split; states meet ``FAN_IN`` at a
 time, level by level, until one of each split is left.  The same job then finishes the models and
-applies them, part by part.  States and models travel as rows, never through the driver.
+applies them, part by part.  States and models are read in chunks, one after the other.  States and models travel as rows, never through the driver.
 """
 
 from __future__ import annotations
@@ -23,12 +23,16 @@ from ..config import InvalidInput
 from ..operators.centroid import NO_TRAINING_DATA
 from ..operators.term_join import join_terms
 from ..operators.tfidf import Features, check_same_space
-from ..session import BROADCAST_BYTES, Staging, ship
+from ..session import BROADCAST_BYTES, Staging, bound_batches, ship
 
 #: States merged by one task.
 FAN_IN = 16
-#: Weights of documents that a task predicts at once, and rows without any.
+#: Weights of documents, and rows without any, that are worth a part of their own.
 PART_WEIGHTS = 1 << 20
+#: Weights and rows that are learned from or predicted at once.
+SLICE_WEIGHTS = 1 << 18
+#: Bytes of a state or model in one row.
+CHUNK_BYTES = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -52,7 +56,7 @@ class Learner(Protocol):
     """What a user's model has to offer.  States and models may be anything that can be pickled.
 
     ``merge`` must not depend on which states it gets in which order.  A state has to fit a task,
-    and a task holds up to ``FAN_IN`` of them.
+    which holds two while states are merged, and while it learns one for each doubling of its slices.
     """
 
     def partial(self, rows: Rows) -> Any:
@@ -104,42 +108,98 @@ def entry_rows(joined: DataFrame, keys: list[str], weights: list[Column]) -> Dat
     return joined.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
 
 
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """A batch of entries in runs of rows with some ``SLICE_WEIGHTS`` weights."""
+    ends = np.cumsum(np.diff(batch.column("entries").offsets.to_numpy()) + 1)
+    cuts = np.flatnonzero(np.diff(ends // SLICE_WEIGHTS)) + 1
+    bounds = [0, *cuts.tolist(), batch.num_rows]
+    for first, last in zip(bounds, bounds[1:], strict=False):
+        if last > first:
+            yield batch.slice(first, last - first)
+
+
 def _folding(learner: Learner, splits: int):
     """One state a split of all rows of a task."""
 
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        states: dict[int, Any] = {}
-        for batch in batches:
+        # States of 1, 2, 4 .. slices: a state meets others of its size, not every slice the whole.
+        held: dict[int, list[tuple[int, Any]]] = {}
+        for batch in (part for whole in batches for part in _slices(whole)):
             sides = _numbers(batch.column("sides"))
             labels = np.array(batch.column("label_id").to_pylist(), dtype=object)
             for split in range(splits):
                 taken = (sides >> split & 1).astype(bool)
                 if not taken.any():
                     continue
-                state = learner.partial(_rows_of(batch, split, taken, labels[taken]))
-                states[split] = learner.merge(states[split], state) if split in states else state
-        for split, state in states.items():
-            yield _state_row(split, state)
+                own = held.setdefault(split, [])
+                own.append((1, learner.partial(_rows_of(batch, split, taken, labels[taken]))))
+                while len(own) > 1 and own[-2][0] == own[-1][0]:
+                    (size, left), (_, right) = own[-2:]
+                    own[-2:] = [(2 * size, learner.merge(left, right))]
+        for split in sorted(held):
+            own = held.pop(split)
+            _, state = own.pop()
+            while own:
+                state = learner.merge(own.pop()[1], state)
+            yield from _chunks(split, state)
 
     return fold
 
 
-def _state_row(split: int, value: Any) -> pa.RecordBatch:
+def _chunks(split: int, value: Any) -> Iterator[pa.RecordBatch]:
+    """Rows ``split, at, state`` of at most ``CHUNK_BYTES`` that hold a state in order of ``at``."""
+    yield from _cut(split, cloudpickle.dumps(value))
+
+
+def _cut(split: int, raw: bytes) -> Iterator[pa.RecordBatch]:
+    for at, first in enumerate(range(0, len(raw), CHUNK_BYTES)):
+        columns = [pa.array([split], pa.int32()), pa.array([at], pa.int32()),
+                   pa.array([raw[first : first + CHUNK_BYTES]], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, ["split", "at", "state"])
+
+
+def _model_row(split: int, value: Any) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array([split], pa.int32()), pa.array([cloudpickle.dumps(value)], pa.large_binary()).cast(pa.binary())],
-        ["split", "state"],
+        ["split", "model"],
     )
 
 
 def _merging(learner: Learner, last: bool):
-    def merge(table: pa.Table) -> pa.Table:
-        state, split = None, table.column("split")[0].as_py()
-        for n, raw in enumerate(table.column("state")):
-            other = cloudpickle.loads(raw.as_py())
-            state = learner.merge(state, other) if n else other
-        part = table.column("part")[0].as_py()
-        found = _state_row(split, learner.finish(state) if last else state)
-        return pa.Table.from_batches([found]).append_column("part", pa.array([part], pa.int64()))
+    """Merge the states of a task's groups one after the other, given in chunks in order."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple[int, int], int, bytes]]:
+        key, part, held = None, None, []
+        for batch in batches:
+            splits, groups, parts = (batch.column(c).to_pylist() for c in ("split", "group", "part"))
+            for i, here in enumerate(zip(splits, groups, strict=True)):
+                if held and (here, parts[i]) != (key, part):
+                    yield key, part, b"".join(held)
+                    held = []
+                key, part = here, parts[i]
+                held.append(batch.column("state")[i].as_py())
+        if held:
+            yield key, part, b"".join(held)
+
+    def made(key: tuple[int, int], state: Any) -> Iterator[pa.RecordBatch]:
+        if last:
+            yield _model_row(key[0], learner.finish(state))
+            return
+        for batch in _chunks(key[0], state):
+            yield batch.append_column("part", pa.array([key[1]] * batch.num_rows, pa.int64()))
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, state = None, None
+        for key, _, raw in whole(batches):
+            other = cloudpickle.loads(raw)
+            if key == met:
+                state = learner.merge(state, other)
+                continue
+            if met is not None:
+                yield from made(met, state)
+            met, state = key, other
+        if met is not None:
+            yield from made(met, state)
 
     return merge
 
@@ -153,8 +213,9 @@ def learned(
     split i.
     """
     ship(entries.sparkSession)
+    bound_batches(entries.sparkSession)
     states = entries.select("label_id", "sides", "entries").mapInArrow(
-        _folding(learner, splits), "split int, state binary"
+        _folding(learner, splits), "split int, at int, state binary"
     )
     states = states.withColumn("part", F.spark_partition_id().cast("long"))
     states = staging.write(states, f"{name}-0")
@@ -165,57 +226,106 @@ def learned(
     while True:
         level += 1
         parts = -(-parts // FAN_IN)
-        grouped = states.withColumn("part", F.expr(f"part div {FAN_IN}")).groupBy("split", "part")
-        merged = grouped.applyInArrow(
-            _merging(learner, parts == 1), "split int, state binary, part long"
-        )
-        states = staging.write(merged, f"{name}-{level}")
-        if parts == 1:
-            return states.select("split", F.col("state").alias("model"))
+        last = parts == 1
+        grouped = states.withColumn("group", F.expr(f"part div {FAN_IN}"))
+        # A task reads its states one by one, in chunks: it never has all of a group at once.
+        grouped = grouped.repartition("split", "group").sortWithinPartitions("split", "part", "at")
+        kept = "split int, model binary" if last else "split int, at int, state binary, part long"
+        states = staging.write(grouped.mapInArrow(_merging(learner, last), kept), f"{name}-{level}")
+        if last:
+            return states
+
+
+def _chunking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for split, raw in zip(batch.column("split"), batch.column("model"), strict=True):
+            yield from _cut(split.as_py(), raw.as_py())
 
 
 def _applying(learner: Learner, keys: list[str], schema: pa.Schema):
-    """Predictions of a part of the documents by the models of all splits, one after the other."""
-
-    def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [schema.empty_table()]
-        every = np.ones(left.num_rows, dtype=bool)
-        for split, raw in zip(right.column("split"), right.column("model"), strict=True):
-            if not left.num_rows:
-                break
-            rows = _rows_of(left, split.as_py(), every, None)
-            labels = list(learner.predict(cloudpickle.loads(raw.as_py()), rows))
-            if len(labels) != left.num_rows:
-                raise InvalidInput("a model has to give one label for every row")
-            splits = pa.array([split.as_py()] * len(labels), pa.int32())
-            columns = [splits, *[left.column(k) for k in keys], pa.array(labels, pa.string())]
-            found.append(pa.Table.from_arrays(columns, names=schema.names).cast(schema))
-        return pa.concat_tables(found)
+    """Predictions of a task's rows: those of a part come after the model of a split, in chunks."""
+
+    def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met, held, model = None, [], None
+        for batch in batches:
+            for here, first, last, is_model in _runs(batch):
+                if is_model:
+                    if here != met:
+                        met, held, model = here, [], None
+                    held += batch.column("state").slice(first, last - first).to_pylist()
+                    continue
+                if model is None:
+                    model, held = cloudpickle.loads(b"".join(held)), []
+                for rows in _slices(batch.slice(first, last - first)):
+                    yield found(model, here[1], rows)
+
+    def found(model: Any, split: int, batch: pa.RecordBatch) -> pa.RecordBatch:
+        every = np.ones(batch.num_rows, dtype=bool)
+        labels = list(learner.predict(model, _rows_of(batch, 0, every, None)))
+        if len(labels) != batch.num_rows:
+            raise InvalidInput("a model has to give one label for every row")
+        splits = pa.array([split] * len(labels), pa.int32())
+        columns = [splits, *[batch.column(k) for k in keys], pa.array(labels, pa.string())]
+        columns = [c.cast(kind) for c, kind in zip(columns, schema.types, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return apply
 
 
+def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, int, bool]]:
+    """``(part, split), first, last, is_model`` of the rows in a row that have these in common."""
+    columns = [_numbers(batch.column(c)) for c in ("part", "split")]
+    is_model = _numbers(batch.column("at")) >= 0
+    fresh = np.zeros(batch.num_rows, dtype=bool)
+    for column in (*columns, is_model):
+        fresh[1:] |= column[1:] != column[:-1]
+    bounds = [0, *np.flatnonzero(fresh).tolist(), batch.num_rows]
+    for first, last in zip(bounds, bounds[1:], strict=False):
+        if last > first:
+            yield (int(columns[0][first]), int(columns[1][first])), first, last, bool(is_model[first])
+
+
 def predictions(
     entries: DataFrame, models: DataFrame, learner: Learner, keys: list[str]
 ) -> DataFrame:
     """``split, <keys>, predicted`` of all rows by the models of all splits.
 
-    Documents are dealt to parts of some ``PART_WEIGHTS`` weights and the models meet every part, so
-    a task holds one part, and the models of the splits of a pass.
+    Documents are dealt to parts of some ``PART_WEIGHTS`` weights, but no more than twice the cores:
+    every part gets a copy of every model.  A task reads the model of one split and then the
+    documents of its part in slices, which need not fit a task; they carry the weights of that
+    split only.
     """
-    ship(entries.sparkSession)
+    spark = entries.sparkSession
+    ship(spark)
+    bound_batches(spark)
     weights = entries.agg(F.coalesce(F.sum(F.size("entries") + 1), F.lit(0))).first()[0]
-    parts = weights // PART_WEIGHTS + 1
-    dealt = entries.select(
-        *keys, "entries", F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias("part")
-    )
-    met = models.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1).cast("int"))))
+    parts = min(weights // PART_WEIGHTS + 1, 2 * spark.sparkContext.defaultParallelism)
+    splits = sorted(row["split"] for row in models.select("split").collect())
+    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias("part")
     kinds = [to_arrow_type(entries.schema[k].dataType) for k in keys]
     schema = pa.schema(
         [("split", pa.int32()), *zip(keys, kinds, strict=True), ("predicted", pa.string())]
     )
+
+    def of_split(split: int) -> Column:
+        own = F.transform("entries", lambda e: F.struct(
+            e["column"].alias("column"), F.array(F.get(e["weights"], split)).alias("weights")))
+        own = F.filter(own, lambda e: F.get(e["weights"], 0).isNotNull())
+        return F.struct(F.lit(split).alias("split"), own.alias("entries"))
+
+    # Chunks of models count from 0 and come before the rows of documents.
+    rows = entries.select(*keys, part, F.explode(F.array(*[of_split(i) for i in splits])).alias("_own"))
+    rows = rows.select("part", "_own.split", F.lit(-1).alias("at"), F.lit(True).alias("is_row"),
+                       *keys, "_own.entries", F.lit(None).cast("binary").alias("state"))
+    met = models.select("split", "model").mapInArrow(_chunking, "split int, at int, state binary")
+    met = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1).cast("int"))))
+    none = [F.lit(None).cast(entries.schema[k].dataType).alias(k) for k in keys]
+    met = met.select("part", "split", "at", F.lit(False).alias("is_row"), *none,
+                     F.lit(None).cast(rows.schema["entries"].dataType).alias("entries"), "state")
+    dealt = met.unionByName(rows).repartition(parts, "part")
+    dealt = dealt.sortWithinPartitions("part", "split", "is_row", "at")
     types = [f"`{k}` {entries.schema[k].dataType.simpleString()}" for k in keys]
-    return dealt.groupBy("part").cogroup(met.groupBy("part")).applyInArrow(
+    return dealt.mapInArrow(
         _applying(learner, keys, schema), f"split int, {', '.join(types)}, predicted string"
     )
 

@@ -132,3 +132,77 @@ def test_a_learned_model_is_stored_and_fetched(spark, fruit, staging, make_docum
 def test_a_run_takes_one_kind_of_user_model(fruit):
     with pytest.raises(InvalidInput, match="not both"):
         train(fruit, TrainingConfig(), factory=lambda f: None, learner=CentroidLearner())
+
+
+class Noted:
+    """A model that leaves a file wherever it is unpickled."""
+
+    def __init__(self, folder, labels):
+        self.folder, self.labels = folder, labels
+
+    def __setstate__(self, state):
+        import os
+        import uuid
+
+        self.__dict__ = state
+        open(os.path.join(self.folder, uuid.uuid4().hex), "w").close()
+
+
+class Noting(CentroidLearner):
+    def __init__(self, folder):
+        self.folder = folder
+
+    def finish(self, state):
+        return Noted(self.folder, state.labels)
+
+    def labels(self, model):
+        return model.labels
+
+    def predict(self, model, rows):
+        return [model.labels[0]] * len(rows)
+
+
+def test_copies_of_models_do_not_grow_with_the_rows(spark, mixed, staging, tmp_path, monkeypatch):
+    """A part for every weight would be hundreds, each with a copy of every model."""
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    monkeypatch.setattr(states, "PART_WEIGHTS", 1)
+    entries = mixed.select(
+        "doc_id", "label_id", F.lit(3).alias("sides"),
+        F.expr("transform(sequence(0, 9), c -> struct(CAST(c AS BIGINT) AS column, "
+               "array(1D, CAST(NULL AS DOUBLE)) AS weights))").alias("entries"),
+    )
+    learner = Noting(str(tmp_path))
+    models = states.learned(entries, learner, 2, staging, "noted")
+    assert models.columns == ["split", "model"]
+    found = states.predictions(entries, models, learner, ["doc_id"]).collect()
+    assert sorted((r["split"], r["doc_id"]) for r in found) == [(s, i) for s in (0, 1) for i in range(90)]
+    assert len(list(tmp_path.iterdir())) <= 2 * 2 * spark.sparkContext.defaultParallelism
+
+
+def test_states_come_in_chunks_and_meet_one_by_one():
+    """Of the states of two groups, cut into chunks, a merge never reads more than one ahead."""
+    from pyspark import cloudpickle
+
+    import pyarrow as pa
+
+    read = []
+
+    def chunks():
+        for group, part, value in ((0, 0, [1]), (0, 1, [2]), (0, 2, [3]), (1, 16, [4])):
+            raw = cloudpickle.dumps(value)
+            read.append(part)
+            for first in range(0, len(raw), 5):
+                yield pa.RecordBatch.from_pydict(
+                    {"split": [0], "group": [group], "part": [part], "state": [raw[first : first + 5]]}
+                )
+
+    class Lists:
+        def merge(self, left, right):
+            assert len(read) <= len(left) + 2
+            return left + right
+
+    merged = list(states._merging(Lists(), False)(chunks()))
+    assert [cloudpickle.loads(b.column("state")[0].as_py()) for b in merged] == [[1, 2, 3], [4]]
+    assert [b.column("part")[0].as_py() for b in merged] == [0, 1]
