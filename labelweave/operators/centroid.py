@@ -214,7 +214,9 @@ class NearestCentroidModel:
         )
         rows = features.rows.select("doc_id", "term", weight.alias("tf"))
         every = features.documents.select("doc_id")
-        met = join_terms(rows, means, self.budget, counted=False)
+        budget = min(self.budget, features.budget)
+        # Documents the vocabulary was fitted on are not counted again.
+        met = join_terms(rows, means, budget, counted=features.fitted_here)
         found = self._magnitudes(features.rows)
         mixed = found.negative and self._mixed_signs(features.rows)
         if found.safe:

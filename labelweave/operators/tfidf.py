@@ -30,6 +30,10 @@ class Features:
     columns: int
     #: ``term, docs`` of the space, where it is known
     vocabulary: DataFrame | None = None
+    #: most a join of these rows with a table of terms may broadcast
+    budget: int = BROADCAST_BYTES
+    #: whether the vocabulary was fitted on these documents, so that its ``docs`` are theirs
+    fitted_here: bool = False
 
     def vectors(self, indexed_terms: DataFrame, budget: int = BROADCAST_BYTES) -> DataFrame:
         """``doc_id, indices, weights`` by column order, one row per document.
@@ -37,7 +41,7 @@ class Features:
         ``indexed_terms`` is the ``term, docs, term_index`` table of this feature space.
         """
         terms = indexed_terms.select("term", "docs", "term_index")
-        placed = join_terms(self.rows, terms, budget, counted=False)
+        placed = join_terms(self.rows, terms, min(budget, self.budget), counted=self.fitted_here)
         rows = placed.groupBy("doc_id").agg(
             F.array_sort(F.collect_list(F.struct("term_index", "weight"))).alias("row")
         )
@@ -115,6 +119,8 @@ class TfIdfModel:
             self.space,
             self.columns,
             self.idf.select("term", "docs"),
+            self.budget,
+            fitted_here,
         )
 
 

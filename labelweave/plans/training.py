@@ -43,6 +43,10 @@ from .states import LearnedModel, Learner, entry_rows, learned, predictions
 #: Splits fitted side by side in one pass; each takes a few columns of the tables.
 SPLITS_PER_PASS = 8
 
+#: Tables of terms that a job of a user's model may broadcast side by side: features and models bring
+#: the frequent terms and a list of them each, all of which the driver holds twice while it makes them.
+TABLES_PER_JOB = 8
+
 #: A user's model factory: gets the features of the training documents, whose ``documents`` carry
 #: ids, names and labels, and returns a model.  It never sees a test document.
 ModelFactory = Callable[[Features], Classifier]
@@ -525,7 +529,7 @@ def _train_with_factory(
     cuts = staging.write(split_cuts(ids, config.split, config.seed), "cuts")
     # Counted once for all splits.
     counted = counted_documents(assign_sides(documents, cuts, config.split, config.seed), staging)
-    estimator = TfIdf(config.tf_idf, budget)
+    estimator = TfIdf(config.tf_idf, budget // TABLES_PER_JOB)
     candidates, measured = [], []
     for i in range(config.split.repetitions):
         # A user's code runs per split; its own work and ours around it stay distributed.

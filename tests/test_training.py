@@ -326,3 +326,19 @@ def test_session_settings_follow_what_is_shuffled():
 
     assert int(session_conf(100 * 10**12, 10_000)["spark.sql.shuffle.partitions"]) < 50_000
     assert session_conf(1000, 8)["spark.sql.shuffle.partitions"] == "8"
+
+
+def test_a_factory_run_shares_its_budget_among_the_tables_of_a_job(fruit, monkeypatch):
+    from labelweave.operators import centroid, tfidf
+
+    budgets = []
+    for module in (centroid, tfidf):
+        def noted(tokens, table, budget, counted, whole=module.join_terms):
+            budgets.append(budget)
+            return whole(tokens, table, budget, counted=counted)
+
+        monkeypatch.setattr(module, "join_terms", noted)
+    config = TrainingConfig(split=SplitSettings(repetitions=2), seed=3)
+    train(fruit, config, factory=centroid.NearestCentroid().fit, budget=1 << 20)
+    # Features of both sides, and their distances, of either split.
+    assert len(budgets) == 8 and set(budgets) == {1 << 17}
