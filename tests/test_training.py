@@ -342,3 +342,26 @@ def test_a_factory_run_shares_its_budget_among_the_tables_of_a_job(fruit, monkey
     train(fruit, config, factory=centroid.NearestCentroid().fit, budget=1 << 20)
     # Features of both sides, and their distances, of either split.
     assert len(budgets) == 8 and set(budgets) == {1 << 17}
+
+
+def test_features_of_all_splits_share_one_budget(spark, tmp_path, monkeypatch):
+    from catalogue.training import features
+    from labelweave.plans.training import FittedRun
+    from labelweave.session import BROADCAST_BYTES
+
+    rows = [(i, f"common w{i % 7} w{i % 5}x", f"l{i % 2}", "s") for i in range(30)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(
+        str(tmp_path / "documents.parquet")
+    )
+    budgets, selected = [], FittedRun.selected
+
+    def noted(run, split, config, space, budget):
+        budgets.append(budget)
+        return selected(run, split, config, space, budget)
+
+    monkeypatch.setattr(FittedRun, "selected", noted)
+    found = features(spark, str(tmp_path)).collect()
+    assert sorted({(r["split_index"], r["label_id"], r["is_train"]) for r in found}) == [
+        (i, label, side) for i in range(3) for label in ("l0", "l1") for side in (False, True)
+    ]
+    assert sum(budgets[-3:]) * 4 <= BROADCAST_BYTES
