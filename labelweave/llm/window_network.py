@@ -107,9 +107,10 @@ class WindowNetwork:
         return WindowNetwork(*(p.reshape(s) for p, s in zip(parts, _SHAPES, strict=True)))
 
     def _hidden(self, context: np.ndarray) -> np.ndarray:
-        total = self.places[0][context[:, 0]]
+        # ``take`` gives the same rows as an index does, some times as fast.
+        total = self.places[0].take(context[:, 0], axis=0)
         for k in range(1, 2 * SIDE):
-            total += self.places[k][context[:, k]]
+            total += self.places[k].take(context[:, k], axis=0)
         return np.tanh(total + self.hidden_bias)
 
     def log_probabilities(self, context: np.ndarray, middle: np.ndarray) -> np.ndarray:
@@ -118,7 +119,7 @@ class WindowNetwork:
         for first in range(0, len(middle), _AT_ONCE):
             some = slice(first, first + _AT_ONCE)
             order, runs, groups, places = _in_groups(middle[some])
-            hidden = self._hidden(context[some][order])
+            hidden = self._hidden(context[some].take(order, axis=0))
             found = _log_share(hidden @ self.group + self.group_bias, groups)
             for g, run in runs:
                 inside = hidden[run] @ self.within[g] + self.within_bias[g]
@@ -130,7 +131,7 @@ class WindowNetwork:
         """Of the mean negative log-probability of the classes in the middle."""
         n = len(middle)
         order, runs, groups, places = _in_groups(middle)
-        context = context[order]
+        context = context.take(order, axis=0)
         hidden = self._hidden(context)
         error = _errors(hidden @ self.group + self.group_bias, groups)
         back = error @ self.group.T
@@ -179,7 +180,8 @@ class Trainer:
         for _ in range(-(-LEAST // len(middle))):
             order = self.random.permutation(len(middle))
             for at in range(0, len(order), size):
-                self._update(context[order[at : at + size]], middle[order[at : at + size]])
+                some = order[at : at + size]
+                self._update(context.take(some, axis=0), middle.take(some))
 
     def _update(self, context: np.ndarray, middle: np.ndarray) -> None:
         self.step += 1
@@ -215,14 +217,14 @@ def _average(table: pa.Table, member: bool) -> pa.Table:
 
 def train(
     blocks: DataFrame,
-    windows: Callable[[pa.RecordBatch, int], tuple[np.ndarray, np.ndarray]],
+    windows: Callable[[pa.RecordBatch, int, slice], tuple[np.ndarray, np.ndarray]],
     class_counts: np.ndarray,
     rounds: int = ROUNDS,
 ) -> WindowNetwork:
     """A network trained on the windows of all blocks, each window in one of the rounds.
 
-    ``windows(batch, row)`` gives the contexts and middles of a block, of which ``block`` is the
-    first column.  A round brings the driver the averaged weights once; copies are averaged in two
+    ``windows(batch, row, some)`` gives the contexts and middles of some windows of a block, of
+    which ``block`` is the first column.  A round brings the driver the averaged weights once; copies are averaged in two
     steps, so that no task gathers those of all tasks.
     """
     network = WindowNetwork.start(class_counts)
@@ -239,8 +241,7 @@ def train(
             trainer, seen, member = None, 0, 0
             for batch in batches:
                 for row in range(batch.num_rows):
-                    context, middle = windows(batch, row)
-                    context, middle = context[number::rounds], middle[number::rounds]
+                    context, middle = windows(batch, row, slice(number, None, rounds))
                     if not len(middle):
                         continue
                     if trainer is None:

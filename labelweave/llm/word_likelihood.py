@@ -34,7 +34,7 @@ from .shipping import map_arrow, ship
 from .window_network import CLASSES, WindowNetwork
 
 #: Bytes of text worked on at once, and tokens of a block.
-SLICE = 1 << 20
+SLICE = 1 << 18
 BLOCK = 1 << 20
 #: Rows after which a block ends, if they hold few tokens.
 BLOCK_ROWS = 1 << 16
@@ -108,7 +108,7 @@ def byte_pairs(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     before = _before(data, starts)
     inside = np.zeros(len(data) + 1, np.int8)
     inside[starts] += 1
-    np.subtract.at(inside, ends, 1)
+    inside[ends] -= 1  # no two tokens end at the same place
     inside = np.cumsum(inside[:-1]) > 0
     found = np.bincount(before[inside] * 256 + data[inside], minlength=1 << 16)
     return found + np.bincount(data[ends - 1].astype(np.int64) * 256 + _GAP, minlength=1 << 16)
@@ -180,6 +180,8 @@ def learn_vocabulary(texts: DataFrame) -> Vocabulary:
 
     counted = map_arrow(texts, per_task, "kind long, name long, n long")
     counted = counted.groupBy("kind", "name").agg(F.sum("n").alias("n"))
+    # Written, as both parts of what follows would read all texts for themselves.
+    counted = Staging(texts.sparkSession).write(counted, "vocabulary")
     # One job for both: at most as many rows as there are own classes and pairs of bytes.
     best = counted.filter("kind = 0").orderBy(F.desc("n"), "name").limit(FIRST_ENDING - FIRST_OWN)
     found = best.unionByName(counted.filter("kind = 1")).toArrow().to_pandas()
@@ -206,8 +208,9 @@ def _unpack(packed: bytes) -> np.ndarray:
     return values.view("<u8").ravel()
 
 
-def _squeezed(values: np.ndarray) -> bytes:
-    return zlib.compress(_pack(values), 1)
+def _squeezed(values: np.ndarray, strategy: int = zlib.Z_DEFAULT_STRATEGY) -> bytes:
+    coder = zlib.compressobj(1, strategy=strategy)
+    return coder.compress(_pack(values)) + coder.flush()
 
 
 def _numbers(squeezed: bytes) -> np.ndarray:
@@ -286,7 +289,11 @@ class BlockWriter:
                 source[(tail - 2 + k)[inside]] = later[inside]
             real = source >= 0
             names[real] = hashes[source[real]]
-            distinct, one, place = np.unique(names, return_index=True, return_inverse=True)
+            distinct, place = np.unique(names, return_inverse=True)
+            # Where each name stands first: the last of what is assigned to one place stays.  Asking
+            # ``unique`` for it takes a stable sort, which is much slower.
+            one = np.empty(len(distinct), np.int64)
+            one[place[::-1]] = np.arange(len(names) - 1, -1, -1)
             one = source[one]
             classes = self.vocabulary.classes(distinct, endings[one] if self.held else one)
             counts = np.bincount(place[at], minlength=len(distinct))
@@ -298,7 +305,8 @@ class BlockWriter:
                 "counts": _squeezed(counts),
                 "classes": _squeezed(classes),
                 "spelled": spelled[one].tobytes() if self.held else bytes(4 * len(one)),
-                "places": _squeezed(place),
+                # Hardly any stretch of them occurs again, so none is looked for.
+                "places": _squeezed(place, zlib.Z_HUFFMAN_ONLY),
             }
         self.first_row += self.rows
         self.ids, self.lengths, self.found, self.held, self.rows = [], [], [], 0, 0
@@ -355,18 +363,19 @@ def write_blocks(rows: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return map_arrow(rows, per_task, f"block long, first_row long, ids array<{kind}>, {binaries}")
 
 
-def _block_windows(lengths: bytes, classes: bytes, places: bytes):
-    """Classes around and in the middle of all tokens of a block, and the tokens' numbers."""
-    lengths, place = _numbers(lengths).astype(np.int64), _numbers(places).astype(np.int64)
-    at = padded_places(lengths)
-    of_place = _numbers(classes).astype(np.int16)[place]
-    context = np.stack([of_place[at + step] for step in (-2, -1, 1, 2)], axis=1)
-    return context, of_place[at], place[at], lengths
+def _block_windows(lengths: bytes, classes: bytes, places: bytes, some: slice = slice(None)):
+    """Classes around and in the middle of some tokens of a block, and the tokens' numbers."""
+    lengths, place = _numbers(lengths).astype(np.int64), _numbers(places).view(np.int64)
+    at = padded_places(lengths)[some]
+    classes = _numbers(classes).astype(np.int16)
+    around = [classes.take(place.take(at + step)) for step in (-2, -1, 1, 2)]
+    middle = place.take(at)
+    return np.stack(around, axis=1), classes.take(middle), middle, lengths
 
 
-def _training_windows(batch: pa.RecordBatch, row: int):
+def _training_windows(batch: pa.RecordBatch, row: int, some: slice):
     values = [batch.column(k)[row].as_py() for k in range(1, 4)]
-    return _block_windows(*values)[:2]
+    return _block_windows(*values, some)[:2]
 
 
 def _list_names(blocks: DataFrame, part_bits: int) -> DataFrame:

@@ -192,3 +192,32 @@ def test_gradient_is_the_slope_of_the_loss():
             less = loss()
             flat[k] = kept
             assert (more - less) / (2 * step) == pytest.approx(slope.reshape(-1)[k], rel=1e-3, abs=1e-7)
+
+
+def test_texts_are_read_once_for_the_vocabulary(spark):
+    rows = spark.sparkContext.accumulator(0)
+    texts = spark.createDataFrame([(t,) for t in corpus()], "text string")
+
+    def counting(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    word_likelihood.learn_vocabulary(texts.mapInArrow(counting, "text string"))
+    assert rows.value == len(corpus())
+
+
+def test_windows_of_a_round_are_those_of_the_whole_block():
+    lengths, classes = np.array([3, 0, 4, 1]), np.arange(2, 12)
+    place = np.random.default_rng(0).integers(0, 10, lengths.sum() + 4 * len(lengths))
+    packed = [word_likelihood._squeezed(v) for v in (lengths, classes, place)]
+    context, middle, *_ = word_likelihood._block_windows(*packed)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([0]), *(pa.array([v], pa.binary()) for v in packed)],
+        ["block", "lengths", "classes", "places"],
+    )
+    for number in range(3):
+        some = slice(number, None, 3)
+        own_context, own_middle = word_likelihood._training_windows(batch, 0, some)
+        assert np.array_equal(own_context, context[some])
+        assert np.array_equal(own_middle, middle[some])
