@@ -99,7 +99,8 @@ def cut_into_pieces(
     schema = f"id {kind}, start long, length long, ids_crc32 long, doc_tokens long"
     if with_ids:
         schema += ", ids array<int>"
-    return map_arrow(rows, per_batch, schema).withColumnRenamed("id", id_column)
+    packed = map_arrow(rows, per_batch, schema, keep=tokenizer_path)
+    return packed.withColumnRenamed("id", id_column)
 
 
 def pack(

@@ -27,7 +27,8 @@ from ..session import Staging
 from .arrowtext import hash_runs, row_slices, text_buffer, words
 from .shipping import map_arrow
 
-_SLICE = 1 << 20
+#: Bytes of text worked on at once; some forty times as much is held for them.
+_SLICE = 1 << 18
 _SIGNS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Names of the features, in order.
 FEATURES = (

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .arrowtext import _LOWER, hash_runs, row_slices, text_buffer
-from .shipping import map_arrow
+from .shipping import left_behind, map_arrow
 
 #: Distinct runs remembered by a worker, some 130 MB with all that goes with them.
 MEMORY = 1_000_000
@@ -54,7 +54,7 @@ class RunTokens:
     def _forget(self) -> None:
         self.hashes = np.zeros(0, np.uint64)
         self.where = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
+        self.lengths = np.zeros(0, np.int32)
         self.ids = np.zeros(0, np.uint32)
 
     def _encode(self, runs: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -80,14 +80,15 @@ class RunTokens:
         return np.concatenate(ids), np.concatenate(lengths)
 
     def _learn(self, hashes: np.ndarray, runs: list[str]) -> None:
+        """Remember unknown runs, given in the order of their hashes."""
         ids, lengths = self._encode(runs)
         where = len(self.ids) + np.cumsum(lengths) - lengths
         self.ids = np.concatenate((self.ids, ids))
-        hashes = np.concatenate((self.hashes, hashes))
-        order = np.argsort(hashes, kind="stable")
-        self.hashes = hashes[order]
-        self.where = np.concatenate((self.where, where))[order]
-        self.lengths = np.concatenate((self.lengths, lengths))[order]
+        # One array after the other, so that only one is there twice; sorted hashes stay so.
+        at = np.searchsorted(self.hashes, hashes)
+        self.where = np.insert(self.where, at, where)
+        self.lengths = np.insert(self.lengths, at, lengths.astype(np.int32))
+        self.hashes = np.insert(self.hashes, at, hashes)
 
     def runs(self, data: np.ndarray, offsets: np.ndarray):
         """Bytes to encode, and the row, start and end of every run."""
@@ -126,7 +127,7 @@ class RunTokens:
     def look_up(self, data: np.ndarray, offsets: np.ndarray):
         """Row of every run, and the place and number of its ids in ``self.ids``."""
         if not len(data):
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         small, rows, starts, ends = self.runs(data, offsets)
         hashes = hash_runs(small, starts, ends)
         distinct, example, inverse = np.unique(hashes, return_index=True, return_inverse=True)
@@ -148,14 +149,14 @@ class RunTokens:
         return rows, self.where[at], self.lengths[at]
 
 
-_tables: dict[str, RunTokens] = {}
-
-
 def run_tokens(path: str) -> RunTokens:
-    """The worker's table of runs, which later tasks of the same worker go on using."""
-    if path not in _tables:
-        _tables[path] = RunTokens(path)
-    return _tables[path]
+    """The worker's table of runs, which later tasks of the same worker go on using.
+
+    Their ``map_arrow`` has to keep it, by ``path``.
+    """
+    if path not in left_behind:
+        left_behind[path] = RunTokens(path)
+    return left_behind[path]
 
 
 def text_parts(
@@ -228,7 +229,8 @@ def token_counts(
         F.col(text_column).alias("text"),
     )
     kind = rows.schema["id"].dataType.simpleString()
-    counted = map_arrow(rows, per_batch, f"id {kind}, n_bytes long, n_tokens long")
+    schema = f"id {kind}, n_bytes long, n_tokens long"
+    counted = map_arrow(rows, per_batch, schema, keep=tokenizer_path)
     return counted.select(
         F.col("id").alias(id_column),
         "n_bytes",

@@ -1,6 +1,7 @@
 """The trained models: quality and language."""
 
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -145,3 +146,12 @@ def test_proportions_are_estimated():
         np.zeros(len(keys), int), np.full((1, 3), 1 / 3, np.float32), 20,
     )
     assert np.allclose(theta[0], [0.7, 0, 0.3], atol=0.03)
+
+
+def test_features_of_a_batch_take_little_memory():
+    texts = pa.array([" ".join(junk(sentences(40, seed)))[:2000] for seed in range(60)] * 17)
+    tracemalloc.start()
+    quality.text_features(texts)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 24 << 20

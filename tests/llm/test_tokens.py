@@ -7,6 +7,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from labelweave.llm.packing import document_ids, pack, piece_lengths
+from labelweave.llm.shipping import map_arrow
 from labelweave.llm.tokens import RunTokens, count_udf, token_counts
 
 from .helpers import TOKENIZER, rows_of
@@ -94,3 +95,33 @@ def test_packing_gives_every_id_back(spark, staging):
     with pytest.raises(ValueError):
         pack(documents, TOKENIZER, longest=1000)
     assert pack(documents.select("text", F.col("doc_id").alias("k")), TOKENIZER, "k").count() == len(pieces)
+
+
+def test_a_worker_keeps_runs_only_for_tasks_that_use_them(spark):
+    def names(batches):
+        for batch in batches:
+            from labelweave.llm.shipping import left_behind
+
+            left_behind.setdefault("runs", 1)
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(left_behind))])], ["names"])
+
+    def others(batches):
+        for batch in batches:
+            from labelweave.llm.shipping import left_behind
+
+            yield pa.RecordBatch.from_arrays([pa.array([" ".join(sorted(left_behind))])], ["names"])
+
+    one = spark.range(1).coalesce(1)
+    assert map_arrow(one, names, "names string", keep="runs").first()[0] == "runs"
+    assert map_arrow(one, others, "names string", keep="runs").first()[0] in ("", "runs")
+    assert map_arrow(one, others, "names string").first()[0] == ""
+
+
+def test_known_runs_are_sorted_and_held_once():
+    table = RunTokens(TOKENIZER, 1000)
+    for text in ["one two three four", "two five six 7!", "zero one 99"]:
+        data = np.frombuffer(text.encode(), np.uint8)
+        table.look_up(data, np.array([0, len(data)]))
+    assert (np.diff(table.hashes.astype(object)) > 0).all()
+    assert len(table.hashes) == len(table.where) == len(table.lengths) == 10
+    assert table.lengths.dtype == np.int32
