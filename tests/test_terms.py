@@ -136,3 +136,41 @@ def test_long_documents_are_counted_block_by_block(spark, staging, block):
     assert held.count() > len(rows) or block == 1 << 20
     if block == 40:  # no row sorts many more words than a block holds
         assert held.agg(F.max("total")).first()[0] <= 40
+
+
+def _plan(table):
+    return table._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_long_documents_are_cut_once(make_documents):
+    """Not again for every block, which costs the square of a document's blocks."""
+    documents = make_documents([["a b c " * 50]])
+    blocks = documents.select(text.text_blocks(F.col("pages"), 9).alias("blocks"))
+    assert _plan(blocks).count("regexp_extract_all") == 1
+    assert blocks.select(F.explode("blocks")).count() > 20
+
+
+def test_words_are_counted_for_whole_batches(spark, make_documents):
+    """No lambda is called for every word; batches of any size give the same rows."""
+    pages = [["～ 😀 z Z é é"], None, [], ["b a b", "b ～"], [""], ["😀 " * 5 + "～"], ["a"]]
+    documents = make_documents(pages).withColumn("sides", F.array(F.lit(True), F.lit(None)))
+    counted = text.with_term_counts(documents.coalesce(1))
+    assert _plan(counted).count("lambdafunction") == 1  # over the pages
+    expected = []
+    for i, held in enumerate(pages):
+        words = [w.lower() for w in " ".join(held or []).split()]
+        words = [w for w in words if w not in "～😀"]
+        terms = [(w, words.count(w)) for w in sorted(set(words), key=str.encode)]
+        expected.append((i, [True, None], terms, len(words), max([c for _, c in terms], default=0)))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(setting)
+    try:
+        for most in ("1", "3", "10000"):
+            spark.conf.set(setting, most)
+            found = [
+                (r["doc_id"], r["sides"], [tuple(t) for t in r["terms"]], r["total"], r["mx"])
+                for r in counted.orderBy("doc_id").collect()
+            ]
+            assert found == expected
+    finally:
+        spark.conf.set(setting, before)
