@@ -19,6 +19,7 @@ each term.
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 from typing import Protocol
@@ -212,13 +213,18 @@ class NearestCentroidModel:
         weight = F.when(is_finite(F.col("weight")), F.col("weight")).otherwise(
             F.raise_error(F.lit("a feature is not a finite number")).cast("double")
         )
-        rows = features.rows.select("doc_id", "term", weight.alias("tf"))
+        # Features are a join of the corpus with its vocabulary, made once for the passes below.
+        staging = staging or Staging(features.documents.sparkSession)
+        # Its name is its own, as frames of an earlier call may still read theirs.
+        name = f"judged_features-{uuid.uuid4().hex}"
+        weights = staging.write(features.rows.select("doc_id", "term", "weight"), name)
+        rows = weights.select("doc_id", "term", weight.alias("tf"))
         every = features.documents.select("doc_id")
         budget = min(self.budget, features.budget)
         # Documents the vocabulary was fitted on are not counted again.
         met = join_terms(rows, means, budget, counted=features.fitted_here)
-        found = self._magnitudes(features.rows)
-        mixed = found.negative and self._mixed_signs(features.rows)
+        found = self._magnitudes(weights)
+        mixed = found.negative and self._mixed_signs(weights)
         if found.safe:
             return self._plain(rows, every, met, mixed, staging)
         return self._wide(rows, every, met, mixed, staging)

@@ -5,7 +5,7 @@ from pyspark.errors import PySparkException
 
 from labelweave.config import InvalidInput
 from labelweave.operators.centroid import NearestCentroid
-from labelweave.operators.tfidf import Features
+from labelweave.operators.tfidf import Features, TfIdf
 
 ROWS = [(0, "1", 2.0), (1, "0", 2.0), (1, "1", 2.0), (2, "0", 6.0), (3, "0", 8.0)]
 TEST = [(0, "0", 1.0), (0, "1", 1.0), (1, "0", 6.0), (1, "1", 1.0), (2, "0", 4.0), (2, "1", 1.0),
@@ -176,3 +176,16 @@ def test_one_sign_for_a_word_meets_only_the_classes_that_hold_it(spark, staging)
     assert fitted._mixed_signs(matrix(spark, [(0, "t0", 1.0)], 1).rows)
     found = fitted.predict(matrix(spark, rows, 4, 5)).collect()
     assert {r["doc_id"]: r["predicted"] for r in found} == dict(enumerate("abcd"))
+
+
+def test_features_are_made_once_for_all_passes(spark, staging, fruit):
+    """Judging looks at the features three times; the join that makes them runs once."""
+    _, features = TfIdf().fit_transform(fruit, staging)
+    model = NearestCentroid().fit(features, staging)
+    both = [model.distances(features, staging) for _ in range(2)]
+    for found in both:
+        files = found.inputFiles()
+        assert not [f for f in files if "document_frequency" in f or "term_counts" in f]
+        held = spark.read.parquet(*{f for f in files if "judged_features" in f})
+        assert sorted(held.collect()) == sorted(features.rows.select(*held.columns).collect())
+        assert found.count() == fruit.count()
