@@ -7,14 +7,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import bound_batches, ship
 
-# Fixed value: a word starts with a letter or number and may go on with marks as well.
+# A word starts with a letter or number and may go on with marks as well.
+STARTS, MARKS = r"[\p{L}\p{N}]", r"\p{M}"
 TOKEN_PATTERN = r"[\p{L}\p{N}][\p{L}\p{M}\p{N}]*"
+#: Number of Unicode's code points.
+CODE_POINTS = 0x110000
+#: Bytes of text whose words are counted at once.
+SLICE_BYTES = 4 << 20
 
 _TERM = T.StructType([T.StructField("term", T.StringType()), T.StructField("cnt", T.LongType())])
 #: What the counts of a document are.
@@ -26,10 +31,15 @@ COUNTED = T.StructType(
     ]
 )
 
+
+def page_text(page: Column) -> Column:
+    """A page in lower case; a null page is an empty one."""
+    return F.lower(F.coalesce(page, F.lit("")))
+
+
 def page_tokens(page: Column) -> Column:
-    """Lower-cased words and numbers of one page, in order; a null page is an empty one."""
-    text = F.lower(F.coalesce(page, F.lit("")))
-    return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
+    """Lower-cased words and numbers of one page, in order."""
+    return F.regexp_extract_all(page_text(page), F.lit(TOKEN_PATTERN), F.lit(0))
 
 
 def document_tokens(pages: Column) -> Column:
@@ -37,51 +47,153 @@ def document_tokens(pages: Column) -> Column:
     return F.flatten(F.transform(F.coalesce(pages, F.array().cast("array<string>")), page_tokens))
 
 
-def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Replace the last column, lists of words, by their sorted counts, numbers and highest counts."""
-    for batch in batches:
-        words = batch.column(batch.num_columns - 1)
-        total = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = words.flatten().dictionary_encode()
-        # Sorted as bytes, as Spark sorts texts.
-        order = pc.array_sort_indices(coded.dictionary).to_numpy()
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
-        size = max(1, len(order))
-        keys = np.repeat(np.arange(len(total)), total) * size + place[coded.indices.to_numpy()]
-        keys, counts = np.unique(keys, return_counts=True)
-        counts = counts.astype(np.int64)
-        ends = np.searchsorted(keys // size, np.arange(len(total) + 1))
-        most, held = np.zeros(len(total), np.int64), total > 0
-        if held.any():
-            most[held] = np.maximum.reduceat(counts, ends[:-1][held])
-        terms = pa.StructArray.from_arrays(
-            [coded.dictionary.take(pa.array(order[keys % size])), pa.array(counts)], ["term", "cnt"]
-        )
-        yield pa.RecordBatch.from_arrays(
-            [
-                *batch.columns[:-1],
-                pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), terms),
-                pa.array(total),
-                pa.array(most),
-            ],
-            [*batch.schema.names[:-1], "terms", "total", "mx"],
-        )
+_ranges: dict[str, list[tuple[int, int]]] = {}
+
+
+def character_ranges(spark: SparkSession) -> list[tuple[int, int]]:
+    """``(first code point, kind)`` of ranges of characters that start words (1), mark them (2) or end
+    them (0), as Spark's own regular expressions have it; asked once per application."""
+    application = spark.sparkContext.applicationId
+    if application not in _ranges:
+
+        def kind(point: Column) -> Column:
+            code = F.unhex(F.lpad(F.hex(point), 8, "0"))
+            letter = F.decode(code, "UTF-32")
+            found = F.when(F.rlike(letter, F.lit(STARTS)), 1).when(F.rlike(letter, F.lit(MARKS)), 2)
+            # Halves of surrogate pairs are no characters.
+            return F.when(point.between(0xD800, 0xDFFF), 0).otherwise(found.otherwise(0))
+
+        points = spark.range(1, CODE_POINTS).select("id", kind(F.col("id")).alias("kind"))
+        changes = points.filter(F.col("kind") != kind(F.col("id") - 1))
+        _ranges[application] = [(0, 0), *sorted((r["id"], r["kind"]) for r in changes.collect())]
+    return _ranges[application]
+
+
+def _kinds(ranges: list[tuple[int, int]]) -> np.ndarray:
+    """The kind of every code point."""
+    firsts, kinds = np.array(ranges).T
+    return np.repeat(kinds.astype(np.uint8), np.diff(np.append(firsts, CODE_POINTS)))
+
+
+def _byte_kinds(data: np.ndarray, kinds: np.ndarray) -> np.ndarray:
+    """The kind of the character that every byte of UTF-8 belongs to."""
+    single = np.zeros(256, np.uint8)
+    single[:128] = kinds[:128]
+    found = single[data]
+    lead = np.flatnonzero(data >= 0xC0)
+    if len(lead):
+        first = data[lead].astype(np.int64)
+        size = 2 + (first >= 0xE0) + (first >= 0xF0)
+        code = first & (0x7F >> size)
+        for at in range(1, 4):
+            on = size > at
+            code[on] = code[on] << 6 | data[lead[on] + at] & 0x3F
+        kind = kinds[code]
+        found[lead] = kind
+        for at in range(1, 4):
+            on = size > at
+            found[lead[on] + at] = kind[on]
+    return found
+
+
+def _find_words(
+    data: np.ndarray, ends: np.ndarray, kinds: np.ndarray
+) -> tuple[pa.StringArray, np.ndarray]:
+    """All words of texts that end at ``ends`` in one array of bytes, and each text's number of words."""
+    found = _byte_kinds(data, kinds)
+    inside = found > 0
+    edges = np.concatenate([[0], ends])
+    first, last = inside.copy(), inside.copy()
+    first[1:] &= ~inside[:-1]
+    last[:-1] &= ~inside[1:]
+    # A text begins and ends its own words.
+    starting, ending = edges[:-1][edges[:-1] < len(data)], ends[ends > 0] - 1
+    first[starting] = inside[starting]
+    last[ending] = inside[ending]
+    starts, stops = np.flatnonzero(first), np.flatnonzero(last) + 1
+    marked = np.flatnonzero(found[starts] == 2)
+    if len(marked):
+        # Marks that no letter or number goes before are in no word.
+        letters = np.append(np.flatnonzero(found == 1), len(data))
+        begin = np.minimum(letters[np.searchsorted(letters, starts[marked])], stops[marked])
+        size = begin - starts[marked]
+        before = np.cumsum(size) - size
+        inside[np.repeat(starts[marked] - before, size) + np.arange(size.sum())] = False
+        starts[marked] = begin
+        starts, stops = starts[starts < stops], stops[starts < stops]
+    offsets = np.zeros(len(starts) + 1, np.int32)
+    np.cumsum(stops - starts, out=offsets[1:])
+    words = pa.StringArray.from_buffers(
+        len(starts), pa.py_buffer(offsets), pa.py_buffer(data[inside])
+    )
+    return words, np.diff(np.searchsorted(starts, edges))
+
+
+def _count_words(words: pa.StringArray, total: np.ndarray) -> list[pa.Array]:
+    """Sorted counts, numbers of words and highest counts of texts with so many words each."""
+    coded = words.dictionary_encode()
+    # Sorted as bytes, as Spark sorts texts.
+    order = pc.array_sort_indices(coded.dictionary).to_numpy()
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    size = max(1, len(order))
+    keys = np.repeat(np.arange(len(total)), total) * size + place[coded.indices.to_numpy()]
+    keys, counts = np.unique(keys, return_counts=True)
+    counts = counts.astype(np.int64)
+    ends = np.searchsorted(keys, np.arange(len(total) + 1) * size)
+    most, held = np.zeros(len(total), np.int64), total > 0
+    if held.any():
+        most[held] = np.maximum.reduceat(counts, ends[:-1][held])
+    terms = pa.StructArray.from_arrays(
+        [coded.dictionary.take(pa.array(order[keys % size])), pa.array(counts)], ["term", "cnt"]
+    )
+    counted = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), terms)
+    return [counted, pa.array(total.astype(np.int64)), pa.array(most)]
+
+
+def _counting(ranges: list[tuple[int, int]]):
+    """Replace the last column, lower-cased texts, by the counts of their words."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = _kinds(ranges)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            texts = batch.column(batch.num_columns - 1).cast(pa.large_binary())
+            edges = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, 8 * texts.offset)
+            data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+            at = 0
+            while at < len(texts):
+                # As many texts as make a slice, and one at least.
+                to = np.searchsorted(edges, edges[at] + SLICE_BYTES, "right") - 1
+                to = min(max(int(to), at + 1), len(texts))
+                piece = data[edges[at] : edges[to]]
+                words, total = _find_words(piece, edges[at + 1 : to + 1] - edges[at], kinds)
+                rest = batch.slice(at, to - at).columns[:-1]
+                yield pa.RecordBatch.from_arrays(
+                    [*rest, *_count_words(words, total)],
+                    [*batch.schema.names[:-1], "terms", "total", "mx"],
+                )
+                at = to
+
+    return count
 
 
 def with_term_counts(documents: DataFrame, pages: str = "pages") -> DataFrame:
     """Replace ``pages`` by ``terms`` (array of term and cnt, sorted by term), ``total`` and ``mx``.
 
     A document is one row, so its words are counted where it is: counting the whole corpus needs no
-    shuffle and ``total`` and ``mx`` come for free.  Spark finds the words; they are counted for a
-    batch of documents at once, since lambdas over a document's words cost a call for every word.
+    shuffle and ``total`` and ``mx`` come for free.  Spark folds the case; words are found and counted
+    for some megabytes of documents at once, as a regular expression makes an object of every word.
     """
     rest = [name for name in documents.columns if name != pages]
-    words = documents.select(*rest, document_tokens(F.col(pages)).alias("_words"))
-    counted = T.StructType([words.schema[name] for name in rest] + COUNTED.fields)
+    # No word crosses a line, so pages may be lines of one text.
+    text = F.coalesce(F.array_join(F.transform(pages, page_text), "\n"), F.lit(""))
+    texts = documents.select(*rest, text.alias("_text"))
+    counted = T.StructType([texts.schema[name] for name in rest] + COUNTED.fields)
     ship(documents.sparkSession)
     bound_batches(documents.sparkSession)
-    return words.mapInArrow(_counting, counted)
+    return texts.mapInArrow(_counting(character_ranges(documents.sparkSession)), counted)
 
 
 def text_bytes(pages: Column) -> Column:

@@ -174,3 +174,33 @@ def test_words_are_counted_for_whole_batches(spark, make_documents):
             assert found == expected
     finally:
         spark.conf.set(setting, before)
+
+
+def test_words_are_found_for_whole_batches(make_documents, monkeypatch):
+    """No regular expression makes an object of every word; the words are those it would find."""
+    accent, beyond = "́", "\U0001d400\U00010428"
+    pages = [
+        [f"{accent}{accent}a{accent}b {accent} {accent}-é{accent}", f"{accent}c", "d"],
+        [f"{beyond} x{beyond}😀y z", None, "Ünïcode İΣ ٣٤ ⅷ"],
+        ["a", "b"], None, [], [""], [accent], ["no", "break"], ["東京 " * 30 + "ΑΣ"],
+    ]
+    documents = make_documents(pages)
+    counted = text.with_term_counts(documents)
+    assert "regexp_extract_all" not in _plan(counted)
+    words = documents.select("doc_id", text.document_tokens(F.col("pages")).alias("words"))
+    expected = {
+        r["doc_id"]: sorted(((w, r["words"].count(w)) for w in set(r["words"])), key=lambda p: p[0].encode())
+        for r in words.collect()
+    }
+    found = {r["doc_id"]: [tuple(t) for t in r["terms"]] for r in counted.collect()}
+    assert found == expected
+    # Texts are worked on in slices; any size gives the same rows.
+    ranges = text.character_ranges(documents.sparkSession)
+    lower = documents.select("doc_id", F.coalesce(F.array_join(F.transform("pages", text.page_text), "\n"), F.lit("")).alias("text"))
+    [batch] = lower.coalesce(1).toArrow().combine_chunks().to_batches()
+    for size in (1, 20, 1 << 20):
+        monkeypatch.setattr(text, "SLICE_BYTES", size)
+        counts = [row for part in text._counting(ranges)([batch.slice(0, 0), batch.slice(2)]) for row in part.to_pylist()]
+        assert {r["doc_id"]: [(t["term"], t["cnt"]) for t in r["terms"]] for r in counts} == {
+            i: terms for i, terms in expected.items() if i > 1
+        }
