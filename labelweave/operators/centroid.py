@@ -38,6 +38,9 @@ from .validate import class_counts, is_finite
 CONSTANT = ""
 #: Squared distances closer than this share, as a power of two, of their own size count as equal.
 TIE_BITS = 40
+#: Most sums that a row of a document holds side by side, for which the generated code stays small
+#: enough for the JIT compiler.
+WIDE_SUMS = 48
 
 NO_TRAINING_DATA = "nothing to learn from: rows, features and a label for every row are needed"
 
@@ -167,13 +170,24 @@ def score_tokens(
     ``every`` holds the keys of all documents, also those without a known word; ``table`` holds
     ``term, class_id, docs, dot_i.., own_i..``; ``join`` brings tokens and table together.
     """
-    sums = join(tokens, table).selectExpr(
+    return score_sums(met_sums(join(tokens, table), keys, splits), every, keys, splits, norms)
+
+
+def met_sums(joined: DataFrame, keys: list[str], splits: list[int]) -> DataFrame:
+    """``<keys>, class_id, dot_i.., own_i..`` of each word and class, from tokens joined with a table."""
+    return joined.selectExpr(
         *keys,
         "class_id",
         *[f"tf * dot_{i} AS dot_{i}" for i in splits],
         *[f"tf * tf * own_{i} AS own_{i}" for i in splits],
     )
-    kind = table.schema["class_id"].dataType.simpleString()
+
+
+def score_sums(
+    sums: DataFrame, every: DataFrame, keys: list[str], splits: list[int], norms: ClassNorms
+) -> DataFrame:
+    """Nearest class of the documents of ``every`` from the sums of those that hold a known word."""
+    kind = sums.schema["class_id"].dataType.simpleString()
     bare = every.selectExpr(
         *keys,
         f"CAST(NULL AS {kind}) AS class_id",
@@ -183,6 +197,46 @@ def score_tokens(
     return nearest_class(sums.unionByName(bare), keys, splits, norms)
 
 
+def side_by_side(table: DataFrame, classes: int, splits: list[int]) -> DataFrame:
+    """``term, dot_i_c.., own_i..``: one row per term of a table whose classes are numbered."""
+    return table.groupBy("term").agg(
+        *[
+            F.expr(f"sum(CASE WHEN class_id = {c} THEN dot_{i} ELSE 0D END) AS dot_{i}_{c}")
+            for i in splits
+            for c in range(classes)
+        ],
+        *[F.expr(f"sum(own_{i}) AS own_{i}") for i in splits],
+    )
+
+
+def wide_sums(
+    tokens: DataFrame, wide: DataFrame, keys: list[str], table: DataFrame, classes: int, splits: list[int]
+) -> DataFrame:
+    """As ``met_sums``, added up by document, from a broadcast of terms with all classes in a row.
+
+    A word then is one row and not one for each class.  A class of which a document has no word gets
+    a row whose ``dot_i`` are 0, as they are by definition.
+    """
+    sums = tokens.join(F.broadcast(wide), "term").groupBy(*keys).agg(
+        *[
+            F.expr(f"sum(tf * dot_{i}_{c}) AS dot_{i}_{c}")
+            for i in splits
+            for c in range(classes)
+        ],
+        *[F.expr(f"sum(tf * tf * own_{i}) AS own_{i}") for i in splits],
+    )
+    kind = table.schema["class_id"].dataType.simpleString()
+    rows = ", ".join(
+        f"struct(CAST({c} AS {kind}) AS class_id, "
+        + ", ".join(f"dot_{i}_{c} AS dot_{i}" for i in splits)
+        + ", "
+        + ", ".join(f"{'0D' if c else f'own_{i}'} AS own_{i}" for i in splits)
+        + ")"
+        for c in range(classes)
+    )
+    return sums.selectExpr(*keys, f"inline(array({rows}))")
+
+
 @dataclass(frozen=True)
 class NearestCentroidModel:
     """Fitted means: ``centroids`` holds ``term, label_id, docs, mean``, without zeros;

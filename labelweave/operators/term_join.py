@@ -99,16 +99,23 @@ def join_above(
     """
     if floor == 0:
         return tokens.join(F.broadcast(table), "term")
-    lowest = dealt_floor(bands, floor, most)
     if floor is None:
-        return _dealt_join(tokens, table, lowest, most)
+        return _dealt_join(tokens, table, dealt_floor(bands, floor, most), most)
     frequent = table.filter(F.col("docs") >= floor)
-    rare = table.filter(F.col("docs") < floor)
-    rest = tokens.join(F.broadcast(frequent.select("term").distinct()), "term", "left_anti")
-    rest = _dealt_join(rest, rare, lowest, most)
+    rest = join_below(tokens, table, floor, bands, most)
     return tokens.join(F.broadcast(frequent), "term").unionByName(rest)
 
 
+def join_below(
+    tokens: DataFrame, table: DataFrame, floor: int, bands: list[Row] = (), most: int = TASK_ROWS
+) -> DataFrame:
+    """The part of the join that is shuffled: of the terms in fewer than ``floor`` documents."""
+    frequent = table.filter(F.col("docs") >= floor).select("term").distinct()
+    rest = tokens.join(F.broadcast(frequent), "term", "left_anti")
+    rare = table.filter(F.col("docs") < floor)
+    return _dealt_join(rest, rare, dealt_floor(bands, floor, most), most)
+
+
 def join_terms(
     tokens: DataFrame,
     table: DataFrame,

@@ -21,14 +21,18 @@ from ..operators import metrics
 from ..operators.centroid import (
     CONSTANT,
     NO_TRAINING_DATA,
+    WIDE_SUMS,
     Classifier,
     ClassNorms,
     NearestCentroidModel,
     least_norms,
-    score_tokens,
+    met_sums,
+    score_sums,
+    side_by_side,
+    wide_sums,
 )
 from ..operators.splits import assign_sides, assignment, split_cuts
-from ..operators.term_join import broadcast_floor, join_above, term_bands
+from ..operators.term_join import broadcast_floor, join_above, join_below, term_bands
 from ..operators.terms import counted_documents, numbered
 from ..operators.tfidf import Features, TfIdf, TfIdfModel, exploded
 from ..operators.validate import (
@@ -37,7 +41,7 @@ from ..operators.validate import (
     check_page_counts,
     class_table,
 )
-from ..session import BROADCAST_BYTES, ClassTableSize, Staging
+from ..session import BROADCAST_BYTES, ROW_OVERHEAD, ClassTableSize, Staging
 from .states import LearnedModel, Learner, entry_rows, learned, predictions
 
 #: Splits fitted side by side in one pass; each takes a few columns of the tables.
@@ -197,6 +201,8 @@ def fit_splits(
         *[F.expr(f"max(CASE WHEN {word} THEN 0 ELSE df_{i} END) AS n_{i}") for i in splits],
         *[F.expr(f"max(CASE WHEN {word} THEN df_{i} ELSE 0 END) AS max_{i}") for i in splits],
         *[F.expr(f"count_if(head AND {word} AND df_{i} > 0) AS v_{i}") for i in splits],
+        F.count_if("head").alias("terms"),
+        F.sum(F.when(F.col("head"), F.octet_length("term")).otherwise(0)).alias("terms_text"),
     )
     documents = {i: max(band[f"n_{i}"] for band in bands) for i in splits}
     columns = {i: sum(band[f"v_{i}"] for band in bands) for i in splits}
@@ -252,6 +258,42 @@ def scoring_table(fitted: FittedSplits, splits: list[int] | None = None) -> Data
     )
 
 
+def _wide_floor(bands: list[Row], columns: int, budget: int) -> int | None:
+    """As ``broadcast_floor``, for a table of one row per term and the list of its terms beside it."""
+    terms = [
+        {"rows": band["terms"], "text": 2 * band["terms_text"], "lowest": band["lowest"]}
+        for band in bands
+    ]
+    return broadcast_floor(terms, columns + ROW_OVERHEAD // 8, budget)
+
+
+def _met(
+    tokens: DataFrame,
+    table: DataFrame,
+    keys: list[str],
+    fitted: FittedSplits,
+    classes: int,
+    budget: int,
+) -> DataFrame:
+    """Sums of documents and the classes they meet.
+
+    Frequent words have their few classes side by side, which spares a row for every word and class;
+    those of many classes, and rare words, have a row for each.
+    """
+    splits = fitted.splits
+    columns = (classes + 1) * len(splits)
+    floor = _wide_floor(fitted.bands, columns, budget) if columns <= WIDE_SUMS else None
+    if floor is None:
+        floor = broadcast_floor(fitted.bands, len(table.columns), budget)
+        return met_sums(join_above(tokens, table, floor, fitted.bands), keys, splits)
+    wide = side_by_side(table.filter(F.col("docs") >= floor), classes, splits)
+    found = wide_sums(tokens, wide, keys, table, classes, splits)
+    if floor == 0:
+        return found
+    rest = join_below(tokens, table, floor, fitted.bands)
+    return found.unionByName(met_sums(rest, keys, splits))
+
+
 def predict_splits(
     counted: DataFrame,
     config: TrainingConfig,
@@ -269,16 +311,9 @@ def predict_splits(
     table = scoring_table(fitted)
     stats = fitted.class_stats.withColumnRenamed("class_ix", "class_id")
     norms = ClassNorms(size.hint(stats, 2 * len(splits)), least_norms(stats, splits))
-    floor = broadcast_floor(fitted.bands, len(table.columns), budget)
-    found = score_tokens(
-        tokens,
-        counted.selectExpr(*keys, _side_bits(splits)),
-        [*keys, "sides"],
-        table,
-        splits,
-        norms,
-        lambda left, right: join_above(left, right, floor, fitted.bands),
-    )
+    met = _met(tokens, table, [*keys, "sides"], fitted, size.classes, budget)
+    every = counted.selectExpr(*keys, _side_bits(splits))
+    found = score_sums(met, every, [*keys, "sides"], splits, norms)
     return found.selectExpr(
         "split_index",
         "doc_id",

@@ -91,6 +91,35 @@ def test_passes_and_budgets_change_nothing(fruit, animals, monkeypatch):
         assert everything(train(documents, config, budget=budget)) == usual
 
 
+def test_classes_side_by_side_change_nothing(fruit, animals, monkeypatch):
+    """A frequent word is one row for all classes, whatever else is broadcast or shuffled."""
+    config = TrainingConfig(split=SplitSettings(0.5, 3), seed=7)
+    documents = animals.select("doc_id", "pages", "label_id").unionByName(
+        fruit.selectExpr("doc_id + 100 AS doc_id", "pages", "if(doc_id % 3 = 0, 'third', label_id) AS label_id")
+    )
+    tables, whole = [], training.wide_sums
+
+    def noted(tokens, wide, *rest):
+        tables.append(wide)
+        return whole(tokens, wide, *rest)
+
+    def found(budget):
+        predictions = train(documents, config, budget=budget).run.predictions()
+        return {tuple(r)[:5]: r["dist"] for r in predictions.collect()}
+
+    monkeypatch.setattr(training, "wide_sums", noted)
+    with monkeypatch.context() as narrow:
+        narrow.setattr(training, "WIDE_SUMS", 0)
+        usual = found(1 << 28)
+    assert not tables and len(usual) == 60
+    for budget in (0, 4000, 1 << 28):
+        assert found(budget) == pytest.approx(usual)
+    words = [(t.count(), t.select("term").distinct().count()) for t in tables]
+    # No word is broadcast, then some words, then all.
+    assert len(words) == 2 and words[0][0] < words[1][0]
+    assert all(rows == terms > 0 for rows, terms in words)
+
+
 def test_replay_with_the_returned_seed(fruit):
     config = TrainingConfig(
         split=SplitSettings(0.6, 2),
