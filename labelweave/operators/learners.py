@@ -24,6 +24,11 @@ class ClassSums:
     sums: np.ndarray
 
 
+def _narrow(numbers: np.ndarray) -> np.ndarray:
+    """Numbers from 0 in as few bytes as they need."""
+    return numbers.astype(np.min_scalar_type(int(numbers.max(initial=0))))
+
+
 def _summed(labels, rows, classes, columns, sums) -> ClassSums:
     order = np.lexsort((columns, classes))
     classes, columns, sums = classes[order], columns[order], sums[order]
@@ -32,7 +37,7 @@ def _summed(labels, rows, classes, columns, sums) -> ClassSums:
         fresh[1:] = (classes[1:] != classes[:-1]) | (columns[1:] != columns[:-1])
         at = np.flatnonzero(fresh)
         classes, columns, sums = classes[at], columns[at], np.add.reduceat(sums, at)
-    return ClassSums(labels, rows, classes, columns, sums)
+    return ClassSums(labels, rows, _narrow(classes), _narrow(columns), sums)
 
 
 def class_sums(rows) -> ClassSums:
@@ -68,7 +73,8 @@ class _Table:
     def of(cls, columns, classes, values) -> _Table:
         order = np.lexsort((classes, columns))
         found, first = np.unique(columns[order], return_index=True)
-        return cls(found, np.append(first, len(order)), classes[order], values[order])
+        starts = np.append(first, len(order))
+        return cls(_narrow(found), _narrow(starts), _narrow(classes[order]), values[order])
 
     def products(self, rows, first: int, last: int, n_classes: int) -> np.ndarray:
         """Sums of weight times value for the rows from ``first`` to ``last`` and every class."""
@@ -77,11 +83,14 @@ class _Table:
         row = np.repeat(np.arange(last - first), np.diff(rows.starts[first : last + 1]))
         if not len(self.columns) or not len(columns):
             return np.zeros((last - first, n_classes))
-        at = np.minimum(np.searchsorted(self.columns, columns), len(self.columns) - 1)
+        # Looked for as numbers of the table's own kind, as the table would be converted else.
+        asked = np.minimum(columns, self.columns[-1]).astype(self.columns.dtype)
+        at = np.searchsorted(self.columns, asked)
         known = self.columns[at] == columns
         at, row, weights = at[known], row[known], weights[known]
-        sizes = self.starts[at + 1] - self.starts[at]
-        shift = np.repeat(self.starts[at] - (np.cumsum(sizes) - sizes), sizes)
+        begin = self.starts[at].astype(np.int64)
+        sizes = self.starts[at + 1] - begin
+        shift = np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
         held = np.arange(int(sizes.sum())) + shift
         cell = np.repeat(row, sizes) * n_classes + self.classes[held]
         values = np.repeat(weights, sizes) * self.values[held]

@@ -8,15 +8,19 @@ applies them, part by part.  States and models are read in chunks, one after the
 
 from __future__ import annotations
 
+import pickle
+import tempfile
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any, Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..config import InvalidInput
@@ -31,8 +35,14 @@ FAN_IN = 16
 PART_WEIGHTS = 1 << 20
 #: Weights and rows that are learned from or predicted at once.
 SLICE_WEIGHTS = 1 << 18
+#: Bytes of a batch, beside which executors keep buffers of several times its size.
+BATCH_BYTES = 4 << 20
 #: Bytes of a state or model in one row.
 CHUNK_BYTES = 1 << 20
+#: Weights of the documents whose frequent and rare words meet in one task.
+BUCKET_WEIGHTS = 1 << 22
+#: Weights a task holds before it deals their documents to buckets.
+BUNDLE_WEIGHTS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -79,23 +89,116 @@ def _numbers(column: pa.Array) -> np.ndarray:
     return column.to_numpy(zero_copy_only=False)
 
 
-def _rows_of(table: pa.RecordBatch | pa.Table, split: int, taken: np.ndarray, labels) -> Rows:
-    """The chosen rows of a table of entries as those of a split, without weights of zero."""
-    entries = table.column("entries")
-    if isinstance(entries, pa.ChunkedArray):
-        entries = entries.combine_chunks()
-    sizes = np.diff(entries.offsets.to_numpy())
-    flat = entries.flatten()
-    row = np.repeat(np.arange(len(entries)), sizes)
-    weights = _numbers(flat.field("weights").flatten())
-    width = len(weights) // max(len(row), 1)
-    weights = weights.reshape(-1, width)[:, split] if len(row) else weights
-    weights = np.nan_to_num(weights.astype(np.float64), nan=0.0) if len(row) else np.zeros(0)
-    kept = (weights != 0) & taken[row]
-    place = np.cumsum(taken) - 1
-    counts = np.bincount(place[row[kept]], minlength=int(taken.sum()))
-    columns = _numbers(flat.field("column"))[kept].astype(np.int64)
-    return Rows(np.concatenate(([0], np.cumsum(counts))), columns, weights[kept], labels)
+@dataclass(frozen=True)
+class _Documents:
+    """Documents of a batch: their keys, and the columns and weights of all splits of each in turn."""
+
+    keys: pa.RecordBatch
+    sizes: np.ndarray
+    columns: np.ndarray
+    #: a row for every entry, a column for every split; not a number where a split has no weight
+    weights: np.ndarray
+
+    def rows(self, split: int, taken: np.ndarray, labels) -> Rows:
+        """The chosen documents as rows of a split, without weights of zero."""
+        weights = np.nan_to_num(self.weights[:, split], nan=0.0)
+        row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        kept = (weights != 0) & taken[row]
+        place = np.cumsum(taken) - 1
+        counts = np.bincount(place[row[kept]], minlength=int(taken.sum()))
+        return Rows(np.concatenate(([0], np.cumsum(counts))), self.columns[kept], weights[kept], labels)
+
+    def packed(self) -> bytes:
+        """As one value.  In order of columns, where weights repeat, the entries take few bytes."""
+        row = np.repeat(np.arange(len(self.sizes)), self.sizes)
+        order = np.argsort(self.columns, kind="stable")
+        steps = np.diff(self.columns[order], prepend=0)
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, self.keys.schema) as to:
+            to.write(self.keys)
+        # Rows of 16 bits are sorted quickly; weights are kept split by split.
+        row = row[order].astype(np.uint16 if len(self.sizes) < 1 << 16 else np.int64)
+        steps = steps.astype(np.min_scalar_type(int(steps.max(initial=0))))
+        weights = np.ascontiguousarray(self.weights[order].T)
+        return _compressed(pickle.dumps((sink.getvalue().to_pybytes(), row, steps, weights), protocol=5))
+
+    @classmethod
+    def unpacked(cls, raw: bytes) -> _Documents:
+        keys, row, steps, weights = pickle.loads(_decompressed(raw))
+        keys = pa.ipc.open_stream(keys).read_next_batch()
+        order = np.argsort(row, kind="stable")
+        columns = np.cumsum(steps, dtype=np.int64)[order]
+        return cls(keys, np.bincount(row, minlength=keys.num_rows), columns, weights.T[order])
+
+    @classmethod
+    def sorted(cls, keys: pa.RecordBatch, row, columns, weights) -> _Documents:
+        """From entries in any order."""
+        order = np.lexsort((columns, row))
+        return cls(keys, np.bincount(row, minlength=keys.num_rows), columns[order], weights[order])
+
+    @classmethod
+    def joined(cls, some: list[_Documents]) -> _Documents:
+        if len(some) == 1:
+            return some[0]
+        keys = pa.Table.from_batches([d.keys for d in some]).combine_chunks().to_batches()[0]
+        parts = ([getattr(d, name) for d in some] for name in ("sizes", "columns", "weights"))
+        return cls(keys, *(np.concatenate(part) for part in parts))
+
+    @classmethod
+    def of_entries(cls, batch: pa.RecordBatch, keys: list[str]) -> _Documents:
+        entries = batch.column("entries")
+        sizes = np.diff(entries.offsets.to_numpy())
+        flat = entries.flatten()
+        weights = _numbers(flat.field("weights").flatten()).astype(np.float64)
+        weights = weights.reshape(len(flat), -1) if len(flat) else np.zeros((0, 1 << 10))
+        return cls.sorted(batch.select(keys), np.repeat(np.arange(len(sizes)), sizes),
+                          _numbers(flat.field("column")).astype(np.int64), weights)
+
+
+def _compressed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def _decompressed(raw: bytes) -> bytes:
+    return pa.decompress(raw[8:], int.from_bytes(raw[:8], "little"), codec="zstd", asbytes=True)
+
+
+@dataclass(frozen=True)
+class PackedDocuments:
+    """``n, data``: some hundred thousand entries of documents in a row, and how many those are."""
+
+    table: DataFrame
+    #: the keys a document has
+    keys: T.StructType
+
+    @classmethod
+    def of(cls, entries: DataFrame, keys: list[str]) -> PackedDocuments:
+        """Documents with a column ``entries``."""
+        ship(entries.sparkSession)
+        bound_batches(entries.sparkSession, BATCH_BYTES)
+        rows = entries.select(*keys, "entries")
+        return cls(rows.mapInArrow(_packing(keys), _PACKED), T.StructType([rows.schema[k] for k in keys]))
+
+    def staged(self, staging: Staging, name: str) -> PackedDocuments:
+        return PackedDocuments(staging.write(self.table, name), self.keys)
+
+
+_PACKED = "n long, data binary"
+
+
+def _packed_row(documents: _Documents) -> pa.RecordBatch:
+    n = len(documents.columns) + len(documents.sizes)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([n], pa.int64()), pa.array([documents.packed()], pa.binary())], ["n", "data"]
+    )
+
+
+def _packing(keys: list[str]):
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (part for whole in batches for part in _slices(whole)):
+            yield _packed_row(_Documents.of_entries(batch, keys))
+
+    return pack
 
 
 def entry_rows(joined: DataFrame, keys: list[str], weights: list[Column]) -> DataFrame:
@@ -108,6 +211,142 @@ def entry_rows(joined: DataFrame, keys: list[str], weights: list[Column]) -> Dat
     return joined.groupBy(*keys).agg(F.array_sort(F.collect_list(entry)).alias("entries"))
 
 
+def _side_by_side(batch: pa.RecordBatch | pa.Table, width: int) -> np.ndarray:
+    """The columns ``w_0 ..``, not a number where they are null."""
+    return np.stack([_numbers(batch.column(f"w_{i}").fill_null(np.nan)) for i in range(width)], axis=1)
+
+
+def _gathered(batches: Iterator[pa.RecordBatch], keys: list[str], width: int, most: int) -> Iterator[_Documents]:
+    """Documents from rows ``<keys>, term_index, w_i``, each of whose last row has its keys; of some
+    ``most`` rows at once."""
+
+    def documents(table: pa.Table) -> _Documents:
+        last = _numbers(table.column(keys[0]).is_valid())
+        kept = _numbers(table.column("term_index").is_valid())
+        row = (np.cumsum(last) - last)[kept]
+        entries = table.filter(pa.array(kept))
+        columns = _numbers(entries.column("term_index")).astype(np.int64)
+        of = table.select(keys).filter(pa.array(last)).combine_chunks().to_batches()[0]
+        return _Documents.sorted(of, row, columns, _side_by_side(entries, width))
+
+    held, rows, ready = [], 0, 0
+    for batch in batches:
+        ends = np.flatnonzero(_numbers(batch.column(keys[0]).is_valid()))
+        held.append(batch)
+        rows += batch.num_rows
+        if len(ends):
+            ready = rows - batch.num_rows + int(ends[-1]) + 1
+        if ready >= most:
+            whole = pa.Table.from_batches(held)
+            yield documents(whole.slice(0, ready))
+            held, rows, ready = whole.slice(ready).to_batches(), rows - ready, 0
+    if held and ready:
+        yield documents(pa.Table.from_batches(held).slice(0, ready))
+
+
+def _gathering(keys: list[str], width: int):
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from map(_packed_row, _gathered(batches, keys, width, SLICE_WEIGHTS))
+
+    return gather
+
+
+def _bundling(keys: list[str], width: int):
+    """Documents of a task, those of a bucket packed together."""
+
+    def bundle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for some in _gathered(batches, [*keys, "bucket"], width, BUNDLE_WEIGHTS):
+            of = _numbers(some.keys.column("bucket"))
+            buckets, place = np.unique(of, return_inverse=True)
+            entry = np.repeat(place, some.sizes)
+            by_bucket, by_entry = np.argsort(place, kind="stable"), np.argsort(entry, kind="stable")
+            ends, entry_ends = (np.cumsum(np.bincount(x, minlength=len(buckets))) for x in (place, entry))
+            rows = []
+            for n in range(len(buckets)):
+                mine = by_bucket[ends[n - 1] if n else 0 : ends[n]]
+                its = by_entry[entry_ends[n - 1] if n else 0 : entry_ends[n]]
+                own = some.keys.select(keys).take(pa.array(mine))
+                rows.append(_Documents(own, some.sizes[mine], some.columns[its], some.weights[its]).packed())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(buckets, pa.int32()), pa.array(rows, pa.binary())], ["bucket", "documents"]
+            )
+
+    return bundle
+
+
+def _completing(width: int):
+    """Documents with the entries of their rare words, given as rows ``doc_id, term_index, w_i``."""
+
+    def complete(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bundles, rare = [], []
+        for batch in batches:
+            bundled = batch.column("documents").is_valid()
+            bundles += batch.column("documents").filter(bundled).to_pylist()
+            single = pc.invert(bundled)
+            rare.append(batch.filter(single).select(["doc_id", "term_index", *[f"w_{i}" for i in range(width)]]))
+        if not bundles:
+            return
+        # Where the document of a rare word is among those of all bundles.
+        ids = pa.chunked_array([_Documents.unpacked(raw).keys.column("doc_id") for raw in bundles])
+        words = pa.Table.from_batches(rare).combine_chunks()
+        at = _numbers(pc.index_in(words.column("doc_id"), ids).combine_chunks()).astype(np.int64)
+        order = np.argsort(at, kind="stable")
+        at, columns = at[order], _numbers(words.column("term_index"))[order].astype(np.int64)
+        weights = _side_by_side(words, width)[order]
+        first, held, n = 0, [], 0
+        for raw in bundles:
+            some = _Documents.unpacked(raw)
+            its = slice(*np.searchsorted(at, [first, first + len(some.sizes)]).tolist())
+            row = np.repeat(np.arange(len(some.sizes)), some.sizes)
+            held.append(_Documents.sorted(
+                some.keys,
+                np.concatenate((row, at[its] - first)),
+                np.concatenate((some.columns, columns[its])),
+                np.concatenate((some.weights, weights[its])),
+            ))
+            first, n = first + len(some.sizes), n + len(held[-1].columns)
+            if n >= SLICE_WEIGHTS:
+                yield _packed_row(_Documents.joined(held))
+                held, n = [], 0
+        if held:
+            yield _packed_row(_Documents.joined(held))
+
+    return complete
+
+
+def gathered_documents(
+    frequent: DataFrame, rare: DataFrame | None, keys: list[str], width: int, weights: int
+) -> PackedDocuments:
+    """Documents of rows that hold one weight of every split, without a shuffle of single weights.
+
+    ``frequent`` holds ``<keys>, term_index, w_0 ..`` with the rows of a document one after the other,
+    of which only the last has the keys and every document has one; ``doc_id`` is unique.  ``rare`` holds
+    ``doc_id, term_index, w_0 ..`` of the words that are not in there, in any order.  Then documents
+    are packed and dealt to buckets by their id, some ``BUCKET_WEIGHTS`` of so many weights to each.
+    """
+    spark = frequent.sparkSession
+    ship(spark)
+    bound_batches(spark, BATCH_BYTES)
+    kept = T.StructType([frequent.schema[k] for k in keys])
+    own = [f"w_{i}" for i in range(width)]
+    if rare is None:
+        found = frequent.select(*keys, "term_index", *own).mapInArrow(_gathering(keys, width), _PACKED)
+        return PackedDocuments(found, kept)
+    buckets = weights // BUCKET_WEIGHTS + 1
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int")
+    marked = F.when(F.col("doc_id").isNotNull(), bucket).alias("bucket")
+    bundles = frequent.select(*keys, marked, "term_index", *own).mapInArrow(
+        _bundling(keys, width), "bucket int, documents binary"
+    )
+    none = [F.lit(None).cast(kept["doc_id"].dataType).alias("doc_id"), F.lit(None).cast("bigint").alias("term_index")]
+    bundles = bundles.select("*", *none, *[F.lit(None).cast("double").alias(w) for w in own])
+    single = rare.select(
+        bucket.alias("bucket"), F.lit(None).cast("binary").alias("documents"), "doc_id", "term_index", *own
+    )
+    dealt = bundles.unionByName(single).repartition(buckets, "bucket")
+    return PackedDocuments(dealt.mapInArrow(_completing(width), _PACKED), kept)
+
+
 def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
     """A batch of entries in runs of rows with some ``SLICE_WEIGHTS`` weights."""
     ends = np.cumsum(np.diff(batch.column("entries").offsets.to_numpy()) + 1)
@@ -124,15 +363,16 @@ def _folding(learner: Learner, splits: int):
     def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # States of 1, 2, 4 .. slices: a state meets others of its size, not every slice the whole.
         held: dict[int, list[tuple[int, Any]]] = {}
-        for batch in (part for whole in batches for part in _slices(whole)):
-            sides = _numbers(batch.column("sides"))
-            labels = np.array(batch.column("label_id").to_pylist(), dtype=object)
+        for raw in (raw for batch in batches for raw in batch.column("data")):
+            some = _Documents.unpacked(raw.as_py())
+            sides = _numbers(some.keys.column("sides"))
+            labels = np.array(some.keys.column("label_id").to_pylist(), dtype=object)
             for split in range(splits):
                 taken = (sides >> split & 1).astype(bool)
                 if not taken.any():
                     continue
                 own = held.setdefault(split, [])
-                own.append((1, learner.partial(_rows_of(batch, split, taken, labels[taken]))))
+                own.append((1, learner.partial(some.rows(split, taken, labels[taken]))))
                 while len(own) > 1 and own[-2][0] == own[-1][0]:
                     (size, left), (_, right) = own[-2:]
                     own[-2:] = [(2 * size, learner.merge(left, right))]
@@ -205,16 +445,18 @@ def _merging(learner: Learner, last: bool):
 
 
 def learned(
-    entries: DataFrame, learner: Learner, splits: int, staging: Staging, name: str
+    entries: DataFrame | PackedDocuments, learner: Learner, splits: int, staging: Staging, name: str
 ) -> DataFrame:
     """``split, model``: what a learner makes of the training rows of every split.
 
-    ``entries`` holds ``label_id, sides, entries``; bit i of ``sides`` tells the training rows of
-    split i.
+    ``entries`` holds ``label_id, sides, entries``, or documents packed with these keys; bit i of
+    ``sides`` tells the training rows of split i.
     """
-    ship(entries.sparkSession)
-    bound_batches(entries.sparkSession)
-    states = entries.select("label_id", "sides", "entries").mapInArrow(
+    if isinstance(entries, DataFrame):
+        entries = PackedDocuments.of(entries, ["label_id", "sides"])
+    ship(entries.table.sparkSession)
+    bound_batches(entries.table.sparkSession, BATCH_BYTES)
+    states = entries.table.select("data").mapInArrow(
         _folding(learner, splits), "split int, at int, state binary"
     )
     states = states.withColumn("part", F.spark_partition_id().cast("long"))
@@ -232,101 +474,106 @@ def learned(
         grouped = grouped.repartition("split", "group").sortWithinPartitions("split", "part", "at")
         kept = "split int, model binary" if last else "split int, at int, state binary, part long"
         states = staging.write(grouped.mapInArrow(_merging(learner, last), kept), f"{name}-{level}")
+        staging.remove(f"{name}-{level - 1}")
         if last:
             return states
 
 
 def _chunking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``split, at, data``: models in compressed chunks."""
     for batch in batches:
         for split, raw in zip(batch.column("split"), batch.column("model"), strict=True):
-            yield from _cut(split.as_py(), raw.as_py())
+            for chunk in _cut(split.as_py(), raw.as_py()):
+                data = pa.array([_compressed(chunk.column("state")[0].as_py())], pa.binary())
+                yield pa.RecordBatch.from_arrays([chunk.column("split"), chunk.column("at"), data], ["split", "at", "data"])
+
 
+def _applying(learner: Learner, splits: list[int], keys: list[str], schema: pa.Schema):
+    """Predictions of a task's documents by one model after the other.
 
-def _applying(learner: Learner, keys: list[str], schema: pa.Schema):
-    """Predictions of a task's rows: those of a part come after the model of a split, in chunks."""
+    Documents and models come in any order and wait, packed, in a temporary file.
+    """
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met, held, model = None, [], None
-        for batch in batches:
-            for here, first, last, is_model in _runs(batch):
-                if is_model:
-                    if here != met:
-                        met, held, model = here, [], None
-                    held += batch.column("state").slice(first, last - first).to_pylist()
-                    continue
-                if model is None:
-                    model, held = cloudpickle.loads(b"".join(held)), []
-                for rows in _slices(batch.slice(first, last - first)):
-                    yield found(model, here[1], rows)
-
-    def found(model: Any, split: int, batch: pa.RecordBatch) -> pa.RecordBatch:
-        every = np.ones(batch.num_rows, dtype=bool)
-        labels = list(learner.predict(model, _rows_of(batch, 0, every, None)))
-        if len(labels) != batch.num_rows:
+        with tempfile.TemporaryFile() as waiting:
+            documents, chunks = [], {}
+            for batch in batches:
+                numbers = zip(batch.column("split").to_pylist(), batch.column("at").to_pylist(), strict=True)
+                for row, key in enumerate(numbers):
+                    if key in chunks:
+                        continue
+                    raw = batch.column("data")[row].as_py()
+                    place = waiting.tell(), len(raw)
+                    waiting.write(raw)
+                    if key[0] is None:
+                        documents.append(place)
+                    else:
+                        chunks[key] = place
+
+            def read(place: tuple[int, int]) -> bytes:
+                waiting.seek(place[0])
+                return waiting.read(place[1])
+
+            for split in splits if documents else []:
+                own = sorted(key for key in chunks if key[0] == split)
+                model = cloudpickle.loads(b"".join(_decompressed(read(chunks[key])) for key in own))
+                for place in documents:
+                    yield found(model, split, _Documents.unpacked(read(place)))
+                del model
+
+    def found(model: Any, split: int, some: _Documents) -> pa.RecordBatch:
+        every = np.ones(len(some.sizes), dtype=bool)
+        labels = list(learner.predict(model, some.rows(split, every, None)))
+        if len(labels) != len(some.sizes):
             raise InvalidInput("a model has to give one label for every row")
-        splits = pa.array([split] * len(labels), pa.int32())
-        columns = [splits, *[batch.column(k) for k in keys], pa.array(labels, pa.string())]
+        columns = [pa.array([split] * len(labels), pa.int32()), *[some.keys.column(k) for k in keys], pa.array(labels, pa.string())]
         columns = [c.cast(kind) for c, kind in zip(columns, schema.types, strict=True)]
         return pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return apply
 
 
-def _runs(batch: pa.RecordBatch) -> Iterator[tuple[tuple[int, int], int, int, bool]]:
-    """``(part, split), first, last, is_model`` of the rows in a row that have these in common."""
-    columns = [_numbers(batch.column(c)) for c in ("part", "split")]
-    is_model = _numbers(batch.column("at")) >= 0
-    fresh = np.zeros(batch.num_rows, dtype=bool)
-    for column in (*columns, is_model):
-        fresh[1:] |= column[1:] != column[:-1]
-    bounds = [0, *np.flatnonzero(fresh).tolist(), batch.num_rows]
-    for first, last in zip(bounds, bounds[1:], strict=False):
-        if last > first:
-            yield (int(columns[0][first]), int(columns[1][first])), first, last, bool(is_model[first])
+def _part_keys(spark, parts: int) -> DataFrame:
+    """``part, key``: for each of so many partitions a number that is dealt to it."""
+    keys = spark.range(64 * parts).selectExpr("CAST(id AS INT) AS key", f"pmod(hash(CAST(id AS INT)), {parts}) AS part")
+    return keys.groupBy("part").agg(F.min("key").alias("key"))
 
 
 def predictions(
-    entries: DataFrame, models: DataFrame, learner: Learner, keys: list[str]
+    entries: DataFrame | PackedDocuments, models: DataFrame, learner: Learner, keys: list[str]
 ) -> DataFrame:
     """``split, <keys>, predicted`` of all rows by the models of all splits.
 
-    Documents are dealt to parts of some ``PART_WEIGHTS`` weights, but no more than twice the cores:
-    every part gets a copy of every model.  A task reads the model of one split and then the
-    documents of its part in slices, which need not fit a task; they carry the weights of that
-    split only.
+    Documents are dealt to parts of some ``PART_WEIGHTS`` weights, but no more than there are cores:
+    every part gets a copy of every model.  A task keeps its part, which need not fit its memory, in
+    a temporary file and reads it in slices for one model after the other, so documents are shuffled
+    once for all splits.
     """
-    spark = entries.sparkSession
+    if isinstance(entries, DataFrame):
+        entries = PackedDocuments.of(entries, keys)
+    spark = entries.table.sparkSession
     ship(spark)
-    bound_batches(spark)
-    weights = entries.agg(F.coalesce(F.sum(F.size("entries") + 1), F.lit(0))).first()[0]
-    parts = min(weights // PART_WEIGHTS + 1, 2 * spark.sparkContext.defaultParallelism)
+    bound_batches(spark, BATCH_BYTES)
+    weights = entries.table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    parts = min(weights // PART_WEIGHTS + 1, spark.sparkContext.defaultParallelism)
     splits = sorted(row["split"] for row in models.select("split").collect())
-    part = F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int").alias("part")
-    kinds = [to_arrow_type(entries.schema[k].dataType) for k in keys]
+    kinds = [to_arrow_type(entries.keys[k].dataType) for k in keys]
     schema = pa.schema(
         [("split", pa.int32()), *zip(keys, kinds, strict=True), ("predicted", pa.string())]
     )
-
-    def of_split(split: int) -> Column:
-        own = F.transform("entries", lambda e: F.struct(
-            e["column"].alias("column"), F.array(F.get(e["weights"], split)).alias("weights")))
-        own = F.filter(own, lambda e: F.get(e["weights"], 0).isNotNull())
-        return F.struct(F.lit(split).alias("split"), own.alias("entries"))
-
-    # Chunks of models count from 0 and come before the rows of documents.
-    rows = entries.select(*keys, part, F.explode(F.array(*[of_split(i) for i in splits])).alias("_own"))
-    rows = rows.select("part", "_own.split", F.lit(-1).alias("at"), F.lit(True).alias("is_row"),
-                       *keys, "_own.entries", F.lit(None).cast("binary").alias("state"))
-    met = models.select("split", "model").mapInArrow(_chunking, "split int, at int, state binary")
+    # A number of rows for each core, so that no two parts meet in a partition.
+    key_of = {row["part"]: row["key"] for row in _part_keys(spark, parts).collect()}
+    key = F.element_at(F.array(*[F.lit(key_of[p]) for p in range(parts)]), F.col("part") + 1).alias("key")
+    place = F.monotonically_increasing_id()
+    part = F.pmod(F.shiftright(place, 33) + place.bitwiseAND((1 << 33) - 1), F.lit(parts)).cast("int")
+    rows = entries.table.select(part.alias("part"), "data")
+    none = [F.lit(None).cast("int").alias(c) for c in ("split", "at")]
+    met = models.select("split", "model").mapInArrow(_chunking, "split int, at int, data binary")
     met = met.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1).cast("int"))))
-    none = [F.lit(None).cast(entries.schema[k].dataType).alias(k) for k in keys]
-    met = met.select("part", "split", "at", F.lit(False).alias("is_row"), *none,
-                     F.lit(None).cast(rows.schema["entries"].dataType).alias("entries"), "state")
-    dealt = met.unionByName(rows).repartition(parts, "part")
-    dealt = dealt.sortWithinPartitions("part", "split", "is_row", "at")
-    types = [f"`{k}` {entries.schema[k].dataType.simpleString()}" for k in keys]
-    return dealt.mapInArrow(
-        _applying(learner, keys, schema), f"split int, {', '.join(types)}, predicted string"
+    dealt = met.select(key, "split", "at", "data").unionByName(rows.select(key, *none, "data"))
+    types = [f"`{k}` {entries.keys[k].dataType.simpleString()}" for k in keys]
+    return dealt.repartition(parts, "key").drop("key").mapInArrow(
+        _applying(learner, splits, keys, schema), f"split int, {', '.join(types)}, predicted string"
     )
 
 
@@ -369,6 +616,6 @@ class LearnedModel:
         every = features.documents.select("doc_id")
         bare = every.selectExpr("doc_id", "CAST(NULL AS BIGINT) AS term_index", "0D AS weight")
         entries = entry_rows(placed.unionByName(bare), ["doc_id"], [F.col("weight")])
-        entries = Staging(every.sparkSession).write(entries, "entries")
+        entries = PackedDocuments.of(entries, ["doc_id"]).staged(Staging(every.sparkSession), "entries")
         one = self.table.select(F.lit(0).alias("split"), "model")
         return predictions(entries, one, self.learner, ["doc_id"]).drop("split")

@@ -42,7 +42,7 @@ from ..operators.validate import (
     class_table,
 )
 from ..session import BROADCAST_BYTES, ROW_OVERHEAD, ClassTableSize, Staging
-from .states import LearnedModel, Learner, entry_rows, learned, predictions
+from .states import LearnedModel, Learner, PackedDocuments, gathered_documents, learned, predictions
 
 #: Splits fitted side by side in one pass; each takes a few columns of the tables.
 SPLITS_PER_PASS = 8
@@ -482,22 +482,35 @@ def _train(
 
 def feature_entries(
     counted: DataFrame, config: TrainingConfig, fitted: FittedSplits, table: DataFrame, budget: int
-) -> DataFrame:
-    """``doc_id, class_ix, sides, entries``: every document's weights of all splits, by column.
+) -> PackedDocuments:
+    """Every document's weights of all splits, by column, with ``doc_id, label_id, sides``.
 
-    ``table`` holds ``term, docs, term_index, idf_i``.  A word outside a split's vocabulary has no
-    weight in it.
+    ``counted`` holds a ``label_id`` besides, and ``table`` ``term, docs, term_index, idf_i``.  A word outside a split's
+    vocabulary has no weight in it.  Frequent words find their columns where their documents are; the constant term,
+    which comes last, ends each document.
     """
     splits = fitted.splits
-    keys = ["doc_id", "class_ix", "sides"]
-    tokens = corpus_tokens(counted, keys[:2], config.tf_idf, splits).filter(f"term <> '{CONSTANT}'")
+    keys = ["doc_id", "label_id", "sides"]
+    tokens = corpus_tokens(counted, keys[:2], config.tf_idf, splits)
+    weights = [(F.col("tf") * F.col(f"idf_{i}")).alias(f"w_{at}") for at, i in enumerate(splits)]
     floor = broadcast_floor(fitted.bands, len(table.columns), budget)
-    placed = join_above(tokens, table, floor, fitted.bands).select(
-        *keys, "term_index", *[(F.col("tf") * F.col(f"idf_{i}")).alias(f"w_{i}") for i in splits]
+    frequent = table.filter(F.lit(False) if floor is None else F.col("docs") >= floor)
+    ends = F.col("term") == CONSTANT
+    placed = tokens.join(F.broadcast(frequent), "term", "left").filter(
+        F.col("term_index").isNotNull() | ends
     )
-    none = ["CAST(NULL AS BIGINT) AS term_index", *[f"CAST(NULL AS DOUBLE) AS w_{i}" for i in splits]]
-    bare = counted.selectExpr(*keys[:2], _side_bits(splits), *none)
-    return entry_rows(placed.unionByName(bare), keys, [F.col(f"w_{i}") for i in splits])
+    placed = placed.select(*[F.when(ends, F.col(k)).alias(k) for k in keys], "term_index", *weights)
+    rare = None
+    if floor != 0:
+        words = tokens.filter(~ends)
+        rare = (
+            join_above(words, table, None, fitted.bands)
+            if floor is None
+            else join_below(words, table, floor, fitted.bands)
+        ).select("doc_id", "term_index", *weights)
+    # Bands hold frequencies within a sixteenth of a power of two.
+    total = sum(band["terms"] * band["lowest"] for band in fitted.bands)
+    return gathered_documents(placed, rare, keys, len(splits), total)
 
 
 def _train_learner(
@@ -513,15 +526,17 @@ def _train_learner(
 ) -> TrainingOutcome:
     """The run of a learner: the splits of a pass are learned and judged side by side."""
     run = FittedRun(fits, classes, size, counted)
+    labelled = run.labelled(counted).withColumn("label_id", F.col("label_id").cast("string"))
     found, models, columns = [], {}, {}
     for fit in fits:
         first = fit.splits[0]
         idf = fit.terms.filter("head").select("term", "docs", *[f"idf_{i}" for i in fit.splits])
         table = numbered(idf, ["term"], staging, f"order_{first}", "term_index")
         table = staging.write(table, f"columns_{first}")
-        entries = feature_entries(counted, config, fit, table, terms_budget)
-        entries = run.labelled(entries).withColumn("label_id", F.col("label_id").cast("string"))
-        entries = staging.write(entries, f"entries_{first}")
+        staging.remove(f"order_{first}")
+        # Labels are joined to documents, before these have a row for every word.
+        entries = feature_entries(labelled, config, fit, table, terms_budget)
+        entries = entries.staged(staging, f"entries_{first}")
         learned_models = learned(entries, learner, len(fit.splits), staging, f"states_{first}")
         predicted = predictions(entries, learned_models, learner, ["doc_id", "label_id", "sides"])
         found.append(
@@ -537,6 +552,8 @@ def _train_learner(
             models[split] = learned_models.filter(F.col("split") == at)
             columns[split] = table.filter(F.col(f"idf_{split}").isNotNull())
     judged = staging.write(metrics.union_all(found), "predictions")
+    for fit in fits:
+        staging.remove(f"entries_{fit.splits[0]}")
     evaluations = metrics.split_evaluations(metrics.evaluate(judged)).coalesce(1)
     evaluations = staging.write(evaluations, "evaluations")
     best = metrics.select_split(evaluations, config.evaluation_strategy).first()["split_index"]

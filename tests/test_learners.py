@@ -50,6 +50,35 @@ def test_states_learn_what_the_built_in_classifier_learns(mixed, monkeypatch, se
     assert sorted(map(tuple, found.select("doc_id", "predicted").collect())) == sorted(map(tuple, wanted.collect()))
 
 
+@pytest.mark.parametrize("budget", [1, 6000])
+def test_documents_get_their_rare_words_back(mixed, monkeypatch, budget):
+    """No word is broadcast, or some are; documents meet the others in several buckets."""
+    monkeypatch.setattr(states, "BUCKET_WEIGHTS", 100)
+    config = TrainingConfig(split=SplitSettings(0.7, 2), seed=4)
+    usual = train(mixed, config, learner=CentroidLearner())
+    few = train(mixed, config, learner=CentroidLearner(), budget=budget)
+    for mine, its in zip(evaluations(few), evaluations(usual), strict=True):
+        assert mine == pytest.approx(its, abs=1e-12)
+
+
+def test_documents_are_shuffled_packed_and_once(mixed, staging):
+    """No weight is shuffled by itself, and documents are not sorted beside copies of every model."""
+    entries = mixed.select(
+        "doc_id", "label_id", F.lit(3).alias("sides"),
+        F.expr("transform(sequence(0, 99), c -> struct(CAST(99 - c AS BIGINT) AS column, "
+               "array(c % 7D, if(c % 3 = 0, CAST(NULL AS DOUBLE), 1D)) AS weights))").alias("entries"),
+    )
+    packed = states.PackedDocuments.of(entries, ["doc_id", "label_id", "sides"]).staged(staging, "packed")
+    documents = [states._Documents.unpacked(bytes(r["data"])) for r in packed.table.collect()]
+    assert sum(len(d.sizes) for d in documents) == 90 and all((d.sizes == 100).all() for d in documents)
+    assert all((d.columns.reshape(-1, 100) == range(100)).all() for d in documents)
+    assert sum(r["n"] for r in packed.table.collect()) == 90 * 101
+    assert sum(len(r["data"]) for r in packed.table.collect()) < 90 * 100 * 8
+    models = states.learned(packed, CentroidLearner(), 2, staging, "models")
+    plan = states.predictions(packed, models, CentroidLearner(), ["doc_id"])._jdf.queryExecution().toString()
+    assert "Sort" not in plan and plan.split("== Physical Plan ==")[1].count("Exchange") == 1
+
+
 def plain_bayes(documents, train_ids, smoothing=1.0):
     by_class, rows = {}, Counter()
     known = {w for i, words, _ in documents if i in train_ids for w in words}
