@@ -11,7 +11,7 @@ from labelweave.config import METRICS, SplitSettings, TfIdfSettings, TrainingCon
 from labelweave.operators import metrics as ops
 from labelweave.operators.centroid import NearestCentroid
 from labelweave.operators.learners import CentroidLearner
-from labelweave.operators.tfidf import TfIdf
+from labelweave.operators.tfidf import TfIdf, weigh_together
 from labelweave.operators.vectors import VectorClassifier
 from labelweave.plans.jobs import run_training
 from labelweave.plans.scoring import named, score
@@ -74,27 +74,26 @@ def split_idf(spark, d):
 def features(spark, d):
     """Stored weights of each split, class and side, weighted with the split's own vocabulary."""
     outcome = trained(spark, d)
-    sides = outcome.assigned
-    documents = corpus(spark, d)
-    parts, splits = [], outcome.config.split.repetitions
+    run, splits = outcome.run, range(outcome.config.split.repetitions)
     # One job has the frequent terms of every split and a list of them, which the driver holds
     # twice while it makes them.
-    budget = BROADCAST_BYTES // (4 * splits)
-    for i in range(splits):
-        idf, _ = outcome.run.selected(i, outcome.config, f"split {i}", budget)
-        here = sides.filter(F.col("split_index") == i).select("doc_id", "is_train")
-        # Weights are added up by document before they meet its side and label.
-        rows = idf.transform(documents).rows.groupBy("doc_id").agg(
-            F.count(F.lit(1)).alias("stored"), F.sum("weight").alias("weight_sum")
-        )
-        rows = rows.join(here, "doc_id").join(documents.select("doc_id", "label_id"), "doc_id")
-        parts.append(
-            rows.groupBy("label_id", "is_train").agg(
-                F.sum("stored").alias("stored"),
-                F.round(F.sum("weight_sum"), 2).alias("weight_sum"),
-            ).withColumn("split_index", F.lit(i))
-        )
-    return ops.union_all(parts)
+    budget = BROADCAST_BYTES // (4 * len(splits))
+    models = [run.selected(i, outcome.config, f"split {i}", budget)[0] for i in splits]
+    # The run has counted the terms of its documents, and each comes with its class and sides.
+    keys = ["class_ix", "in_train"]
+    rows = weigh_together(models, run.counted, keys, staging(spark))
+    sums = rows.groupBy(*keys).agg(
+        *[F.expr(f"count_if(w_{i} <> 0) AS stored_{i}") for i in splits],
+        *[F.sum(f"w_{i}").alias(f"sum_{i}") for i in splits],
+    )
+    each = ", ".join(
+        f"struct({i} AS split_index, label_id, in_train[{i}] AS is_train, stored_{i} AS stored, "
+        f"sum_{i} AS weight_sum)" for i in splits
+    )
+    found = run.labelled(sums).selectExpr(f"inline(array({each}))").filter("stored > 0")
+    return found.groupBy("label_id", "is_train", "split_index").agg(
+        F.sum("stored").alias("stored"), F.round(F.sum("weight_sum"), 2).alias("weight_sum")
+    ).select("label_id", "is_train", "stored", "weight_sum", "split_index")
 
 
 @query(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..config import InvalidInput, TfIdfSettings
 from ..functions.weights import idf_weight, tf_weight
 from ..session import BROADCAST_BYTES, Staging
+from .metrics import union_all
 from .term_join import join_terms
 from .terms import counted_documents, maximum_frequency, term_index
 
@@ -124,6 +125,33 @@ class TfIdfModel:
         )
 
 
+def weigh_together(
+    models: list[TfIdfModel], counted: DataFrame, keys: list[str], staging: Staging
+) -> DataFrame:
+    """``<keys>, term, w_0 ..``: weights of documents in the spaces of several models, side by side.
+
+    The models weigh term frequencies alike, and their ``docs`` are those of these counted documents.
+    All terms are met in one pass, whatever the number of models, with all of their budgets; a space
+    without a term has no weight for it.
+    """
+    every = [f"idf_{i}" for i in range(len(models))]
+    tables = [
+        model.idf.select("term", "docs", *[
+            (F.col("idf") if i == at else F.lit(None).cast("double")).alias(name)
+            for i, name in enumerate(every)
+        ])
+        for at, model in enumerate(models)
+    ]
+    table = union_all(tables).groupBy("term").agg(
+        F.max("docs").alias("docs"), *[F.max(name).alias(name) for name in every]
+    )
+    table = staging.write(table, "idf_together")
+    tokens = exploded(counted.select(*keys, "terms", "total", "mx"), models[0].settings)
+    weighed = join_terms(tokens, table, sum(model.budget for model in models), staging=staging)
+    weights = [(F.col("tf") * F.col(name)).alias(f"w_{i}") for i, name in enumerate(every)]
+    return weighed.select(*keys, "term", *weights)
+
+
 class TfIdf:
     """Estimator.  Fitted state lives in the model it returns, never in the estimator."""
 

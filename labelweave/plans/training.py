@@ -332,6 +332,8 @@ class FittedRun:
     classes: DataFrame
     size: ClassTableSize
     numbered: DataFrame
+    #: the terms of all documents, with their classes and sides; see ``count_documents``
+    counted: DataFrame
 
     def _label(self, number: str, label: str) -> DataFrame:
         names = self.classes.selectExpr(f"class_ix AS {number}", f"label_id AS {label}")
@@ -470,7 +472,7 @@ def _train(
     evaluations = staging.write(evaluations, "evaluations")
     best = metrics.select_split(evaluations, config.evaluation_strategy).first()
     selected = best["split_index"]
-    run = FittedRun(fits, classes, size, judged)
+    run = FittedRun(fits, classes, size, judged, counted)
     tf_idf, model = run.selected(selected, config, f"{staging.path}#{selected}", budget)
     assigned = assignment(
         run.labelled(counted.select("doc_id", "class_ix", "in_train"))
@@ -525,7 +527,7 @@ def _train_learner(
     budget: int,
 ) -> TrainingOutcome:
     """The run of a learner: the splits of a pass are learned and judged side by side."""
-    run = FittedRun(fits, classes, size, counted)
+    run = FittedRun(fits, classes, size, counted, counted)
     labelled = run.labelled(counted).withColumn("label_id", F.col("label_id").cast("string"))
     found, models, columns = [], {}, {}
     for fit in fits:

@@ -5,6 +5,7 @@ import pytest
 
 from labelweave.config import InvalidInput, NotFound, SplitSettings, TfIdfSettings, TrainingConfig
 from labelweave.operators.centroid import NearestCentroid
+from labelweave.operators.tfidf import weigh_together
 from labelweave.plans import training
 from labelweave.plans.jobs import create_trainer, run_training, start_training
 from labelweave.plans.scoring import named, score
@@ -394,3 +395,18 @@ def test_features_of_all_splits_share_one_budget(spark, tmp_path, monkeypatch):
         (i, label, side) for i in range(3) for label in ("l0", "l1") for side in (False, True)
     ]
     assert sum(budgets[-3:]) * 4 <= BROADCAST_BYTES
+
+
+@pytest.mark.parametrize("budget", [1, 1 << 20])
+def test_weights_of_all_splits_come_side_by_side(animals, staging, budget):
+    """Terms that a run has counted get the weights that each split's model gives the texts."""
+    outcome = train(animals, TrainingConfig(split=SplitSettings(0.6, 3), seed=7))
+    models = [outcome.run.selected(i, outcome.config, f"split {i}", budget)[0] for i in range(3)]
+    rows = weigh_together(models, outcome.run.counted, ["doc_id"], staging)
+    found = [tuple(r) for r in rows.collect()]
+    for i, model in enumerate(models):
+        wanted = {(r["doc_id"], r["term"]): r["weight"] for r in model.transform(animals).rows.collect()}
+        mine = {r[:2]: r[2 + i] for r in found if r[2 + i]}
+        assert mine == pytest.approx(wanted, abs=1e-12) and len(mine) < len(found)
+    # The words of test documents are in no row of a split they were not trained for.
+    assert len({r[:2] for r in found}) == len(found)
